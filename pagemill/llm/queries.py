@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import drop_repeated_lines
+from .near_dups import near_duplicates
 from .sentencepiece_bpe import encode_decode
 
 
@@ -40,6 +41,11 @@ FROM told GROUP BY doc_id
 """
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), words=3, share=(85, 100))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), piece_model_path())
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -48,6 +54,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_near_dups": op3_near_dups,
         "op5_sentencepiece": op5_sentencepiece,
     }
 
