@@ -77,7 +77,8 @@ def _later_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         starts = np.flatnonzero(fresh)
         run = np.cumsum(fresh) - 1
         seen = ids[starts[np.maximum(run, 0)]] if len(starts) else ids.copy()
-        seen[run < 0] = first
+        if not fresh[0]:
+            seen[run < 0] = first
         if head is None:
             head = (h1[0], h2[0])
         kind = np.where(ids != seen, LATER, np.where((h1 == head[0]) & (h2 == head[1]), HEAD, -1)).astype("i4")
