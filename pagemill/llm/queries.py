@@ -11,6 +11,7 @@ from .common import table
 from .line_dedup import drop_repeated_lines
 from .near_dups import near_duplicates
 from .sentencepiece_bpe import encode_decode
+from .top_k import exact_top_k
 from .warc import archive_pages, read_archives
 
 
@@ -71,12 +72,30 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
+OP10_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_line_dedup": op2_line_dedup,
         "op3_near_dups": op3_near_dups,
         "op5_sentencepiece": op5_sentencepiece,
+        "op10_top_k": op10_top_k,
     }
 
 
@@ -84,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
+        "op10_top_k": OP10_SQL,
     }
