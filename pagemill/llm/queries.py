@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import drop_repeated_lines
 from .near_dups import near_duplicates
+from .quality import quality_scores
 from .sentencepiece_bpe import encode_decode
 from .top_k import exact_top_k
 from .warc import archive_pages, read_archives
@@ -72,6 +73,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_near_dups": op3_near_dups,
         "op5_sentencepiece": op5_sentencepiece,
+        "op8_quality": op8_quality,
         "op10_top_k": op10_top_k,
     }
 
