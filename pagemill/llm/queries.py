@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .line_dedup import drop_repeated_lines
+from .mixing import mix, text_topic, word_count
 from .near_dups import near_duplicates
 from .quality import quality_scores
 from .sentencepiece_bpe import encode_decode
@@ -78,6 +79,41 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+#: Exponents that temper the present shares of sources, languages and topics to their targets.
+MIX = {"source": 0.7, "lang": 0.7, "topic": 0.8}
+MIX_ROUNDS = 15
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    # What the mix needs of each text is computed once.
+    docs = written(docs.select("doc_id", "source", "lang", text_topic("text").alias("topic"), word_count("text").alias("words")), "counted")
+    out = mix(docs, {n: (F.col(n), target) for n, target in MIX.items()}, F.col("words"), rounds=MIX_ROUNDS)
+    return out.select("row.doc_id", "tokens", F.round("probability", 9).alias("probability"), "kept")
+
+
+def _op9_sql() -> str:
+    steps = [
+        """docs AS MATERIALIZED (
+    SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens,
+        CASE WHEN contains(lower(coalesce(text, '')), 'license') THEN 'legal' WHEN length(coalesce(text, '')) < 1000 THEN 'brief' ELSE 'prose' END AS topic FROM documents
+)""",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL HAVING sum(tokens) > 0)",
+    ]
+    for n, power in MIX.items():
+        steps.append(f"aim_{n} AS MATERIALIZED (SELECT {n}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () * sum(sum(tokens)) OVER () AS aim_{n} FROM cells GROUP BY {n})")
+    steps.append("w0 AS MATERIALIZED (SELECT *, tokens AS w FROM cells JOIN aim_source USING (source) JOIN aim_lang USING (lang) JOIN aim_topic USING (topic))")
+    for k in range(MIX_ROUNDS * len(MIX)):
+        n = list(MIX)[k % len(MIX)]
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * aim_{n} / sum(w) OVER (PARTITION BY {n}) AS w) FROM w{k})")
+    last = f"w{MIX_ROUNDS * len(MIX)}"
+    steps.append(f"p AS (SELECT source, lang, topic, w / tokens / max(w / tokens) OVER () AS probability FROM {last})")
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, tokens, round(coalesce(probability, 0), 9) AS probability,
+    CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / pow(2, 52) < coalesce(probability, 0) AS kept
+FROM docs LEFT JOIN p USING (source, lang, topic)"""
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
@@ -102,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_dups": op3_near_dups,
         "op5_sentencepiece": op5_sentencepiece,
         "op8_quality": op8_quality,
+        "op9_mixing": op9_mixing,
         "op10_top_k": op10_top_k,
     }
 
@@ -110,5 +147,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
+        "op9_mixing": _op9_sql(),
         "op10_top_k": OP10_SQL,
     }
