@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .licenses import APART, PHRASES, SHARE, STRETCH, TEMPLATES, license_scan
 from .line_dedup import drop_repeated_lines
 from .mixing import mix, text_topic, word_count
 from .near_dups import near_duplicates
@@ -74,6 +75,57 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, spans = license_scan(table(spark, sf_dir, "documents"))
+    found = spans.groupBy("id", "version").agg(
+        F.count_if("exact").alias("n_base"),
+        F.min(F.when(F.col("exact"), F.col("first"))).cast("long").alias("first_word"),
+        F.max(F.when(F.col("exact"), F.col("first"))).cast("long").alias("last_word"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
+        F.max("share").alias("score"),
+    )
+    joined = texts.join(found.withColumnsRenamed({"id": "found_id", "version": "found_version"}), F.col("id").eqNullSafe(F.col("found_id")) & (F.col("version") == F.col("found_version")), "left")
+    none = F.lit("")
+    return joined.select(
+        F.col("id").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"),
+    )
+
+
+def _op6_sql() -> str:
+    told = ", ".join(f"('{label}', {exact}, '{text}')" for texts, exact in ((PHRASES, True), (TEMPLATES, False)) for text, label in texts)
+    return f"""
+WITH named(label, exact, text) AS (VALUES {told}
+), pairs AS (
+    SELECT label, exact, len(string_split(text, ' ')) - 1 AS pairs, unnest(range(0, len(string_split(text, ' ')) - 1)) AS p, string_split(text, ' ') AS tw FROM named
+), tp AS (
+    SELECT label, exact, pairs, p, tw[p + 1] AS a, tw[p + 2] AS b FROM pairs
+), docs AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), rolling AS (
+    SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM docs WHERE len(w) > 1)
+), votes AS MATERIALIZED (
+    SELECT doc_id, label, exact, pairs, i - p AS d, list(DISTINCT p) AS ps, min(i) AS lo, max(i) AS hi FROM rolling JOIN tp USING (a, b) GROUP BY ALL
+), marked AS (
+    SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, label ORDER BY d) <= {APART} THEN 0 ELSE 1 END AS fresh FROM votes WHERE NOT exact
+), islands AS (
+    SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label ORDER BY d) AS island FROM marked
+), spans AS (
+    SELECT doc_id, label, pairs, len(list_distinct(flatten(list(ps)))) AS held, min(lo) AS first, max(hi) + 1 AS last FROM islands GROUP BY doc_id, label, pairs, island
+), found AS (
+    SELECT doc_id, label, exact, d AS first, 1.0::DOUBLE AS share FROM votes WHERE exact AND len(ps) = pairs
+    UNION ALL
+    SELECT doc_id, label, false, first, held::DOUBLE / pairs FROM spans WHERE held::DOUBLE / pairs >= {SHARE} AND last - first + 1 <= {STRETCH} * (pairs + 1)
+), grouped AS (
+    SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(first) FILTER (WHERE exact) AS first_word, max(first) FILTER (WHERE exact) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+    FROM found GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 9) AS score
+FROM docs LEFT JOIN grouped USING (doc_id)"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.withColumnRenamed("id", "doc_id")
@@ -137,6 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_near_dups": op3_near_dups,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_licenses": op6_licenses,
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_top_k": op10_top_k,
@@ -147,6 +200,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
+        "op6_licenses": _op6_sql(),
         "op9_mixing": _op9_sql(),
         "op10_top_k": OP10_SQL,
     }
