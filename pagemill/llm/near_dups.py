@@ -9,10 +9,11 @@ of a few hundred shingles need one or two rounds of the hundred.
 Equal sets are one class and are sketched into buckets once. In a bucket
 (members that share a band of the signature) each member is compared with one
 centre, not with all others; links are confirmed on full sets and grouped by
-union-find. Buckets that still hold several components are then compared
-further until every pair of members that could join two components has been
-compared, so that no link of a bucket is lost and a group of copies never
-becomes all its pairs.
+union-find. Where a bucket still holds several components, the shingles that a
+member has in common with any other component bound its similarity to them;
+most members can be settled by that. What remains is compared until every
+pair of members that could join two components has been compared, so that no
+link of a bucket is lost and a group of copies never becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .common import utf8, written
 from .components import components
 
 VOCABULARY_ENTRIES = 500_000
-#: Rounds in which the members of a mixed bucket are compared with one centre, before all that is left is compared.
-STAR_ROUNDS = 3
+#: Rounds in which the members of a bucket are compared with one centre, before all that is left is compared.
+STAR_ROUNDS = 2
 _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -172,42 +173,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(wanted, "id", "left_semi")
     texts = written(_one_text(texts, sketches, words), "candidates")
 
-    def near(n: Column, m: Column) -> Column:
-        return F.least(n, m) * share[1] >= F.greatest(n, m) * share[0]
+    def near(n: tuple[Column, Column], m: tuple[Column, Column]) -> Column:
+        """Whether two sets of these sizes with at most m common elements can be similar enough."""
+        return F.least(*m) * sum(share) >= (n[0] + n[1]) * share[0]
 
-    links, done, labels = [], [], None
+    done, labels = [], None
     for turn in range(STAR_ROUNDS + 1):
-        rows_now = crowded
-        if labels is not None:
-            labelled = crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-            mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-            rows_now = labelled.join(mixed, "h")
+        if labels is None:
+            rows_now = crowded.withColumns({"root": F.col("rep"), "m": F.col("n")})
         else:
-            rows_now = crowded.withColumn("root", F.col("rep"))
+            labelled = crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+            mixed = written(_mixed(labelled), "mixed")
+            if mixed.isEmpty():
+                break
+            supported = mixed.join(_support(mixed, texts, words), "rep")
+            least = supported.groupBy("h").agg(F.min("n").alias("n_least"))
+            alive = supported.join(least, "h").where(F.col("m") * sum(share) >= (F.col("n") + F.col("n_least")) * share[0]).drop("n_least")
+            rows_now = written(_mixed(alive), "alive")
+            if rows_now.isEmpty():
+                break
         if turn < STAR_ROUNDS:
-            ranked = F.struct(F.xxhash64(F.lit(turn), "rep").alias("r"), F.struct("rep", "n", "root").alias("v"))
-            other = rows_now.groupBy("h").agg(F.min(ranked).alias("c")).select("h", "c.v.*").toDF("h", "rep2", "n2", "root2")
+            ranked = F.struct(F.xxhash64(F.lit(turn), "rep").alias("r"), F.struct("rep", "n", "root", "m").alias("v"))
+            other = rows_now.groupBy("h").agg(F.min(ranked).alias("c")).select("h", "c.v.*").toDF("h", "rep2", "n2", "root2", "m2")
             met = rows_now.join(other, "h")
         else:
-            met = rows_now.join(rows_now.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "root")]), "h").where("rep < rep2")
-        met = met.where(F.col("root") != F.col("root2")).where(near(F.col("n"), F.col("n2")))
+            met = rows_now.join(rows_now.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "root", "m")]), "h").where("rep < rep2")
+        met = met.where(F.col("root") != F.col("root2")).where(near((F.col("n"), F.col("n2")), (F.col("m"), F.col("m2"))))
         pairs = met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
         if done:
             pairs = pairs.join(reduce(DataFrame.union, done), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if turn and pairs.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
         done.append(pairs)
         found = written(_confirmed(pairs, texts, words, share), "links")
-        links.append(found)
-        labels = components(found if labels is None else found.union(labels.select("node", "root")))
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():
+            labels = components(found.union(labels.select("node", "root")))
     named = members.join(classes, ["k1", "k2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep", "id")
     return named.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components."""
+    several = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    return rows.join(several, "h")
+
+
+def _support(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(rep, m): how many shingles of each member stand in another component too. No
+    two components can have a more similar pair than that allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = shingles(batch.column(2)[i].as_py(), words).view(np.int64)
+                at = pa.array(np.full(len(s), i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(s)], ["rep", "root", "s"])
+
+    kind = rows.schema["rep"].dataType.simpleString()
+    known = rows.select("rep", "root").distinct()
+    each = known.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "root", "text").mapInArrow(run, f"rep {kind}, root {kind}, s long")
+    each = written(each, "support")
+    shared = each.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
+    return each.join(shared, "s").groupBy("rep").agg(F.count("*").alias("m"))
+
+
 def _one_text(texts: DataFrame, sketches: DataFrame, words: int) -> DataFrame:
     """Where an id repeats, the text with the smallest set digest."""
     repeated = sketches.groupBy("id").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2")).alias("s")).where("c > 1")

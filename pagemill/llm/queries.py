@@ -13,6 +13,7 @@ from .line_dedup import drop_repeated_lines
 from .mixing import mix, text_topic, word_count
 from .near_dups import near_duplicates
 from .quality import quality_scores
+from .quotes import link_quotes
 from .sentencepiece_bpe import encode_decode
 from .top_k import exact_top_k
 from .warc import archive_pages, read_archives
@@ -70,6 +71,48 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_quotes(table(spark, sf_dir, "conversations"))
+    return out.select("row.conv_id", "row.turn", "row.role", "n_quoted", "n_linked", "parent_turn", "thread_turn", "depth", "position", F.sha2(F.col("own_text").cast("binary"), 256).alias("own_sha256"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE lines AS (
+    SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM conversations
+), levels AS (
+    SELECT *, len(regexp_extract(line, '^[ \t]*(?:>[ \t]*)*')) - len(replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)*'), '>', '')) AS level FROM lines
+), parsed AS (
+    SELECT conv_id, turn, pos, level, CASE WHEN level > 0 THEN regexp_replace(line, '^[ \t]*(?:>[ \t]*)*', '') ELSE line END AS content FROM levels
+), marked AS (
+    SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM parsed
+), numbered AS (
+    SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM marked
+), runs AS (
+    SELECT conv_id, turn, level, run, string_agg(content, chr(10) ORDER BY pos) AS content FROM numbered GROUP BY ALL
+), units AS (
+    SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(content), '[ \t\n\v\f\r]+', ' ', 'g')) AS t
+    FROM (SELECT conv_id, turn, level, content FROM runs UNION ALL SELECT conv_id, turn, level, content FROM parsed)
+), originals AS (
+    SELECT conv_id, t, min(turn) AS original FROM units WHERE level = 0 AND len(t) >= 10 GROUP BY ALL
+), links AS (
+    SELECT q.conv_id, q.turn, q.level, len(q.t) AS size, o.original FROM units q JOIN originals o ON q.conv_id = o.conv_id AND q.t = o.t AND o.original < q.turn WHERE q.level > 0 AND len(q.t) >= 10
+), parents AS (
+    SELECT conv_id, turn, count(DISTINCT original) AS n_linked, arg_max(original, (-level, size, original)) AS parent_turn FROM links GROUP BY ALL
+), up AS (
+    SELECT conv_id, turn, parent_turn AS root, CAST(1 AS BIGINT) AS depth FROM parents
+    UNION ALL SELECT up.conv_id, up.turn, p.parent_turn, up.depth + 1 FROM up JOIN parents p ON up.conv_id = p.conv_id AND up.root = p.turn
+), threads AS (
+    SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY ALL
+), own AS (
+    SELECT conv_id, turn, trim(coalesce(string_agg(content, chr(10) ORDER BY pos) FILTER (WHERE level = 0), ''), ' ' || chr(9) || chr(10) || chr(13)) AS own_text,
+        count(DISTINCT run) FILTER (WHERE level > 0) AS n_quoted FROM numbered GROUP BY ALL
+)
+SELECT c.conv_id, c.turn, c.role, n_quoted, coalesce(n_linked, 0) AS n_linked, parent_turn, coalesce(root, c.turn) AS thread_turn, coalesce(depth, 0) AS depth,
+    row_number() OVER (PARTITION BY c.conv_id ORDER BY coalesce(root, c.turn), c.turn) - 1 AS position, sha256(own_text) AS own_sha256
+FROM conversations c JOIN own USING (conv_id, turn) LEFT JOIN parents USING (conv_id, turn) LEFT JOIN threads USING (conv_id, turn)
+"""
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), piece_model_path())
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -188,6 +231,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_line_dedup": op2_line_dedup,
         "op3_near_dups": op3_near_dups,
+        "op4_quotes": op4_quotes,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_licenses": op6_licenses,
         "op8_quality": op8_quality,
@@ -200,6 +244,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
+        "op4_quotes": OP4_SQL,
         "op6_licenses": _op6_sql(),
         "op9_mixing": _op9_sql(),
         "op10_top_k": OP10_SQL,
