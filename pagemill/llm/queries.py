@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .fingerprints import fingerprints
 from .licenses import APART, PHRASES, SHARE, STRETCH, TEMPLATES, license_scan
 from .line_dedup import drop_repeated_lines
 from .mixing import mix, text_topic, word_count
@@ -169,6 +170,11 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
 FROM docs LEFT JOIN grouped USING (doc_id)"""
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.withColumnRenamed("id", "doc_id")
@@ -234,6 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quotes": op4_quotes,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_licenses": op6_licenses,
+        "op7_fingerprints": op7_fingerprints,
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_top_k": op10_top_k,
