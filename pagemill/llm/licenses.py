@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words that name a licence, as they stand in a row, and the label each gives.
 PHRASES = [
     ("mit license", "mit"),
@@ -73,7 +75,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rolling = rows.where(F.size("w") > 1).select("id", "version", F.posexplode(pair).alias("i", "pair"))
     told = F.broadcast(template_pairs(docs.sparkSession).withColumn("h", F.xxhash64("a", "b")))
     same = (F.col("pair.h") == F.col("h")) & (F.col("pair.a") == F.col("a")) & (F.col("pair.b") == F.col("b"))
-    hits = rolling.join(told, same).select("id", "version", "label", "exact", "pairs", "p", "i", (F.col("i") - F.col("p")).alias("d")).distinct()
+    hits = rolling.join(told, same).select("id", "version", "label", "exact", "pairs", "p", "i", (F.col("i") - F.col("p")).alias("d"))
+    # Few rows; written, so that the texts are scanned once for both kinds of template.
+    hits = written(hits, "hits").distinct()
     votes = hits.groupBy("id", "version", "label", "exact", "pairs", "d").agg(F.collect_set("p").alias("ps"), F.min("i").alias("lo"), F.max("i").alias("hi"))
     # Phrases: a full diagonal. Templates: neighbouring diagonals together.
     phrases = votes.where(F.col("exact") & (F.size("ps") == F.col("pairs"))).select("id", "version", "label", "exact", F.col("d").alias("first"), (F.col("d") + F.col("pairs")).alias("last"), F.lit(1.0).alias("share"))
