@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import dashboard, sessions
+
 Query = Callable[[SparkSession, str], DataFrame]
+FAMILIES = [dashboard, sessions]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.SQL.items()}

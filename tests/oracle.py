@@ -44,7 +44,7 @@ def differences(spark, name: str, sf_dir: str) -> str:
     import __spark_entry__ as entry
 
     df = entry.queries()[name](spark, sf_dir)
-    got = same_order(df.columns, [tuple(r.asDict(recursive=True).values()) if False else tuple(r) for r in df.collect()])
+    got = same_order(df.columns, [tuple(r) for r in df.collect()])
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return f"rows only: {len(got[1])}"
