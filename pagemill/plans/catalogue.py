@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboard, sessions
+from . import changes, dashboard, sessions, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = [dashboard, sessions]
+FAMILIES = [dashboard, sessions, texts, changes]
 
 
 def queries() -> dict[str, Query]:
