@@ -60,7 +60,7 @@ def font_scale(value: Column) -> Column:
     for word, factor in ladder.items():
         raw = F.when(v == word, factor).otherwise(raw)
     scaled = F.floor(F.least(F.lit(2.0), F.greatest(F.lit(0.5), raw)) * 1000 + 0.5) / 1000
-    return F.when(scaled != 1, scaled)
+    return F.when(raw.isNotNull() & (scaled != 1), scaled)
 
 
 def font_weight(value: Column) -> Column:
@@ -68,4 +68,4 @@ def font_weight(value: Column) -> Column:
     v = F.lower(F.btrim(value))
     raw = F.when(v.isin("bold", "bolder"), 700).when(v == "lighter", 300).when(v == "normal", 400).when(v.rlike(r"^\d{1,4}$"), F.nullif(F.regexp_extract(v, r"^\d{1,4}$", 0), F.lit("")).cast("int"))
     snapped = (F.floor(F.least(F.lit(900), F.greatest(F.lit(100), raw)) / 100 + 0.5) * 100).cast("int")
-    return F.when(snapped != 400, snapped)
+    return F.when(raw.isNotNull() & (snapped != 400), snapped)

@@ -157,7 +157,7 @@ def href_path(href: Column) -> Column:
 
 
 def href_anchor(href: Column) -> Column:
-    return F.when(F.instr(href, "#") > 0, F.nullif(F.substring_index(href, "#", -1), F.lit("")))
+    return F.nullif(F.regexp_extract(href, "#(.*)$", 1), F.lit(""))
 
 
 def contains_ci(text: Column, query: str) -> Column:

@@ -1,0 +1,123 @@
+"""Markup to typed blocks: one row for each block of a page, in order.
+
+A page is parsed by the standard library's tokenizer inside `mapInPandas`; a
+task holds one page at a time.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: The named entities of XML.
+NAMED = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "quot": '"'}
+ENTITY = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([A-Za-z_:][\w:.-]*));")
+HEADINGS = {f"h{n}": n for n in range(1, 7)}
+BLOCKS = {"p": "paragraph", "blockquote": "blockquote", "ul": "list", "ol": "list", **dict.fromkeys(HEADINGS, "heading")}
+SKIPPED = {"script", "style", "head", "template"}
+
+
+def decode_entities(text: str) -> str:
+    """XML entities in one pass; unknown names and invalid code points stay as they are."""
+
+    def one(m: re.Match) -> str:
+        if m[3]:
+            return NAMED.get(m[3], m[0])
+        code = int(m[1]) if m[1] else int(m[2], 16)
+        fine = code in (9, 10, 13) or 0x20 <= code <= 0xD7FF or 0xE000 <= code <= 0xFFFD or 0x10000 <= code <= 0x10FFFF
+        return chr(code) if fine else m[0]
+
+    return ENTITY.sub(one, text)
+
+
+def tidy(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()
+
+
+class _Blocks(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.rows: list[dict] = []
+        self.open: dict | None = None
+        self.depth = self.skip = 0
+
+    def _begin(self, tag: str, attrs: dict) -> None:
+        self._end()
+        self.open = {"kind": BLOCKS[tag], "tag": tag, "level": HEADINGS.get(tag), "anchor": attrs.get("id"), "text": "", "links": 0, "items": 0}
+        self.depth = 1
+
+    def _end(self) -> None:
+        if self.open:
+            self.open["text"] = tidy(self.open["text"])
+            if self.open["text"]:
+                self.rows.append(self.open)
+        self.open, self.depth = None, 0
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag in SKIPPED:
+            self.skip += 1
+        if self.skip:
+            return
+        if tag in BLOCKS and not (self.open and self.open["kind"] in ("list", "blockquote")):
+            self._begin(tag, attrs)
+        elif self.open and tag == self.open["tag"]:
+            self.depth += 1
+        if tag == "img":
+            was = self.open
+            if was is None or not was["text"].strip():
+                self.rows.append({"kind": "image", "tag": "img", "level": None, "anchor": attrs.get("id"), "text": attrs.get("alt") or "", "links": 0, "items": 0})
+        if self.open:
+            self.open["links"] += tag == "a" and bool(attrs.get("href"))
+            if tag == "li":
+                self.open["items"] += 1
+                self.open["text"] += " "
+            if tag == "br":
+                self.open["text"] += " "
+
+    def handle_endtag(self, tag):
+        if tag in SKIPPED:
+            self.skip = max(0, self.skip - 1)
+        elif self.open and tag == self.open["tag"]:
+            self.depth -= 1
+            if not self.depth:
+                self._end()
+
+    def handle_data(self, data):
+        if self.open and not self.skip:
+            self.open["text"] += data
+
+    def handle_entityref(self, name):
+        self.handle_data(decode_entities(f"&{name};"))
+
+    def handle_charref(self, name):
+        self.handle_data(decode_entities(f"&#{name};"))
+
+
+def blocks_of(html: str) -> list[dict]:
+    """Text outside of blocks is dropped, as are scripts and styles."""
+    parser = _Blocks()
+    parser.feed(html)
+    parser.close()
+    parser._end()
+    return parser.rows
+
+
+def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page id, n, kind, level, anchor, text, links, items), n from 1. A null page has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, html in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+                rows = [(key, n, b["kind"], b["level"], b["anchor"], b["text"], b["links"], b["items"]) for n, b in enumerate(blocks_of(html), 1)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["page_id", "n", "kind", "level", "anchor", "text", "links", "items"]).astype({"level": "Int64"})
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    rows = pages.select(F.col(id_col), F.coalesce(html_col, F.lit("")).alias("html"))
+    return rows.mapInPandas(run, f"page_id {kind}, n int, kind string, level int, anchor string, text string, links int, items int")
