@@ -33,6 +33,8 @@ from .components import components
 VOCABULARY_ENTRIES = 500_000
 #: Rounds in which the members of a bucket are compared with one centre, before all that is left is compared.
 STAR_ROUNDS = 2
+#: Groups of shingles whose common sizes bound what two sets share.
+GROUPS = 64
 _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -173,14 +175,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(wanted, "id", "left_semi")
     texts = written(_one_text(texts, sketches, words), "candidates")
 
-    def near(n: tuple[Column, Column], m: tuple[Column, Column]) -> Column:
-        """Whether two sets of these sizes with at most m common elements can be similar enough."""
-        return F.least(*m) * sum(share) >= (n[0] + n[1]) * share[0]
+    def near(common: Column) -> Column:
+        """Whether two sets with at most so many common elements can be similar enough."""
+        return common * sum(share) >= (F.col("n") + F.col("n2")) * share[0]
 
     done, labels = [], None
     for turn in range(STAR_ROUNDS + 1):
         if labels is None:
-            rows_now = crowded.withColumns({"root": F.col("rep"), "m": F.col("n")})
+            rows_now = crowded.withColumns({"root": F.col("rep"), "m": F.col("n"), "groups": F.lit(None).cast("array<int>")})
         else:
             labelled = crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
             mixed = written(_mixed(labelled), "mixed")
@@ -193,12 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if rows_now.isEmpty():
                 break
         if turn < STAR_ROUNDS:
-            ranked = F.struct(F.xxhash64(F.lit(turn), "rep").alias("r"), F.struct("rep", "n", "root", "m").alias("v"))
-            other = rows_now.groupBy("h").agg(F.min(ranked).alias("c")).select("h", "c.v.*").toDF("h", "rep2", "n2", "root2", "m2")
+            ranked = F.struct(F.xxhash64(F.lit(turn), "rep").alias("r"), F.struct("rep", "n", "root", "m", "groups").alias("v"))
+            other = rows_now.groupBy("h").agg(F.min(ranked).alias("c")).select("h", "c.v.*").toDF("h", "rep2", "n2", "root2", "m2", "groups2")
             met = rows_now.join(other, "h")
         else:
-            met = rows_now.join(rows_now.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "root", "m")]), "h").where("rep < rep2")
-        met = met.where(F.col("root") != F.col("root2")).where(near((F.col("n"), F.col("n2")), (F.col("m"), F.col("m2"))))
+            met = rows_now.join(rows_now.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "root", "m", "groups")]), "h").where("rep < rep2")
+        met = met.where(F.col("root") != F.col("root2")).where(near(F.least("m", "m2")))
+        if labels is not None:
+            met = met.where(near(F.aggregate(F.zip_with("groups", "groups2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)))
         pairs = met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
         if done:
             pairs = pairs.join(reduce(DataFrame.union, done), ["a", "b"], "left_anti")
@@ -221,8 +225,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _support(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(rep, m): how many shingles of each member stand in another component too. No
-    two components can have a more similar pair than that allows."""
+    """(rep, m, groups): how many shingles of each member stand in another component
+    too, in all and by GROUPS groups of shingles. No two components can have a
+    more similar pair than the smaller of two members' numbers allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +241,10 @@ def _support(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     each = known.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "root", "text").mapInArrow(run, f"rep {kind}, root {kind}, s long")
     each = written(each, "support")
     shared = each.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    return each.join(shared, "s").groupBy("rep").agg(F.count("*").alias("m"))
+    counted = each.join(shared, "s").groupBy("rep", F.pmod(F.shiftright("s", 7), F.lit(GROUPS)).cast("int").alias("g")).agg(F.count("*").cast("int").alias("c"))
+    by_group = F.map_from_entries(F.collect_list(F.struct("g", "c")))
+    counted = counted.groupBy("rep").agg(F.sum("c").alias("m"), by_group.alias("by"))
+    return counted.select("rep", "m", F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.coalesce(F.try_element_at("by", g), F.lit(0))).alias("groups"))
 
 
 def _one_text(texts: DataFrame, sketches: DataFrame, words: int) -> DataFrame:
