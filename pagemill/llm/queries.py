@@ -81,9 +81,9 @@ OP4_SQL = r"""
 WITH RECURSIVE lines AS (
     SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM conversations
 ), levels AS (
-    SELECT *, len(regexp_extract(line, '^[ \t]*(?:>[ \t]*)*')) - len(replace(regexp_extract(line, '^[ \t]*(?:>[ \t]*)*'), '>', '')) AS level FROM lines
+    SELECT *, len(regexp_extract(line, '^[> \t]*')) - len(replace(regexp_extract(line, '^[> \t]*'), '>', '')) AS level FROM lines
 ), parsed AS (
-    SELECT conv_id, turn, pos, level, CASE WHEN level > 0 THEN regexp_replace(line, '^[ \t]*(?:>[ \t]*)*', '') ELSE line END AS content FROM levels
+    SELECT conv_id, turn, pos, level, CASE WHEN level > 0 THEN regexp_replace(line, '^[> \t]*', '') ELSE line END AS content FROM levels
 ), marked AS (
     SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM parsed
 ), numbered AS (

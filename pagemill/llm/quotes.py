@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PREFIX = r"^[ \t]*(?:>[ \t]*)*"
+PREFIX = r"^[> \t]*"
 
 
 def normalised(text: Column) -> Column:

@@ -62,15 +62,16 @@ def _packed(rows: DataFrame, size: int, id_type: str, prefix: str) -> DataFrame:
     return rows.mapInArrow(run, f"{prefix}dim long, {prefix}ids array<{id_type}>, {prefix}matrix binary")
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T, exact: doubles hold whole numbers below 2^53, longs below 2^63; beyond, a total saturates."""
+def _product(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    """a @ b.T, exact: doubles hold whole numbers below 2^53, longs below 2^63. Beyond
+    that a part saturates so that the sum of `parts` of them still is a long."""
     reach = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if reach < 2**53:
         return (a @ b.T).astype(np.int64)
-    if reach < 2**62:
+    if reach * parts < 2**62:
         return a.astype(np.int64) @ b.astype(np.int64).T
     whole = np.array([[int(x) for x in r] for r in a], object) @ np.array([[int(x) for x in r] for r in b], object).T
-    return np.clip(whole, -(2**62), 2**62).astype(np.int64)
+    return np.clip(whole, -(2**62) // parts, 2**62 // parts).astype(np.int64)
 
 
 class _Best:
@@ -96,7 +97,7 @@ def _scored(pairs: DataFrame, k: int, slices: int, id_type: str, second: bool) -
     def meet(best: _Best, q_ids: list, q: np.ndarray, c_ids: list, c: np.ndarray, cutoffs: list | None) -> None:
         edges = np.linspace(0, q.shape[1], min(slices, max(1, q.shape[1])) + 1).astype(int)
         m = len(edges) - 1
-        parts = [_product(q[:, lo:hi], c[:, lo:hi]) for lo, hi in zip(edges, edges[1:])]
+        parts = [_product(q[:, lo:hi], c[:, lo:hi], m) for lo, hi in zip(edges, edges[1:])]
         totals = sum(parts[1:], parts[0])
         where = {}
         for j, i in enumerate(c_ids):
@@ -134,9 +135,7 @@ def _scored(pairs: DataFrame, k: int, slices: int, id_type: str, second: bool) -
             kind = batch.column(0).type.value_type
             for n in range(batch.num_rows):
                 q_ids, c_ids, dim = batch.column(0)[n].as_py(), batch.column(2)[n].as_py(), batch.column(4)[n].as_py()
-                q, c = (np.frombuffer(batch.column(x)[n].as_py(), "<f8").reshape(-1, dim) for x in (1, 3))
-                if dim == 0:
-                    q, c = np.zeros((len(q_ids), 1)), np.zeros((len(c_ids), 1))
+                q, c = (np.frombuffer(batch.column(x)[n].as_py(), "<f8").reshape(len(i), dim) for x, i in ((1, q_ids), (3, c_ids)))
                 meet(best, q_ids, q, c_ids, c, batch.column(5)[n].as_py() if second else None)
                 blocks.add(q_ids[0])
                 if len(blocks) >= HELD_BLOCKS:
