@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes, dashboard, markup, sessions, strings, texts
+from . import changes, dashboard, markup, packages, sessions, strings, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = [dashboard, sessions, texts, changes, strings, markup]
+FAMILIES = [dashboard, sessions, texts, changes, strings, packages, markup]
 
 
 def queries() -> dict[str, Query]:
