@@ -196,3 +196,10 @@ def test_paths_and_images():
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (300).to_bytes(4, "big") + (200).to_bytes(4, "big")
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x50\x00\xa0\x03"
     assert image_size(png) == (300, 200) and image_size(b"GIF89a\x05\x00\x07\x00") == (5, 7) and image_size(jpeg) == (160, 80) and image_size(b"x") is None
+
+
+@pytest.mark.parametrize("raw,parts", [("see https://example.com/a/b?x=1 now", ["see https://", "example.", "com/", "a/", "b?", "x=", "1 now"]), ("e.g. well-known", ["e.g. well-known"]), ("123,456,789,012,345", ["123,456,789,012,345"]), ("averyveryverylongword...", ["averyveryverylongword..."])])
+def test_break_points(spark, raw, parts):
+    from pagemill.functions.styles import break_points
+
+    assert one(spark, break_points(F.col("t")), t=raw) == parts
