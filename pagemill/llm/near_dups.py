@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketches = written(_sketches(docs, id_col, text_col, words, n_bands, rows), "sketches")
     members = sketches.groupBy("id").agg(F.min(F.struct("k1", "k2", "n")).alias("s")).select("id", "s.*")
-    classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    # Written, so that a class of very many copies can be split where members meet their class.
+    classes = written(members.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     sketched = sketches.where("n > 0").join(classes.withColumnRenamed("rep", "id"), ["id", "k1", "k2"]).dropDuplicates(["id"])
     in_bands = sketched.select(F.col("id").alias("rep"), "n", F.explode("bands").alias("h"))
     crowds = in_bands.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
