@@ -203,3 +203,10 @@ def test_break_points(spark, raw, parts):
     from pagemill.functions.styles import break_points
 
     assert one(spark, break_points(F.col("t")), t=raw) == parts
+
+
+def test_style_rules():
+    from pagemill.sources.css import rules_of
+
+    css = "/* x */ p, .lead { text-indent: 1em !important; color: red } p > a { x: y } h1.big{font-size:2em;} @media print { p { margin: 0 } }"
+    assert rules_of(css) == [("p", "text-indent", "1em"), ("p", "color", "red"), (".lead", "text-indent", "1em"), (".lead", "color", "red"), ("h1.big", "font-size", "2em"), ("p", "margin", "0")]
