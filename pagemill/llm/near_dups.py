@@ -180,19 +180,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Whether two sets with at most so many common elements can be similar enough."""
         return common * sum(share) >= (F.col("n") + F.col("n2")) * share[0]
 
-    done, labels = [], None
+    done, labels, left = [], None, crowded
     for turn in range(STAR_ROUNDS + 1):
         if labels is None:
             rows_now = crowded.withColumns({"root": F.col("rep"), "m": F.col("n"), "groups": F.lit(None).cast("array<int>")})
         else:
-            labelled = crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-            mixed = written(_mixed(labelled), "mixed")
+            labelled = left.drop("root").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+            rows_now = mixed = written(_mixed(labelled), "mixed")
             if mixed.isEmpty():
                 break
+        if turn == 1:
+            # Components only grow, so that what a member shares with others only
+            # shrinks: these bounds and the rows they settle hold for later rounds.
             supported = mixed.join(_support(mixed, texts, words), "rep")
             least = supported.groupBy("h").agg(F.min("n").alias("n_least"))
             alive = supported.join(least, "h").where(F.col("m") * sum(share) >= (F.col("n") + F.col("n_least")) * share[0]).drop("n_least")
-            rows_now = written(_mixed(alive), "alive")
+            rows_now = left = written(_mixed(alive), "alive")
             if rows_now.isEmpty():
                 break
         if turn < STAR_ROUNDS:
