@@ -9,8 +9,9 @@ does not judge them; a null doc_id is never grouped with another one.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm.common import table, utf8, written
 from pagemill.llm.line_dedup import drop_repeated_lines
@@ -53,12 +54,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[made[c] if c in made else F.col(f"row.`{c}`") for c in docs.columns])
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A key for each doc_id and text, in the order of the doc_ids. A null text counts as empty."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        flipped = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))
+        at = F.unhex(F.lpad(F.hex(flipped), 16, "0"))
+    else:
+        at = F.concat(F.col("doc_id").cast("string"), F.lit("\0")).cast("binary")
+    return F.concat(at, F.unhex(F.md5(utf8("text"))))
+
+
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the
-    smallest doc_id stays, once."""
-    kept = near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id"))
-    single = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    smallest doc_id stays, once. Each row is judged by its own text: unlike texts
+    that share a doc_id all stay, rows that repeat both are one."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(_row_key(docs).alias("key"), F.col("text"), row)
+    kept = near_duplicates(keyed, "key").where("kept").select(F.col("id").alias("key"))
+    single = keyed.select("key", "row").dropDuplicates(["key"]).join(kept, "key", "left_semi")
+    return single.select("row.*").union(docs.where(F.col("doc_id").isNull()))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,18 @@ def test_near_dups_keep_one_of_each_group(documents, spark):
     docs = documents([(3, text), (1, text + " more"), (2, "something else entirely here now"), (2, "something else entirely here now"), (None, text), (None, text)])
     got = corpus_pipeline.near_dups(spark, docs, "").collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, text + " more"), (2, "something else entirely here now"), (None, text), (None, text)], key=repr)
+
+
+def test_near_dups_judge_each_text_of_a_repeated_id(documents, spark):
+    def text(k, n=200):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+
+    unlike = [(7, text(k)) for k in range(30)]
+    copies = [(7, text(k) + " more") for k in range(40, 50)]
+    firsts = [(-3 - k, text(k)) for k in range(40, 50)]
+    docs = documents([*unlike, *copies, *firsts, (7, text(0)), (9, text(1) + " more"), (12, None), (12, text(60, 3))])
+    got = corpus_pipeline.near_dups(spark, docs, "").collect()
+    want = [*unlike, *firsts, (12, None), (12, text(60, 3))]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    named = corpus_pipeline.near_dups(spark, docs.withColumn("doc_id", F.concat(F.lit("d"), (F.col("doc_id") + 100).cast("string"))), "")
+    assert named.count() == len(want)
