@@ -9,9 +9,11 @@ sample have the target margins.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +23,10 @@ from .common import written
 BROADCAST_CELLS = 50_000
 #: Rounds that one job rakes before its weights are written.
 ROUNDS_A_JOB = 5
+#: Margins hold when none is off by more than this share of its aim.
+TOLERANCE = 1e-6
+#: Raking has stalled when two jobs in a row bring the largest error no lower than this share of the least so far.
+STALLED = 0.99
 
 #: A dimension's target: shares by category, or an exponent that tempers the present shares.
 Target = Mapping[str, float] | float
@@ -38,9 +44,29 @@ def text_topic(text: str | Column) -> Column:
     return F.when(F.contains(F.lower(col), F.lit("license")), "legal").when(F.length(col) < 1000, "brief").otherwise("prose")
 
 
+def _raked(weights: DataFrame, names: list[str], rounds: int) -> DataFrame:
+    """The weights after so many more rounds, written."""
+    for _ in range(rounds):
+        for n in names:
+            margin = F.sum("weight").over(W.partitionBy(n))
+            weights = weights.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"aim_{n}"), margin), F.lit(0.0)))
+    return written(weights, "raked")
+
+
+def _margin_errors(weights: DataFrame, names: list[str]) -> list[Row]:
+    """The margins with the largest relative errors, largest first."""
+    margins = [weights.groupBy(F.col(n).alias("category")).agg(F.sum("weight").alias("reached"), F.max(f"aim_{n}").alias("aim")).withColumn("dimension", F.lit(n)) for n in names]
+    error = F.when(F.col("aim") > 0, F.abs(F.col("reached") - F.col("aim")) / F.col("aim")).otherwise(F.lit(0.0))
+    return reduce(DataFrame.union, margins).withColumn("error", error).orderBy(F.desc("error"), "dimension", "category").limit(5).collect()
+
+
 def raked_cells(docs: DataFrame, dimensions: Mapping[str, tuple[Column, Target]], tokens: Column, rounds: int = 15) -> DataFrame:
     """The cells with tokens, weight (raked tokens, their sum that of all tokens) and
-    probability (weight / tokens, divided by its largest value)."""
+    probability (weight / tokens, divided by its largest value).
+
+    After `rounds` rounds raking goes on until the largest relative error of a
+    margin is at most TOLERANCE. Where it stalls before (the targets contradict
+    each other), a warning names the error and the margins that are farthest off."""
     names = list(dimensions)
     cells = docs.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, (c, _) in dimensions.items()], tokens.alias("tokens"))
     cells = written(cells.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
@@ -58,12 +84,18 @@ def raked_cells(docs: DataFrame, dimensions: Mapping[str, tuple[Column, Target]]
         aims = sizes.select(n, (F.col("raw") / F.sum("raw").over(everything) * F.sum("size").over(everything)).alias(f"aim_{n}"))
         aimed = aimed.join(aims, n)
     weights = aimed.withColumn("weight", F.col("tokens").cast("double"))
-    for turn in range(rounds):
-        for n in names:
-            margin = F.sum("weight").over(W.partitionBy(n))
-            weights = weights.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"aim_{n}"), margin), F.lit(0.0)))
-        if (turn + 1) % ROUNDS_A_JOB == 0 or turn + 1 == rounds:
-            weights = written(weights, "raked")
+    for done in range(0, rounds, ROUNDS_A_JOB):
+        weights = _raked(weights, names, min(ROUNDS_A_JOB, rounds - done))
+    least, idle, off = float("inf"), 0, _margin_errors(weights, names)
+    while off and off[0].error > TOLERANCE:
+        idle = 0 if off[0].error < STALLED * least else idle + 1
+        if idle == 2:
+            worst = "; ".join(f"{r.dimension} {r.category!r}: {r.reached:.6g} of {r.aim:.6g} tokens" for r in off)
+            warnings.warn(f"The targets of the mix can't all be met: raking stalled at a relative margin error of {off[0].error:.3g} ({worst})", stacklevel=2)
+            break
+        least = min(least, off[0].error)
+        weights = _raked(weights, names, ROUNDS_A_JOB)
+        off = _margin_errors(weights, names)
     largest = weights.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
     return weights.select(*names, "tokens", "documents", "weight", (F.col("weight") / F.col("tokens") / largest).alias("probability"))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm.mixing import mix, raked_cells, text_topic, word_count
+from pagemill.llm.queries import MIX_ROUNDS
 
 from odd_texts import ODD
 
@@ -44,3 +45,19 @@ def test_odd_rows(documents, clash):
         assert 0 <= r.probability <= 1 and (r.row.lang == "en" or r.probability == 0)
     assert mix(documents([]), {"lang": (F.col("lang"), 0.5)}, word_count("text")).collect() == []
     assert DIMENSIONS
+
+
+def test_tied_margins_hold_with_production_rounds(spark):
+    cells = [("a", "en", 1000), ("a", "fr", 1), ("b", "en", 1), ("b", "fr", 1000)]
+    docs = spark.createDataFrame(cells, "source string, lang string, n long")
+    targets = {"source": (F.col("source"), {"a": 0.5, "b": 0.5}), "lang": (F.col("lang"), {"en": 0.55, "fr": 0.45})}
+    got = raked_cells(docs, targets, F.col("n"), rounds=MIX_ROUNDS).toPandas()
+    assert np.allclose(got.groupby("source").weight.sum() / 2002, [0.5, 0.5], atol=1e-6)
+    assert np.allclose(got.groupby("lang").weight.sum() / 2002, [0.55, 0.45], atol=1e-6)
+
+
+def test_targets_that_contradict_each_other_are_reported(spark):
+    docs = spark.createDataFrame([("a", "en", 10), ("b", "fr", 10)], "source string, lang string, n long")
+    targets = {"source": (F.col("source"), {"a": 0.5, "b": 0.5}), "lang": (F.col("lang"), {"en": 0.8, "fr": 0.2})}
+    with pytest.warns(UserWarning, match="source 'b'"):
+        raked_cells(docs, targets, F.col("n"), rounds=MIX_ROUNDS)
