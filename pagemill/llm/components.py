@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,8 +35,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["a", "b"])
 
 
-def _signature(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, written, and their number with a checksum, counted while they are written."""
+    seen = Observation()
+    out = written(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")), "links")
+    return out, (seen.get["n"], seen.get["s"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -49,18 +52,19 @@ def components(links: DataFrame) -> DataFrame:
     rows with a null end are ignored.
     """
     kind = links.schema["a"].dataType.simpleString()
-    links = written(links.where("a <> b").select("a", "b").mapInArrow(_forest, f"a {kind}, b {kind}"), "links")
-    before = _signature(links)
-    while before[0]:
-        both = links.select("a", "b").union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        links = written(small, "links")
-        after = _signature(links)
-        if after == before:
-            break
-        before = after
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    with scratch(links.sparkSession) as keep:
+        links, before = _written(links.where("a <> b").toDF("a", "b").mapInArrow(_forest, f"a {kind}, b {kind}"))
+        while before[0]:
+            both = links.select("a", "b").union(links.select("b", "a"))
+            least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+            low = down.groupBy("a").agg(F.min("b").alias("m"))
+            small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+            links, after = _written(small)
+            if after == before:
+                break
+            before = after
+        labels = written(links.toDF("node", "root"), "labels")
+        keep(labels)
+    return labels

@@ -10,15 +10,16 @@ from the classes' Cholesky factors, computed once at fitting.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import scratch, utf8, written
 
 STATISTICS = ["log_bytes", "log_words", "word_bytes", "upper", "signs", "digits", "distinct_words", "top_word", "distinct_lines", "stops", "log_lines", "longest_word"]
 _SIGNS = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~", np.uint8))
@@ -43,17 +44,15 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x): the statistics of every row; a null text counts as empty."""
+def _statistics(texts: pa.Array) -> pa.Array:
+    x = np.array([statistics(t.as_py()) for t in texts], float).reshape(-1, len(STATISTICS))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(STATISTICS), pa.int32()), pa.array(x.ravel()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column(1)], float).reshape(-1, len(STATISTICS))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(STATISTICS), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "x"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(run, f"id {kind}, x array<double>")
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, x): every row, packed, and the statistics of its text; a null text counts as empty."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, F.arrow_udf(_statistics, "array<double>")(utf8(text_col)).alias("x"))
 
 
 @dataclass(frozen=True)
@@ -66,12 +65,20 @@ class Discriminant:
     classes: tuple[tuple[np.ndarray, np.ndarray, float], ...]
     share: float
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def column(self, x: Column) -> Column:
+        """The score of a column of statistics."""
         if len(self.classes) < 2:
-            return np.full(len(x), self.share)
-        z = (x - self.centre) / self.scale
-        density = [weight - 0.5 * (((z - mean) @ factor.T) ** 2).sum(1) for mean, factor, weight in self.classes]
-        return 1 / (1 + np.exp(np.clip(density[0] - density[1], -60, 60)))
+            return F.lit(float(self.share))
+        z = [(x[i] - float(self.centre[i])) / float(self.scale[i]) for i in range(len(STATISTICS))]
+
+        def density(mean: np.ndarray, factor: np.ndarray, weight: float) -> Column:
+            """Log weight less half the squared Mahalanobis distance, by the inverse Cholesky factor."""
+            off = [z[j] - float(mean[j]) for j in range(len(z))]
+            turned = [reduce(add, [off[j] * float(factor[i, j]) for j in range(i + 1)]) for i in range(len(z))]
+            return F.lit(weight) - reduce(add, [t * t for t in turned]) * 0.5
+
+        zero, one = (density(*c) for c in self.classes)
+        return 1 / (1 + F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), zero - one))))
 
 
 def fit(labelled: DataFrame, shrinkage: float = 0.3, ridge: float = 0.05) -> Discriminant:
@@ -108,18 +115,6 @@ def fit(labelled: DataFrame, shrinkage: float = 0.3, ridge: float = 0.05) -> Dis
     return Discriminant(centre, scale, tuple(classes), share)
 
 
-def score(features: DataFrame, model: Discriminant) -> DataFrame:
-    """(id, score) for (id, x) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["id", "score"])
-
-    kind = features.schema["id"].dataType.simpleString()
-    return features.select("id", "x").mapInArrow(run, f"id {kind}, score double")
-
-
 def held_out(id_col):
     """Whether a row's label is kept for measuring: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -137,8 +132,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     Without labelled rows of both classes every score is the smoothed share of
     class 1: (n1 + 1) / (n + 2). Other columns are not read.
     """
-    features = written(document_statistics(docs, id_col, text_col), "statistics")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    model = fit(features.where(~held_out(F.col("id"))).join(known, "id"))
-    out = score(features, model)
-    return out.select("id", held_out(F.col("id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+    with scratch(docs.sparkSession) as keep:
+        features = written(with_statistics(rows).select("row.id", "x"), "statistics")
+        model = fit(features.where(~held_out(F.col("id"))).join(known, "id"))
+        keep(features)
+    out = features.select("id", held_out(F.col("id")).alias("held_out"), model.column(F.col("x")).alias("score"))
+    return out.select("*", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))

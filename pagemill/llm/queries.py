@@ -27,9 +27,11 @@ def piece_model_path() -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without an id keep their rows, with a null page_id."""
     manifest, folder = archive_pages(table(spark, sf_dir, "pages"))
     back = read_archives(manifest, folder, payloads=False)
-    return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    number = lambda c: F.nullif(F.col(c), F.lit("")).cast("long").alias(c)
+    return back.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
 OP1_SQL = """

@@ -7,7 +7,7 @@ kept if it is compatible with the piece before it, and a bitfield remembers
 the positions from which no continuation exists.
 
 Facts of the vocabulary, found or checked when a model is loaded, cut a text
-into chunks that are encoded on their own (and cached, since words recur): no
+into chunks that are encoded on their own (and cached for a task, since words recur): no
 piece continues over a space mark that follows another character, none holds a
 control character such as a line end, and some signs never join a letter before them.
 """
@@ -23,31 +23,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import Bounded, utf8
 
 SPACE = "▁"
 #: A text is cut between a letter and a sign if no piece holds such a pair.
 LETTER, SIGNS = "[A-Za-z\u00c0-\u024f]", ",.;:!?|#$%&*()"
 NOT_MERGED = (float("-inf"), -1)
-#: A worker's caches are emptied at this many entries; results don't depend on it.
-CACHE_ENTRIES = 400_000
+#: Bytes that a task's cache of encoded chunks and its cache of pairs may take; results don't depend on them.
+CHUNK_BYTES, PAIR_BYTES = 48 << 20, 32 << 20
+#: Positions of a chunk whose matches are held at once, and how many such blocks.
+BLOCK, BLOCKS_HELD = 4096, 8
 #: Output batches are handed on at about this many bytes.
 BATCH_BYTES = 8 << 20
 
 
-class _Chunks(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[chunk] = packed = array("I", self.encode(chunk)).tobytes()
-        return packed
-
-
 class BpeModel:
     """The vocabulary of a SentencePiece model of the merge type, with its encoder and decoder.
 
@@ -83,18 +72,23 @@ class BpeModel:
                 self.surface.append(piece.replace(SPACE, " ").encode())
                 self.trie.add_word(piece, (len(piece), i, piece))
         self.trie.make_automaton()
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.longest = max(map(len, self.score), default=1)
+        self.forget()
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece continues over a space mark")
         alone = "".join(re.escape(chr(c)) for c in range(32) if not any(chr(c) in p for p in self.score))
         before = {y for p in self.score for x, y in zip(p, p[1:]) if re.match(LETTER, x)}
         ends = re.escape("".join(c for c in SIGNS if c not in before))
         self._cut = re.compile(f"[{alone}]|{SPACE}*{LETTER}+(?=[{ends}])|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
-        self.chunks = _Chunks(self._backtrack)
         for probe in ("", " ", "a  b", "ﬁ éé\n\tx", "  lead and trail  ", "▁ 7421 --", "日本\U0001f642"):
             if self.encode(probe) != sp.encode(probe) or self.decode(sp.encode(probe)) != sp.decode(sp.encode(probe)):
                 raise ValueError("not a merge-type model with plain normalisation and a leading space")
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.chunks = Bounded(lambda chunk: array("I", self._backtrack(chunk)).tobytes(), CHUNK_BYTES)
+        self.pairs = Bounded(self.compatible, PAIR_BYTES, each=300)
+
     # -- encoding ---------------------------------------------------------
 
     def remerge(self, symbols: list[str]) -> list[str]:
@@ -111,50 +105,64 @@ class BpeModel:
                 scores[at] = score(symbols[at] + symbols[at + 1], NOT_MERGED)[0]
         return symbols
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether the two pieces re-merge to themselves; left is empty for a first piece."""
-        if len(self._pairs) >= CACHE_ENTRIES:
-            self._pairs.clear()
-        known = self._pairs[left, right] = self.remerge([*left, *right]) == ([left, right] if left else [right])
-        return known
+    def compatible(self, pair: tuple[str, str]) -> bool:
+        """Whether two pieces re-merge to themselves; the left one is empty before a first piece."""
+        left, right = pair
+        return self.remerge([*left, *right]) == ([left, right] if left else [right])
+
+    def _matches(self, chunk: str):
+        """A function that gives the pieces that match at a position, by growing length.
+        Blocks of a long chunk are matched when they are first asked for."""
+        blocks: dict[int, list[list[tuple[int, int, str]]]] = {}
+
+        def at(position: int) -> list[tuple[int, int, str]]:
+            block, offset = divmod(position, BLOCK)
+            if block not in blocks:
+                if len(blocks) >= BLOCKS_HELD:
+                    blocks.clear()
+                low = block * BLOCK
+                high = min(len(chunk), low + BLOCK)
+                found = blocks[block] = [[] for _ in range(high - low)]
+                for end, hit in self.trie.iter(chunk, low, min(len(chunk), high + self.longest - 1)):
+                    if (start := end - hit[0] + 1) < high:
+                        found[start - low].append(hit)
+            return blocks[block][offset]
+
+        return at
 
     def _backtrack(self, chunk: str) -> list[int]:
-        n = len(chunk)
-        matches: list[list[tuple[int, int, str]]] = [[] for _ in range(n)]
-        for end, found in self.trie.iter(chunk):
-            matches[end - found[0] + 1].append(found)  # by growing length
-        known, compatible = self._pairs.get, self.compatible
-        failed = 0  # bit p: nothing that follows position p is compatible
+        n, matches, pairs = len(chunk), self._matches(chunk), self.pairs
+        failed = bytearray(n // 8 + 1)  # bit p: nothing that follows position p is compatible
         stack: list[tuple[int, int, int, str]] = []  # position, index into its matches, id, piece
         at, before = 0, ""
-        choice = len(matches[0]) - 1
+        options = matches(0)
+        choice = len(options) - 1
         while at < n:
-            options = matches[at]
             if not options:  # a character outside the vocabulary: its bytes, compatible with all
                 stack.append((at, -1, -1, ""))
                 at, before = at + 1, ""
-                choice = len(matches[at]) - 1 if at < n else 0
-                continue
-            while choice >= 0:
-                length, piece_id, piece = options[choice]
-                end = at + length
-                if not failed >> end & 1:
-                    fits = known((before, piece))
-                    if compatible(before, piece) if fits is None else fits:
+            else:
+                while choice >= 0:
+                    length, piece_id, piece = options[choice]
+                    end = at + length
+                    if not failed[end >> 3] >> (end & 7) & 1 and pairs[before, piece]:
                         break
-                choice -= 1
-            if choice >= 0:
-                stack.append((at, choice, piece_id, piece))
-                at, before = end, piece
-                choice = len(matches[at]) - 1 if at < n else 0
-                continue
-            failed |= 1 << at
-            at, choice, _, _ = stack.pop()
-            while choice < 0:
-                failed |= 1 << at
-                at, choice, _, _ = stack.pop()
-            choice -= 1
-            before = stack[-1][3] if stack else ""
+                    choice -= 1
+                if choice >= 0:
+                    stack.append((at, choice, piece_id, piece))
+                    at, before = end, piece
+                else:
+                    failed[at >> 3] |= 1 << (at & 7)
+                    at, choice, _, _ = stack.pop()
+                    while choice < 0:
+                        failed[at >> 3] |= 1 << (at & 7)
+                        at, choice, _, _ = stack.pop()
+                    choice -= 1
+                    options, before = matches(at), stack[-1][3] if stack else ""
+                    continue
+            if at < n:
+                options = matches(at)
+                choice = len(options) - 1
         ids: list[int] = []
         for at, _, piece_id, _ in stack:
             if piece_id >= 0:
@@ -229,17 +237,20 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         model = _model(shipped)
         head = array("I", [model.bos] if begin else []).tobytes()
         tail = array("I", [model.eos] if end else []).tobytes()
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            start, size, ids, decoded = 0, 0, [], []
-            for i in range(batch.num_rows):
-                packed = head + model.packed(texts[i].as_py().decode(errors="replace")) + tail
-                ids.append(packed)
-                decoded.append(model.decode(array("I", packed)))
-                size += 2 * len(packed)
-                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([keys.slice(start, i + 1 - start), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [id_col, "token_ids", "decoded"])
-                    start, size, ids, decoded = i + 1, 0, [], []
+        try:
+            for batch in batches:
+                keys, texts = batch.column(0), batch.column(1)
+                start, size, ids, decoded = 0, 0, [], []
+                for i in range(batch.num_rows):
+                    packed = head + model.packed(texts[i].as_py().decode(errors="replace")) + tail
+                    ids.append(packed)
+                    decoded.append(model.decode(array("I", packed)))
+                    size += 2 * len(packed)
+                    if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                        yield pa.RecordBatch.from_arrays([keys.slice(start, i + 1 - start), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [id_col, "token_ids", "decoded"])
+                        start, size, ids, decoded = i + 1, 0, [], []
+        finally:
+            model.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), utf8(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, token_ids binary, decoded string")
