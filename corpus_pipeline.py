@@ -8,16 +8,15 @@ does not judge them; a null doc_id is never grouped with another one.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import table, utf8, written
+from pagemill.llm.common import scratch, table, utf8, written
 from pagemill.llm.line_dedup import drop_repeated_lines
 from pagemill.llm.mixing import mix, text_topic, word_count
 from pagemill.llm.near_dups import near_duplicates
-from pagemill.llm.quality import STATISTICS, document_statistics, fit, held_out, statistics
+from pagemill.llm.quality import fit, held_out, with_statistics
 from pagemill.llm.queries import piece_model_path
 from pagemill.llm.sentencepiece_bpe import encode_decode
 
@@ -30,19 +29,13 @@ TARGETS = {"source": 0.97, "lang": 0.97, "topic": 0.97}
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents and drops those the classifier rejects.
-    Where there is nothing to learn from, all documents stay."""
-    import numpy as np
-
-    features = written(document_statistics(docs), "statistics")
+    Where there is nothing to learn from, all documents stay. The rows are written
+    with their statistics, so that these are computed once."""
+    rows = written(with_statistics(docs), "statistics")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    model = fit(features.where(~held_out(F.col("id"))).join(labels, "id"))
-    if not model.classes:
-        return docs
-
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([statistics(t) for t in texts], float).reshape(-1, len(STATISTICS))))
-
-    return docs.where(F.pandas_udf(scores, "double")(utf8("text")) >= QUALITY_THRESHOLD)
+    known = rows.select(F.col("row.doc_id").alias("id"), "x").where(~held_out(F.col("id")))
+    model = fit(known.join(labels, "id"))
+    return rows.where(model.column(F.col("x")) >= QUALITY_THRESHOLD).select("row.*") if model.classes else docs
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,5 +92,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(docs)
     return docs
