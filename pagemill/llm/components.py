@@ -38,7 +38,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
     """The links, written, and their number with a checksum, counted while they are written."""
     seen = Observation()
-    out = written(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")), "links")
+    out = written(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")), "links", few=True)
     return out, (seen.get["n"], seen.get["s"])
 
 
@@ -65,6 +65,6 @@ def components(links: DataFrame) -> DataFrame:
             if after == before:
                 break
             before = after
-        labels = written(links.toDF("node", "root"), "labels")
+        labels = written(links.toDF("node", "root"), "labels", few=True)
         keep(labels)
     return labels

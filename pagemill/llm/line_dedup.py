@@ -124,6 +124,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = written(
         hashed.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_later_occurrences, f"kind int, h1 long, h2 long, id {kind}, at long, version long"),
         "line-later",
+        few=True,
     )
     # As many TAIL rows as there were partitions, whatever the number of lines: small enough to broadcast.
     tails = told.where(F.col("kind") == TAIL).groupBy("h1", "h2").agg(F.min("id").alias("first"))

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
-#: Up to this many cells (some MB) the cell table is broadcast to the documents; larger ones are joined by key.
+#: Up to this many cells (some MB) one task rakes them all and the cell table is broadcast to
+#: the documents; larger ones are raked by shuffles and joined by key. Both give the same rows.
 BROADCAST_CELLS = 50_000
 #: Rounds that one job rakes before its weights are written.
 ROUNDS_A_JOB = 5
@@ -44,12 +45,15 @@ def text_topic(text: str | Column) -> Column:
     return F.when(F.contains(F.lower(col), F.lit("license")), "legal").when(F.length(col) < 1000, "brief").otherwise("prose")
 
 
-def _raked(weights: DataFrame, names: list[str], rounds: int) -> DataFrame:
-    """The weights after so many more rounds, written."""
+def _raked(weights: DataFrame, names: list[str], rounds: int, most: float | None, small: bool) -> DataFrame:
+    """The weights after so many more rounds, written. A small table is one partition, so
+    that its windows need no shuffle."""
+    weights = weights.coalesce(1) if small else weights
     for _ in range(rounds):
         for n in names:
             margin = F.sum("weight").over(W.partitionBy(n))
-            weights = weights.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"aim_{n}"), margin), F.lit(0.0)))
+            moved = F.coalesce(F.try_divide(F.col("weight") * F.col(f"aim_{n}"), margin), F.lit(0.0))
+            weights = weights.withColumn("weight", moved if most is None else F.least(moved, F.col("tokens") * float(most)))
     return written(weights, "raked")
 
 
@@ -60,16 +64,21 @@ def _margin_errors(weights: DataFrame, names: list[str]) -> list[Row]:
     return reduce(DataFrame.union, margins).withColumn("error", error).orderBy(F.desc("error"), "dimension", "category").limit(5).collect()
 
 
-def raked_cells(docs: DataFrame, dimensions: Mapping[str, tuple[Column, Target]], tokens: Column, rounds: int = 15) -> DataFrame:
+def raked_cells(docs: DataFrame, dimensions: Mapping[str, tuple[Column, Target]], tokens: Column, rounds: int = 15, most: float | None = None) -> DataFrame:
     """The cells with tokens, weight (raked tokens, their sum that of all tokens) and
     probability (weight / tokens, divided by its largest value).
 
+    With `most`, no cell may weigh more than so many times its tokens: the other cells
+    of its margins take over what it can't give, and at least 1 / `most` of all
+    tokens can be expected to stay, however short one cell is of its target.
+
     After `rounds` rounds raking goes on until the largest relative error of a
     margin is at most TOLERANCE. Where it stalls before (the targets contradict
     each other), a warning names the error and the margins that are farthest off."""
     names = list(dimensions)
     cells = docs.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, (c, _) in dimensions.items()], tokens.alias("tokens"))
-    cells = written(cells.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
+    cells = written(cells.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")), "cells", few=True)
+    small = cells.count() <= BROADCAST_CELLS
     everything = W.partitionBy(F.lit(1))
     aimed = cells.where("tokens > 0")
     for n, (_, target) in dimensions.items():
@@ -85,7 +94,7 @@ def raked_cells(docs: DataFrame, dimensions: Mapping[str, tuple[Column, Target]]
         aimed = aimed.join(aims, n)
     weights = aimed.withColumn("weight", F.col("tokens").cast("double"))
     for done in range(0, rounds, ROUNDS_A_JOB):
-        weights = _raked(weights, names, min(ROUNDS_A_JOB, rounds - done))
+        weights = _raked(weights, names, min(ROUNDS_A_JOB, rounds - done), most, small)
     least, idle, off = float("inf"), 0, _margin_errors(weights, names)
     while off and off[0].error > TOLERANCE:
         idle = 0 if off[0].error < STALLED * least else idle + 1
@@ -94,7 +103,7 @@ def raked_cells(docs: DataFrame, dimensions: Mapping[str, tuple[Column, Target]]
             warnings.warn(f"The targets of the mix can't all be met: raking stalled at a relative margin error of {off[0].error:.3g} ({worst})", stacklevel=2)
             break
         least = min(least, off[0].error)
-        weights = _raked(weights, names, ROUNDS_A_JOB)
+        weights = _raked(weights, names, ROUNDS_A_JOB, most, small)
         off = _margin_errors(weights, names)
     largest = weights.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0
     return weights.select(*names, "tokens", "documents", "weight", (F.col("weight") / F.col("tokens") / largest).alias("probability"))
@@ -106,12 +115,13 @@ def uniform(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / 2.0**52
 
 
-def mix(docs: DataFrame, dimensions: Mapping[str, tuple[Column, Target]], tokens: Column, id_col: str = "doc_id", rounds: int = 15, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, dimensions: Mapping[str, tuple[Column, Target]], tokens: Column, id_col: str = "doc_id", rounds: int = 15, most: float | None = None, seed: int = 7) -> DataFrame:
     """Tells for each document whether the calibrated sample holds it.
 
     `dimensions` names each dimension's column and target. Shares are taken over
     the categories that occur; a category without a share gets weight 0. Null
-    categories are one category, the empty one.
+    categories are one category, the empty one. `most` bounds the weights as
+    `raked_cells` says. No document is repeated.
 
     Returns one row for each input row: row (all its columns, whatever their
     names), tokens, probability and kept. A document without tokens has no
@@ -120,7 +130,9 @@ def mix(docs: DataFrame, dimensions: Mapping[str, tuple[Column, Target]], tokens
     repeat an id in a cell share their fate, and so do rows with a null id.
     """
     names = list(dimensions)
-    cells = raked_cells(docs, dimensions, tokens, rounds).select(*[F.col(n).alias(f"cell_{n}") for n in names], "probability")
+    with scratch(docs.sparkSession) as keep:
+        cells = written(raked_cells(docs, dimensions, tokens, rounds, most).select(*[F.col(n).alias(f"cell_{n}") for n in names], "probability"), "probabilities", few=True)
+        keep(cells)
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tokens.alias("tokens"), *[F.coalesce(c.cast("string"), F.lit("")).alias(f"cell_{n}") for n, (c, _) in dimensions.items()])

@@ -208,10 +208,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Of the rows that hold a set's bands, one: its id leads to the text, rep is the smallest id with the set.
         carriers = sketches.where("bands is not null").groupBy("k1", "k2").agg(F.min("at").alias("at"))
         # Written, so that a class of very many copies can be split where members meet their class.
-        classes = written(members.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")).join(carriers, ["k1", "k2"]), "classes")
+        classes = written(members.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")).join(carriers, ["k1", "k2"]), "classes", few=True)
         sketched = sketches.where("bands is not null").join(classes, ["k1", "k2", "at"])
         in_bands = sketched.select("rep", "n", F.explode("bands").alias("h"))
-        crowds = written(in_bands.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "crowds")
+        crowds = written(in_bands.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "crowds", few=True)
         crowded = written(in_bands.join(crowds, "h"), "crowded")
         wanted = sketched.select("id", "k1", "k2", "rep").join(crowded.select("rep").distinct(), "rep", "left_semi")
         sets = written(_sets(docs, id_col, text_col, wanted, words), "sets")
@@ -228,8 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if turn == 1:
                 # Components only grow, so that what a member shares with others only
                 # shrinks: these bounds and the rows they settle hold for later rounds.
-                supported = written(mixed.join(_support(mixed, sets), "rep"), "supported")
-                least = written(supported.groupBy("h").agg(F.min("n").alias("n_least")), "least")
+                supported = written(mixed.join(_support(mixed, sets), "rep"), "supported", few=True)
+                least = written(supported.groupBy("h").agg(F.min("n").alias("n_least")), "least", few=True)
                 alive = supported.join(least, "h").where(F.col("m") * sum(share) >= (F.col("n") + F.col("n_least")) * share[0]).drop("n_least")
                 rows_now = left = written(_mixed(alive), "alive")
                 if rows_now.isEmpty():
@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
             if done:
                 pairs = pairs.join(reduce(DataFrame.union, done), ["a", "b"], "left_anti")
-            pairs = written(pairs, "pairs")
+            pairs = written(pairs, "pairs", few=True)
             done.append(pairs)
-            found = written(_confirmed(pairs, sets, share), "links")
+            found = written(_confirmed(pairs, sets, share), "links", few=True)
             if labels is None:
                 labels = components(found)
             elif not found.isEmpty():
@@ -262,14 +262,14 @@ def _with_centres(rows: DataFrame, turn: int) -> DataFrame:
     """Each row of a bucket beside the bucket's centre of this turn. The centres are
     written, so that Spark can split a large bucket where its rows meet them."""
     ranked = F.struct(F.xxhash64(F.lit(turn), "rep").alias("r"), F.struct(*_COLUMNS).alias("v"))
-    centres = written(rows.groupBy("h").agg(F.min(ranked).alias("c")).select("h", "c.v.*"), "centres")
+    centres = written(rows.groupBy("h").agg(F.min(ranked).alias("c")).select("h", "c.v.*"), "centres", few=True)
     return rows.join(centres.toDF("h", *[f"{c}2" for c in _COLUMNS]), "h")
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """Every pair of rows of a bucket, once. A bucket is dealt to blocks, and each two
     blocks meet under a key of their own."""
-    sizes = written(rows.groupBy("h").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "sizes")
+    sizes = written(rows.groupBy("h").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "sizes", few=True)
     dealt = rows.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     first = dealt.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other")).select("h", F.col("block").alias("p"), F.col("other").alias("q"), *_COLUMNS)
     second = dealt.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("other")).select("h", F.col("other").alias("p"), F.col("block").alias("q"), *[F.col(c).alias(f"{c}2") for c in _COLUMNS])
@@ -278,7 +278,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of the buckets that hold several components."""
-    several = written(rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"), "several")
+    several = written(rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"), "several", few=True)
     return rows.join(several, "h")
 
 
@@ -287,8 +287,8 @@ def _support(rows: DataFrame, sets: DataFrame) -> DataFrame:
     too, in all and by GROUPS groups of shingles. No two components can have a
     more similar pair than the smaller of two members' numbers allow."""
     known = rows.select("rep", "root").distinct()
-    each = written(known.join(sets, "rep").select("rep", "root", F.explode("s").alias("s")), "support")
-    shared = written(each.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s"), "shared")
+    each = written(known.join(sets, "rep").select("rep", "root", F.explode("s").alias("s")), "support", few=True)
+    shared = written(each.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s"), "shared", few=True)
     counted = each.join(shared, "s").groupBy("rep", F.pmod(F.shiftright("s", 7), F.lit(GROUPS)).cast("int").alias("g")).agg(F.count("*").cast("int").alias("c"))
     by_group = F.map_from_entries(F.collect_list(F.struct("g", "c")))
     counted = counted.groupBy("rep").agg(F.sum("c").alias("m"), by_group.alias("by"))

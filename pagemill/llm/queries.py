@@ -184,14 +184,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Exponents that temper the present shares of sources, languages and topics to their targets.
 MIX = {"source": 0.7, "lang": 0.7, "topic": 0.8}
-MIX_ROUNDS = 15
+MIX_ROUNDS = 20
+#: No cell is raised to more than twice its tokens, so that half of all tokens stay.
+MIX_MOST = 2.0
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     # What the mix needs of each text is computed once.
     docs = written(docs.select("doc_id", "source", "lang", text_topic("text").alias("topic"), word_count("text").alias("words")), "counted")
-    out = mix(docs, {n: (F.col(n), target) for n, target in MIX.items()}, F.col("words"), rounds=MIX_ROUNDS)
+    out = mix(docs, {n: (F.col(n), target) for n, target in MIX.items()}, F.col("words"), rounds=MIX_ROUNDS, most=MIX_MOST)
     return out.select("row.doc_id", "tokens", F.round("probability", 9).alias("probability"), "kept")
 
 
@@ -208,7 +210,7 @@ def _op9_sql() -> str:
     steps.append("w0 AS MATERIALIZED (SELECT *, tokens AS w FROM cells JOIN aim_source USING (source) JOIN aim_lang USING (lang) JOIN aim_topic USING (topic))")
     for k in range(MIX_ROUNDS * len(MIX)):
         n = list(MIX)[k % len(MIX)]
-        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * aim_{n} / sum(w) OVER (PARTITION BY {n}) AS w) FROM w{k})")
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (least(w * aim_{n} / sum(w) OVER (PARTITION BY {n}), {MIX_MOST} * tokens) AS w) FROM w{k})")
     last = f"w{MIX_ROUNDS * len(MIX)}"
     steps.append(f"p AS (SELECT source, lang, topic, w / tokens / max(w / tokens) OVER () AS probability FROM {last})")
     return "WITH " + ",\n".join(steps) + """

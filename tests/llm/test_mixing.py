@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm.mixing import mix, raked_cells, text_topic, word_count
-from pagemill.llm.queries import MIX_ROUNDS
+from pagemill.llm.queries import MIX_MOST, MIX_ROUNDS
 
 from odd_texts import ODD
 
@@ -61,3 +61,13 @@ def test_targets_that_contradict_each_other_are_reported(spark):
     targets = {"source": (F.col("source"), {"a": 0.5, "b": 0.5}), "lang": (F.col("lang"), {"en": 0.8, "fr": 0.2})}
     with pytest.warns(UserWarning, match="source 'b'"):
         raked_cells(docs, targets, F.col("n"), rounds=MIX_ROUNDS)
+
+
+def test_bounded_weights(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    targets = {"source": (F.col("source"), 0.7), "lang": (F.col("lang"), 0.7), "topic": (text_topic("text"), 0.8)}
+    free, bound = (raked_cells(docs, targets, word_count("text"), rounds=MIX_ROUNDS, most=most).toPandas() for most in (None, MIX_MOST))
+    assert (free.weight / free.tokens).max() > MIX_MOST >= (bound.weight / bound.tokens).max() - 1e-9
+    assert (bound.probability * bound.tokens).sum() / bound.tokens.sum() > 0.49
+    for n in targets:
+        assert np.allclose(free.groupby(n).weight.sum(), bound.groupby(n).weight.sum(), rtol=1e-5)
