@@ -24,7 +24,9 @@ from pagemill.llm.sentencepiece_bpe import encode_decode
 QUALITY_THRESHOLD = 0.5
 #: Exponents that temper the present shares to the targets of the mix. Documents are
 #: never repeated, so the farther the targets, the fewer documents can stay.
-TARGETS = {"source": 0.97, "lang": 0.97, "topic": 0.97}
+TARGETS = {"source": 0.85, "lang": 0.9, "topic": 0.95}
+#: No cell is raised to more than this many times its tokens: four fifths of all tokens stay.
+MOST = 1.25
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +73,7 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents towards the target shares of sources, languages and topics."""
     columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": text_topic("text")}
-    out = mix(docs, {n: (columns[n], TARGETS[n]) for n in TARGETS}, word_count("text"))
+    out = mix(docs, {n: (columns[n], TARGETS[n]) for n in TARGETS}, word_count("text"), most=MOST)
     return out.where("kept").select("row.*")
 
 
