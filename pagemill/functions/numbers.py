@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHARACTERS_A_PAGE, PAGES_AN_HOUR = 1800, 30
+#: The factors of CSS font size keywords.
+FONT_LADDER = {"xx-small": 0.6, "x-small": 0.75, "small": 0.875, "medium": 1.0, "large": 1.125, "x-large": 1.25, "xx-large": 1.5, "smaller": 0.85, "larger": 1.2}
 #: Response codes that are worth another try, and those that never will be.
 TRANSIENT, PERMANENT = [401, 408, 425, 429], [400, 403, 404, 409, 410, 413, 415, 422]
 
@@ -50,22 +52,20 @@ def counts_as_reading(purpose: Column, confidence: Column) -> Column:
 
 
 def font_scale(value: Column) -> Column:
-    """A CSS font size as a factor: keywords, em, rem, %; 0.5 to 2, three decimals; 1 and unknown are null."""
+    """A CSS font size as a factor: keywords, em, rem, %; 0.5 to 2, three decimals; 1, what is
+    not above 0 and unknown values are null."""
     v = F.lower(F.btrim(value))
-    # The keyword ladder.
-    ladder = {"xx-small": 0.6, "x-small": 0.75, "small": 0.89, "medium": 1.0, "large": 1.2, "x-large": 1.5, "xx-large": 2.0, "smaller": 0.83, "larger": 1.2}
-    number = F.regexp_extract(v, r"^(\d*\.?\d+)(em|rem|%)$", 1)
-    unit = F.regexp_extract(v, r"^(\d*\.?\d+)(em|rem|%)$", 2)
-    raw = F.when(number != "", F.nullif(number, F.lit("")).cast("double") / F.when(unit == "%", 100).otherwise(1))
-    for word, factor in ladder.items():
+    pattern = r"^(-?[\d.]+)\s*(em|rem|%)$"
+    raw = F.regexp_extract(v, pattern, 1).try_cast("double") / F.when(F.regexp_extract(v, pattern, 2) == "%", 100).otherwise(1)
+    for word, factor in FONT_LADDER.items():
         raw = F.when(v == word, factor).otherwise(raw)
     scaled = F.floor(F.least(F.lit(2.0), F.greatest(F.lit(0.5), raw)) * 1000 + 0.5) / 1000
-    return F.when(raw.isNotNull() & (scaled != 1), scaled)
+    return F.when((raw > 0) & (scaled != 1), scaled)
 
 
 def font_weight(value: Column) -> Column:
     """Keywords or a number, 100 to 900 in hundreds; 400 and unknown are null."""
     v = F.lower(F.btrim(value))
-    raw = F.when(v.isin("bold", "bolder"), 700).when(v == "lighter", 300).when(v == "normal", 400).when(v.rlike(r"^\d{1,4}$"), F.nullif(F.regexp_extract(v, r"^\d{1,4}$", 0), F.lit("")).cast("int"))
+    raw = F.when(v.isin("bold", "bolder"), 700).when(v == "lighter", 300).when(v == "normal", 400).when(v.rlike(r"^\d+$"), v.try_cast("double"))
     snapped = (F.floor(F.least(F.lit(900), F.greatest(F.lit(100), raw)) / 100 + 0.5) * 100).cast("int")
     return F.when(raw.isNotNull() & (snapped != 400), snapped)

@@ -17,6 +17,10 @@ ONE_TO_MANY = {"є": "ie", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш":
 #: Quote pairs that a selection is stripped of.
 QUOTE_PAIRS = [('"', '"'), ("'", "'"), ("“", "”"), ("«", "»")]
 WS = r"(?U)\s+"
+# Titles that say nothing, as lower-case patterns.
+FILE_TITLE = r"\.(x?html?|xml)$"
+MACHINE_TITLE = r"^(section|split|part|item|text|page)[\s_.-]*\d+$"
+NUMBER_TITLE = r"^[\d\s.:_-]+$"
 
 
 def transliterate(text: Column) -> Column:
@@ -51,11 +55,6 @@ def collapse(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, WS, " "))
 
 
-def block_text(text: Column) -> Column:
-    """Inline text of a block: no spaces around line ends, runs of blanks collapsed, trimmed."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[ \t]*\n[ \t]*", "\n"), r"[ \t]+", " "), F.lit(" \n"))
-
-
 def normalise_selection(text: Column) -> Column:
     """Collapsed; one enclosing pair of quotes is stripped, then trimmed again."""
     c = collapse(text)
@@ -85,18 +84,20 @@ def sample_text(w: Column, head: int = 100, mid: int = 60) -> Column:
     return F.when(F.size(w) <= head + mid, short).otherwise(F.concat_ws(" ", F.array_join(F.slice(w, 1, head), " "), F.lit("…"), F.array_join(F.slice(w, start, F.lit(mid)), " ")))
 
 
-def normalise_title(title: Column, label: Column, index: Column, longest: int = 80) -> Column:
-    """The first of title and label that says something: not blank, not the chapter's
-    made-up number, no file name, no machine label, not only digits."""
+def said_title(text: Column, longest: int = 80) -> Column:
+    """A title cut to `longest` characters; null if it is blank, a file name, a machine
+    label or only digits."""
+    t = F.btrim(text)
+    low = F.lower(t)
+    dull = (t == "") | low.rlike(FILE_TITLE) | low.rlike(MACHINE_TITLE) | t.rlike(NUMBER_TITLE)
+    cut = F.when(F.length(t) > longest, F.concat(F.rtrim(F.left(t, F.lit(longest))), F.lit("…"))).otherwise(t)
+    return F.when(text.isNotNull() & ~dull, cut)
 
-    def said(text: Column) -> Column:
-        t = F.btrim(text)
-        low = F.lower(t)
-        dull = (t == "") | (low == F.concat(F.lit("chapter "), (index + 1).cast("string"))) | low.rlike(r"\.(x?html?|xml)$") | low.rlike(r"^(section|split|part|item|text|page)[\s_.-]*\d+$") | t.rlike(r"^[\d\s.:_-]+$")
-        cut = F.when(F.length(t) > longest, F.concat(F.rtrim(F.left(t, F.lit(longest))), F.lit("…"))).otherwise(t)
-        return F.when(text.isNotNull() & ~dull, cut)
 
-    return F.coalesce(said(title), said(label), F.lit("(untitled)"))
+def normalise_title(title: Column, label: Column, index: Column) -> Column:
+    """The first of two said titles that is not just the chapter's made-up number."""
+    own = lambda t: F.when(F.lower(t) != F.concat(F.lit("chapter "), (index + 1).cast("string")), t)
+    return F.coalesce(own(title), own(label), F.lit("(untitled)"))
 
 
 def pad_chapter(label: Column) -> Column:
@@ -150,14 +151,29 @@ def data_url(mime: Column, data: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(data))
 
 
+def _decoded(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
 def href_path(href: Column) -> Column:
-    """Without the fragment, percent-decoded where that is possible."""
-    bare = F.substring_index(href, "#", 1)
-    return F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+    """Without the fragment, percent-decoded where that is possible, in lower case."""
+    return F.lower(_decoded(F.substring_index(href, "#", 1)))
 
 
 def href_anchor(href: Column) -> Column:
-    return F.nullif(F.regexp_extract(href, "#(.*)$", 1), F.lit(""))
+    """The fragment, percent-decoded where that is possible; null without one."""
+    return F.nullif(_decoded(F.regexp_extract(href, "#(.*)$", 1)), F.lit(""))
+
+
+def strict_locator(raw: Column) -> Column:
+    """A reading position: struct(chapterId, blockId, textOffset), or null unless both ids
+    are JSON strings and the offset is a JSON number."""
+    v = F.try_parse_json(raw)
+    field = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    text = lambda name: F.schema_of_variant(field(name)) == "STRING"
+    number = F.schema_of_variant(field("textOffset")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    whole = F.struct(*[F.try_variant_get(v, f"$.{n}", kind).alias(n) for n, kind in (("chapterId", "string"), ("blockId", "string"), ("textOffset", "double"))])
+    return F.when(text("chapterId") & text("blockId") & number, whole)
 
 
 def contains_ci(text: Column, query: str) -> Column:

@@ -16,13 +16,6 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Order, k: int, rank:
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def latest_per_key(df: DataFrame, by: Sequence[str], order: Order) -> DataFrame:
-    """One row a key: the last one in `order`, by aggregation before the shuffle."""
-    rest = [c for c in df.columns if c not in by]
-    best = F.max(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row")))
-    return df.groupBy(*by).agg(best.getField("row").alias("row")).select(*by, "row.*")
-
-
 def with_details(keys: DataFrame, details: DataFrame, on: Sequence[str]) -> DataFrame:
     """Late materialisation: the details of few keys, joined after they are chosen."""
     return keys.join(details, list(on), "left")
@@ -38,24 +31,28 @@ def counts_of_domain(df: DataFrame, by: Sequence[str], column: str, domain: Sequ
 
 def first_seen(df: DataFrame, by: Sequence[str], array: str, out: str) -> DataFrame:
     """Case-insensitive dedupe of an array, the first spelling and the order kept."""
-    low = F.transform(F.col(array), lambda v: F.lower(v))
-    kept = F.filter(F.transform(F.col(array), lambda v, i: F.when(F.array_position(low, F.lower(v)) == i + 1, v)), lambda v: v.isNotNull())
-    return df.select(*by, kept.alias(out))
-
-
-def unique_names(df: DataFrame, by: Sequence[str], base: str, order: Order, out: str, longest_run: int = 50) -> DataFrame:
-    """base, base-2, base-3 ... in each group. A suffixed name that is some other row's
-    base would collide: such rows take further suffixes until all differ."""
-    numbered = df.withColumn("n", F.row_number().over(W.partitionBy(*by, base).orderBy(*order)))
-    named = numbered.withColumn(out, F.when(F.col("n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), F.col("n").cast("string"))))
-    for _ in range(longest_run):
-        clash = named.withColumn("c", F.row_number().over(W.partitionBy(*by, out).orderBy(F.col("n"), *order)))
-        if clash.where("c > 1").isEmpty():
-            break
-        most = F.max("n").over(W.partitionBy(*by, base))
-        moved = clash.withColumn("n", F.when(F.col("c") > 1, most + F.col("c") - 1).otherwise(F.col("n")))
-        named = moved.withColumn(out, F.when(F.col("c") > 1, F.concat(F.col(base), F.lit("-"), F.col("n").cast("string"))).otherwise(F.col(out))).drop("c")
-    return named.drop("n")
+    placed = F.array_sort(F.transform(F.col(array), lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
+    rows = df.select(*by, placed.alias("sorted"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("sorted", lambda e: e["k"]))
+    firsts = F.filter(F.zip_with("sorted", F.slice(before, F.lit(1), F.size("sorted")), lambda e, k: F.when(k.isNull() | (k != e["k"]), F.struct(e["i"].alias("i"), e["v"].alias("v")))), lambda e: e.isNotNull())
+    return rows.select(*by, F.transform(F.array_sort(firsts), lambda e: e["v"]).alias(out))
+
+
+def unique_names(df: DataFrame, by: Sequence[str], base: str, order: Order, out: str) -> DataFrame:
+    """base, base-2, base-3 ... in each group, by `order`. Numbers whose name is some other
+    row's base are skipped, so that all names of a group differ.
+
+    One pass: of the bases of a group, those that read "base-number" are the numbers that
+    base may not use; the k-th further row of a base gets the k-th free number.
+    """
+    bases = df.select(*by, base).distinct()
+    parts = bases.select(*by, F.regexp_extract(base, r"^(.*)-([1-9]\d{0,17})$", 1).alias(base), F.regexp_extract(base, r"^(.*)-([1-9]\d{0,17})$", 2).try_cast("long").alias("number"))
+    taken = parts.where("number > 1").groupBy(*by, base).agg(F.sort_array(F.collect_set("number")).alias("taken"))
+    rows = df.withColumn("n", F.row_number().over(W.partitionBy(*by, base).orderBy(*order)).cast("long")).join(taken, [*by, base], "left")
+    # The taken numbers are sorted: each that is not above the number reached so far moves it by one.
+    free = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("n"), lambda reached, number: reached + F.when(number <= reached, 1).otherwise(0))
+    named = F.when(F.col("n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), free.cast("string")))
+    return rows.withColumn(out, named).select(*df.columns, out)
 
 
 # -- table changes: a new version of a table from the old one and a batch ------
@@ -66,6 +63,11 @@ def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame
     return table.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
 
 
+def first_of_each(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row of each key, that with the smallest `order`."""
+    return batch.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("first")).select(*keys, "first.*")
+
+
 def insert_if_absent(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.unionByName(batch.join(table.select(*keys), list(keys), "left_anti"))
 

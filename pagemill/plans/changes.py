@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import backoff_ms, failure_kind, session_failure_kind
 from pagemill.operators.changes import coalesced, dirty_merge, drained, merged, sendable
-from pagemill.operators.relational import delete, insert_if_absent, patch, replace_snapshot, upsert
+from pagemill.operators.relational import delete, first_of_each, insert_if_absent, patch, replace_snapshot, upsert
 from pagemill.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -24,17 +24,28 @@ def query(sql: str | None = None):
     return register
 
 
-LOG = "log AS (SELECT event_id AS seq, event_id * 7 % 400 AS id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, CAST(floor(value * 100) AS BIGINT) AS v, event_type AS kind FROM events WHERE event_id % 3 = 0)"
-SNAPSHOT = "snapshot AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS v, p_name AS kind FROM part WHERE p_partkey % 2 = 0 AND p_partkey < 600)"
+#: The stored table are customers, the log all events on them; a device's events are under user_id * 10 + the device.
+LOG = "log AS (SELECT event_id AS seq, user_id * 10 + length(event_type) AS id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, CAST(floor(value * 100) AS BIGINT) AS v, event_type AS kind FROM events)"
+SNAPSHOT = "snapshot AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS v, c_mktsegment AS kind FROM customer)"
+#: Two overlapping lots of all parts: those up to size 32 are stored, those from 20 on come in.
+STORED = "stored AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS v, p_name AS kind FROM part WHERE p_size <= 32)"
+BATCH = "batch AS (SELECT p_partkey AS id, CAST(1000 + p_size AS BIGINT) AS v, p_brand AS kind FROM part WHERE p_size >= 20)"
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 3 = 0")
-    return e.select(F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 400).alias("id"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.floor(F.col("value") * 100).cast("long").alias("v"), F.col("event_type").alias("kind"))
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") * 10 + F.length("event_type")).alias("id"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.floor(F.col("value") * 100).cast("long").alias("v"), F.col("event_type").alias("kind"))
 
 
 def _snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where("p_partkey % 2 = 0 and p_partkey < 600").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("v"), F.col("p_name").alias("kind"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("v"), F.col("c_mktsegment").alias("kind"))
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").where("p_size <= 32").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("v"), F.col("p_name").alias("kind"))
+
+
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").where("p_size >= 20").select(F.col("p_partkey").alias("id"), (1000 + F.col("p_size")).cast("long").alias("v"), F.col("p_brand").alias("kind"))
 
 
 @query(f"WITH {LOG} SELECT id, seq, op, v FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")
@@ -62,11 +73,11 @@ def _status():
     return F.get(F.array(*map(F.lit, STATUS)), (F.col("event_id") * 5 % len(STATUS)).cast("int"))
 
 
-@query(f"""WITH q AS (SELECT user_id, event_id, {_CODES}[event_id * 5 % {len(STATUS)} + 1] AS s FROM events WHERE event_id % 7 <> 0),
+@query(f"""WITH q AS (SELECT user_id, event_id, {_CODES}[event_id * 5 % {len(STATUS)} + 1] AS s FROM events),
 o AS (SELECT *, CASE WHEN s < 300 THEN 'sent' ELSE {_KIND} END AS outcome FROM q)
 SELECT user_id, event_id, outcome, CASE WHEN coalesce(max(CASE WHEN outcome = 'retry' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'waiting' ELSE outcome END AS state FROM o""")
 def queue_drain_blocking(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "events").where("event_id % 7 <> 0").select("user_id", "event_id", _status().alias("s"))
+    q = table(spark, d, "events").select("user_id", "event_id", _status().alias("s"))
     return drained(q, "user_id", "event_id", F.when(F.col("s") < 300, "sent").otherwise(failure_kind(F.col("s")))).drop("s")
 
 
@@ -107,31 +118,36 @@ def preference_patch(spark: SparkSession, d: str) -> DataFrame:
     return patch(stored, changes, "user_id", ["theme", "goal"])
 
 
-@query(f"WITH {SNAPSHOT}, b AS (SELECT p_partkey AS id, CAST(1000 + p_size AS BIGINT) AS v, p_brand AS kind FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 900) SELECT * FROM b UNION ALL SELECT * FROM snapshot WHERE id NOT IN (SELECT id FROM b)")
+@query(f"WITH {STORED}, {BATCH} SELECT * FROM batch UNION ALL SELECT * FROM stored WHERE id NOT IN (SELECT id FROM batch)")
 def upsert_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return upsert(_snapshot(spark, d), _batch(spark, d), ["id"])
+    return upsert(_stored(spark, d), _batch(spark, d), ["id"])
 
 
-@query(f"WITH {SNAPSHOT}, b AS (SELECT p_partkey AS id, CAST(1000 + p_size AS BIGINT) AS v, p_brand AS kind FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 900) SELECT * FROM snapshot UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM snapshot)")
+@query(f"WITH {STORED}, {BATCH} SELECT * FROM stored UNION ALL SELECT * FROM batch WHERE id NOT IN (SELECT id FROM stored)")
 def insert_absent(spark: SparkSession, d: str) -> DataFrame:
-    return insert_if_absent(_snapshot(spark, d), _batch(spark, d), ["id"])
+    return insert_if_absent(_stored(spark, d), _batch(spark, d), ["id"])
 
 
-@query(f"WITH {SNAPSHOT} SELECT * FROM snapshot WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 900)")
-def idempotent_delete(spark: SparkSession, d: str) -> DataFrame:
-    return delete(_snapshot(spark, d), _batch(spark, d), ["id"])
+@query("""WITH b AS (SELECT o_custkey AS owner, o_orderpriority AS shelf, min(o_orderkey) AS first_item FROM orders GROUP BY ALL), s AS (SELECT c_custkey AS owner, '3-MEDIUM' AS shelf, CAST(-1 AS BIGINT) AS first_item FROM customer)
+SELECT * FROM s UNION ALL SELECT * FROM b WHERE shelf <> '3-MEDIUM'  OR owner NOT IN (SELECT owner FROM s)""")
+def bulk_insert_skip_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """A batch that repeats keys: of each key one row, the smallest, and only if it is not stored."""
+    stored = table(spark, d, "customer").select(F.col("c_custkey").alias("owner"), F.lit("3-MEDIUM").alias("shelf"), F.lit(-1).cast("long").alias("first_item"))
+    batch = table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("shelf"), F.col("o_orderkey").alias("first_item"))
+    return insert_if_absent(stored, first_of_each(batch, ["owner", "shelf"], "first_item"), ["owner", "shelf"])
 
 
-def _batch(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where("p_partkey % 3 = 0 and p_partkey < 900").select(F.col("p_partkey").alias("id"), (1000 + F.col("p_size")).cast("long").alias("v"), F.col("p_brand").alias("kind"))
+@query(f"WITH {STORED}, {BATCH} SELECT * FROM stored WHERE id NOT IN (SELECT id FROM batch)")
+def idempotent_delete(spark: SparkSession, d: str) -> DataFrame:
+    return delete(_stored(spark, d), _batch(spark, d), ["id"])
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_partkey, l_linenumber, l_linestatus = 'F' AS was FROM lineitem WHERE l_orderkey < 3000)
+@query("""WITH f AS (SELECT l_orderkey, l_partkey, l_linenumber, l_linestatus = 'F' AS was FROM lineitem)
 SELECT l_orderkey AS item_id, l_partkey AS file_id, l_linenumber AS n, CASE WHEN was AND l_linenumber < max(CASE WHEN was THEN l_linenumber ELSE 0 END) OVER (PARTITION BY l_orderkey) THEN false ELSE was END AS is_primary FROM f""")
 def demote_primaries(spark: SparkSession, d: str) -> DataFrame:
     """A new primary file demotes the ones before it."""
     from pyspark.sql import Window as W
 
-    f = table(spark, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("file_id"), F.col("l_linenumber").alias("n"), (F.col("l_linestatus") == "F").alias("was"))
+    f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("file_id"), F.col("l_linenumber").alias("n"), (F.col("l_linestatus") == "F").alias("was"))
     newest = F.max(F.when(F.col("was"), F.col("n")).otherwise(0)).over(W.partitionBy("item_id"))
     return f.select("item_id", "file_id", "n", F.when(F.col("was") & (F.col("n") < newest), False).otherwise(F.col("was")).alias("is_primary"))

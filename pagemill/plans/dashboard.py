@@ -155,11 +155,11 @@ def lookup_id_or_slug(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((F.col("book_id") == 17) | (book_slug(F.col("title"), F.col("author")) == "small-ring-by-brand-2"))
 
 
-@query("""SELECT p_partkey AS blob_id FROM part WHERE p_size > 5 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)
+@query("""SELECT p_partkey AS blob_id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)
     AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linenumber = 7 AND l_quantity > 40) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)""")
 def orphan_sweep(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
-    rows = table(spark, d, "part").where("p_size > 5").select("p_partkey")
+    rows = table(spark, d, "part").select("p_partkey")
     for used in ("l_returnflag = 'R' and l_quantity > 45", "l_linenumber = 7 and l_quantity > 40", "l_quantity > 49"):
         rows = rows.join(li.where(used).select("p_partkey"), "p_partkey", "left_anti")
     return rows.select(F.col("p_partkey").alias("blob_id"))
@@ -179,8 +179,10 @@ def kind_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts_of_domain(table(spark, d, "events").select("user_id", "event_type"), ["user_id"], "event_type", KINDS)
 
 
-@query(with_sql("items", "progress") + """ SELECT priority, count(*) AS n, CAST(sum(CASE WHEN coalesce(pct, 0) >= 100 THEN 1 ELSE 0 END) AS BIGINT) AS finished, count(*) FILTER (WHERE added_ms >= 946684800000) AS recent
-    FROM items LEFT JOIN progress USING (item_id) WHERE user_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89) GROUP BY priority""")
+@query(with_sql("items", "progress") + """ SELECT user_id, priority, count(*) AS n, CAST(sum(CASE WHEN coalesce(pct, 0) >= 100 THEN 1 ELSE 0 END) AS BIGINT) AS finished, count(*) FILTER (WHERE added_ms >= 946684800000) AS recent
+    FROM items LEFT JOIN progress USING (item_id) WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD')) GROUP BY ALL""")
 def owner_scoped_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = items(spark, d).where(F.col("user_id").isin(1, 2, 3, 5, 8, 13, 21, 34, 55, 89)).join(progress(spark, d), "item_id", "left")
-    return rows.groupBy("priority").agg(F.count("*").alias("n"), F.count_if(F.coalesce("pct", F.lit(0)) >= 100).alias("finished"), F.count_if(F.col("added_ms") >= 946684800000).alias("recent"))
+    """Every owner's items by priority; owners of one of the known segments."""
+    owners = table(spark, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD")).select(F.col("c_custkey").alias("user_id"))
+    rows = items(spark, d).join(owners, "user_id", "left_semi").join(progress(spark, d), "item_id", "left")
+    return rows.groupBy("user_id", "priority").agg(F.count("*").alias("n"), F.count_if(F.coalesce("pct", F.lit(0)) >= 100).alias("finished"), F.count_if(F.col("added_ms") >= 946684800000).alias("recent"))

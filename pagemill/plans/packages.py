@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import collapse
 from pagemill.functions.styles import alignment, break_points, indent
 from pagemill.operators.relational import delete, upsert
 from pagemill.sources.tables import table
@@ -85,14 +86,13 @@ def prefix_delete(spark: SparkSession, d: str) -> DataFrame:
     return delete(rows, table(spark, d, "labels").where("quality = 0"), ["doc_id"])
 
 
-@query(r"""WITH t AS (SELECT source, doc_id, CASE WHEN length(split_part(text, chr(10), 1)) <= 400 THEN split_part(text, chr(10), 1) END AS title FROM documents),
+@query(r"""WITH t AS (SELECT source, doc_id, nullif(trim(split_part(text, chr(10), 1)), '') AS title FROM documents),
 c AS (SELECT source, count(*) AS chapters, count(title) / count(*) AS coverage, count(DISTINCT left(title, 3)) AS entries FROM t GROUP BY source)
 SELECT source, chapters, entries >= chapters AS rich, coverage >= 0.8 AS covered, entries >= chapters OR coverage >= 0.8 AS trusted FROM c""")
 def toc_trust(spark: SparkSession, d: str) -> DataFrame:
     """Contents are trusted if they have as many entries as chapters; titles found in the
     text are used then, or if most chapters have one."""
-    first = F.substring_index("text", "\n", 1)
-    rows = table(spark, d, "documents").select("source", F.when(F.length(first) <= 400, first).alias("title"))
+    rows = table(spark, d, "documents").select("source", F.nullif(F.btrim(F.substring_index("text", "\n", 1), F.lit(" ")), F.lit("")).alias("title"))
     c = rows.groupBy("source").agg(F.count("*").alias("chapters"), (F.count("title") / F.count("*")).alias("coverage"), F.count_distinct(F.left("title", F.lit(3))).alias("entries"))
     rich, covered = F.col("entries") >= F.col("chapters"), F.col("coverage") >= 0.8
     return c.select("source", "chapters", rich.alias("rich"), covered.alias("covered"), (rich | covered).alias("trusted"))
@@ -111,19 +111,28 @@ def stride_cover(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(wanted).select("source", "doc_id")
 
 
-@query(r"""WITH c AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, 'Text/' || lang || '_Part ' || doc_id || '.xhtml' AS href, CASE WHEN doc_id % 3 = 0 THEN 'Sec.' || doc_id END AS anchor, split_part(text, chr(10), 1) AS title, source FROM documents)
+@query(r"""WITH c AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, 'Text/' || lang || '_Part ' || doc_id || '.xhtml' AS href, CASE WHEN doc_id % 3 = 0 THEN 'Sec.' || doc_id END AS anchor, split_part(text, chr(10), 1) AS title, source, source || ' ' || lang AS book FROM documents),
+t AS (SELECT *, trim(regexp_replace(title, '\s+', ' ', 'g')) AS own, trim(regexp_replace(split_part(title, ':', 1), '\s+', ' ', 'g')) AS head FROM c)
 SELECT doc_id, 'chapter-' || (i + 1) || '-' || trim(regexp_replace(lower(regexp_extract(href, '([^/]*)\.[^.]*$', 1)), '[^a-z0-9]+', '-', 'g'), '-') || CASE WHEN anchor IS NULL THEN '' ELSE '--' || trim(regexp_replace(lower(anchor), '[^a-z0-9]+', '-', 'g'), '-') END AS chapter_id,
-    CASE WHEN lower(trim(title)) <> 'the' AND trim(title) <> '' THEN trim(title) ELSE 'Chapter ' || (i + 1) END AS label FROM c""")
+    CASE WHEN len(string_split(own, ' ')) <= 8 AND lower(own) <> lower(book) AND own <> '' THEN own WHEN len(string_split(head, ' ')) <= 8 AND lower(head) <> lower(book) AND head <> '' THEN head ELSE 'Chapter ' || (i + 1) END AS label FROM t""")
 def chapter_ids(spark: SparkSession, d: str) -> DataFrame:
     """Identities from place, file and anchor; labels that only repeat the book's title fall back to the place."""
     place = F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("string")
     plain = lambda c: F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
     href = F.concat(F.lit("Text/"), "lang", F.lit("_Part "), F.col("doc_id").cast("string"), F.lit(".xhtml"))
     anchor = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Sec."), F.col("doc_id").cast("string")))
-    title = F.btrim(F.substring_index("text", "\n", 1), F.lit(" "))
-    rows = table(spark, d, "documents").withColumn("place", place)
+    first = F.substring_index("text", "\n", 1)
+    book = F.concat("source", F.lit(" "), "lang")
+
+    def candidate(text: Column) -> Column:
+        """A short line that is not the book's title, whatever its case and white space."""
+        t = collapse(text)
+        return F.when((F.size(F.split(t, " ")) <= 8) & (F.lower(t) != F.lower(collapse(book))) & (t != ""), t)
+
+    title = F.coalesce(candidate(first), candidate(F.substring_index(first, ":", 1)))
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", title.alias("title")).withColumn("place", place)
     chapter = F.concat(F.lit("chapter-"), "place", F.lit("-"), plain(F.regexp_extract(href, r"([^/]*)\.[^.]*$", 1)), F.when(anchor.isNotNull(), F.concat(F.lit("--"), plain(anchor))).otherwise(""))
-    return rows.select("doc_id", chapter.alias("chapter_id"), F.when((F.lower(title) != "the") & (title != ""), title).otherwise(F.concat(F.lit("Chapter "), "place")).alias("label"))
+    return rows.select("doc_id", chapter.alias("chapter_id"), F.coalesce("title", F.concat(F.lit("Chapter "), "place")).alias("label"))
 
 
 @query(r'''SELECT doc_id, '[' || doc_id || '] ' || regexp_replace(lang || ' """" ' || source, '"{3,}', '"', 'g') || ' · ' || len(string_split(text, chr(10))) || ' blocks · ' || n_chars || ' characters' || CASE WHEN doc_id % 2 = 0 THEN ' · even' ELSE '' END AS line FROM documents''')

@@ -22,27 +22,33 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""WITH g AS (SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM conversations)
-SELECT conv_id, turn, substr(so_far, length(coalesce(lag(so_far) OVER (PARTITION BY conv_id ORDER BY turn), '')) + 1) AS delta FROM g""")
+@query("""WITH g AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (
+    SELECT conv_id, turn * 2 AS turn, split_part(text, chr(10), 1) AS text FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, text FROM conversations))
+SELECT conv_id, turn, CASE WHEN starts_with(text, coalesce(before, '')) THEN substr(text, length(coalesce(before, '')) + 1) ELSE text END AS delta, before IS NOT NULL AND NOT starts_with(text, before) AS restarted FROM g""")
 def text_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """What each snapshot of a growing text adds to the one before it."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    grown = table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "").alias("so_far"))
-    before = F.coalesce(F.lag("so_far").over(w), F.lit(""))
-    return grown.select("conv_id", "turn", F.substring("so_far", F.length(before) + 1, F.length("so_far")).alias("delta"))
-
-
-@query("SELECT source, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars > 100")
+    """What each snapshot of a growing text adds to the one before it. Every turn gives two
+    snapshots, its first line and its whole text; the next turn starts anew."""
+    turns = table(spark, d, "conversations")
+    half = turns.select("conv_id", (F.col("turn") * 2).alias("turn"), F.substring_index("text", "\n", 1).alias("text"))
+    snapshots = half.union(turns.select("conv_id", F.col("turn") * 2 + 1, "text"))
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = snapshots.withColumn("before", before)
+    grown = F.startswith("text", F.coalesce("before", F.lit("")))
+    delta = F.when(grown, F.substring("text", F.length(F.coalesce("before", F.lit(""))) + 1, F.length("text"))).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", delta.alias("delta"), (F.col("before").isNotNull() & ~grown).alias("restarted"))
+
+
+@query("SELECT source, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_chapters(spark: SparkSession, d: str) -> DataFrame:
     """Chapters of a book that are not stored yet."""
-    return table(spark, d, "documents").where("n_chars > 100").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("source", "doc_id")
+    return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("source", "doc_id")
 
 
-@query("""WITH c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM documents WHERE n_chars > 300)
+@query("""WITH c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM documents)
 SELECT h.conv_id AS highlight, coalesce(c.source, 'unknown') AS chapter, CAST(row_number() OVER (PARTITION BY h.role ORDER BY c.idx IS NULL, c.idx DESC, h.turn DESC, h.conv_id) AS INTEGER) AS place, h.role, h.turn FROM conversations h LEFT JOIN c ON c.doc_id = h.conv_id""")
 def highlights_panel(spark: SparkSession, d: str) -> DataFrame:
     """Highlights with a known chapter first, later chapters first, newest first."""
-    c = table(spark, d, "documents").where("n_chars > 300").select("doc_id", "source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).alias("idx"))
+    c = table(spark, d, "documents").select("doc_id", "source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).alias("idx"))
     h = table(spark, d, "conversations").select(F.col("conv_id").alias("highlight"), "role", "turn")
     joined = h.join(c, F.col("highlight") == F.col("doc_id"), "left")
     order = W.partitionBy("role").orderBy(F.col("idx").isNull(), F.desc("idx"), F.desc("turn"), F.asc("highlight"))

@@ -113,11 +113,11 @@ def resume_choice(spark: SparkSession, d: str) -> DataFrame:
     return both.select("user_id", F.when(F.col("l").isNotNull() & (F.col("l") >= F.coalesce("s", F.lit(-1))), "local").otherwise("server").alias("source"))
 
 
-_DELTAS_SQL = f"""WITH {OFFLINE_SQL}, closed AS (SELECT user_id, event_type AS item, start_ms, greatest(0, (end_ms - start_ms + 500) // 1000) AS s FROM offline WHERE event_type <> 'signup' AND event_id % 3 = 0 AND end_ms >= start_ms)"""
+_DELTAS_SQL = f"""WITH {OFFLINE_SQL}, closed AS (SELECT user_id, event_type AS item, start_ms, greatest(0, (end_ms - start_ms + 500) // 1000) AS s FROM offline WHERE event_type <> 'signup' AND end_ms >= start_ms)"""
 
 
 def _closed(spark: SparkSession, d: str) -> DataFrame:
-    rows = offline(spark, d).where("event_type <> 'signup' and event_id % 3 = 0 and end_ms >= start_ms")
+    rows = offline(spark, d).where("event_type <> 'signup' and end_ms >= start_ms")
     return rows.select("user_id", F.col("event_type").alias("item"), "start_ms", elapsed_seconds(F.col("start_ms"), F.col("end_ms")).alias("s")).where("s > 0")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.functions.numbers import font_scale, font_weight
-from pagemill.functions.text import ONE_TO_MANY, ONE_TO_ONE, book_slug, collection_slug, data_url, file_format, filename_title, format_authors, href_anchor, href_path, image_mime, pad_chapter, parse_bool, parse_status, published_year, split_genres
+from pagemill.functions.numbers import FONT_LADDER, font_scale, font_weight
+from pagemill.functions.text import ONE_TO_MANY, ONE_TO_ONE, book_slug, collection_slug, data_url, file_format, filename_title, format_authors, href_anchor, href_path, image_mime, pad_chapter, parse_bool, parse_status, published_year, split_genres, strict_locator
 from pagemill.operators.relational import first_seen, unique_names
 from pagemill.sources.tables import table
 
@@ -61,10 +61,10 @@ def unique_slug(spark: SparkSession, d: str) -> DataFrame:
     return unique_names(books, ["shelf"], "base", [F.asc("book_id")], "slug").select("book_id", "shelf", "slug")
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(left(text, 200), ' ') AS a FROM documents), u AS (SELECT doc_id, unnest(a) AS v, generate_subscripts(a, 1) AS pos FROM w),
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents), u AS (SELECT doc_id, unnest(a) AS v, generate_subscripts(a, 1) AS pos FROM w),
 f AS (SELECT doc_id, lower(v) AS k, min(pos) AS pos, arg_min(v, pos) AS v FROM u GROUP BY ALL) SELECT doc_id, string_agg(v, ' ' ORDER BY pos) AS names FROM f GROUP BY doc_id""")
 def dedupe_ci_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.split(F.left("text", F.lit(200)), " ").alias("a"))
+    rows = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("a"))
     return first_seen(rows, ["doc_id"], "a", "a").select("doc_id", F.array_join("a", " ").alias("names"))
 
 
@@ -90,11 +90,11 @@ def form_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", parse_bool(b).alias("flag"), parse_status(s).alias("status"), number.alias("number"))
 
 
-@query("""WITH h AS (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '#s%20' || page_id WHEN page_id % 3 = 1 THEN '%20x' ELSE '' END AS href FROM pages)
-SELECT page_id, replace(split_part(href, '#', 1), '%20', ' ') AS path, nullif(CASE WHEN contains(href, '#') THEN substr(href, strpos(href, '#') + 1) ELSE '' END, '') AS anchor FROM h""")
+@query("""WITH h AS (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '#S%20%C3%A9' || page_id WHEN page_id % 3 = 1 THEN '%20x' ELSE '' END AS href FROM pages)
+SELECT page_id, lower(url_decode(split_part(href, '#', 1))) AS path, nullif(CASE WHEN contains(href, '#') THEN url_decode(substr(href, strpos(href, '#') + 1)) ELSE '' END, '') AS anchor FROM h""")
 def href_normalize(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("page_id") % 3
-    href = F.concat("url", F.when(m == 0, F.concat(F.lit("#s%20"), F.col("page_id").cast("string"))).when(m == 1, "%20x").otherwise(""))
+    href = F.concat("url", F.when(m == 0, F.concat(F.lit("#S%20%C3%A9"), F.col("page_id").cast("string"))).when(m == 1, "%20x").otherwise(""))
     return table(spark, d, "pages").select("page_id", href_path(href).alias("path"), href_anchor(href).alias("anchor"))
 
 
@@ -112,29 +112,39 @@ def file_kinds(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", file_format(n).alias("format"), image_mime(n).alias("mime"), filename_title(n).alias("title"), data_url(F.lit("text/plain"), n.cast("binary")).alias("url"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN 'Chapter 0' || p_size || ': ' || p_name ELSE 'Chapter ' || p_size || ': ' || p_name END AS label,
-    CASE WHEN p_size % 4 = 0 THEN floor(least(2.0, greatest(0.5, p_size / 20.0)) * 1000 + 0.5) / 1000 END AS font, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(floor(least(900, greatest(100, p_size * 25)) / 100.0 + 0.5) * 100 AS INTEGER) END AS weight
-    FROM part WHERE p_size NOT IN (20) AND floor(least(900, greatest(100, p_size * 25)) / 100.0 + 0.5) <> 4""")
+#: Font sizes and weights, edge cases among them; {} is the part's size.
+_FONTS = [*FONT_LADDER, "{}%", "{} %", "0.{}em", ".{}rem", "{}.em", "-{}em", "0em", "1.2.3em", "{}px", "inherit", "100%", " SMALL "]
+_WEIGHTS = ["{}0", "{}00", "{}5", "123456789012345678901", "normal", "Bold", " lighter", "bolder", "400", "0", "-{}00", "7 00", "inherit"]
+
+
+def _listed(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS id, p_size, p_name, lower(trim(replace({_listed(_FONTS)}[p_partkey % {len(_FONTS)} + 1], '{{}}', CAST(p_size AS VARCHAR)))) AS f, lower(trim(replace({_listed(_WEIGHTS)}[p_partkey % {len(_WEIGHTS)} + 1], '{{}}', CAST(p_size AS VARCHAR)))) AS w FROM part),
+r AS (SELECT *, CASE f {" ".join(f"WHEN '{k}' THEN {v}" for k, v in FONT_LADDER.items())} ELSE TRY_CAST(nullif(regexp_extract(f, '^(-?[\\d.]+)\\s*(em|rem|%)$', 1), '') AS DOUBLE) / CASE WHEN f LIKE '%\\%' ESCAPE '\\' THEN 100 ELSE 1 END END AS size,
+    CASE w WHEN 'normal' THEN 400 WHEN 'bold' THEN 700 WHEN 'bolder' THEN 700 WHEN 'lighter' THEN 300 ELSE TRY_CAST(nullif(regexp_extract(w, '^\\d+$'), '') AS DOUBLE) END AS heavy FROM s)
+SELECT id, 'Chapter ' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ': ' || p_name AS label, CASE WHEN size > 0 THEN nullif(floor(least(2.0, greatest(0.5, size)) * 1000 + 0.5) / 1000, 1) END AS font,
+    CASE WHEN heavy IS NOT NULL THEN CAST(nullif(floor(least(900, greatest(100, heavy)) / 100.0 + 0.5) * 100, 400) AS INTEGER) END AS weight FROM r""")
 def label_styles(spark: SparkSession, d: str) -> DataFrame:
-    size = F.col("p_size")
-    weight = F.floor(F.least(F.lit(900), F.greatest(F.lit(100), size * 25)) / 100 + 0.5)
-    rows = table(spark, d, "part").where((size != 20) & (weight != 4))
-    label = F.concat(F.lit("Chapter "), size.cast("string"), F.lit(": "), F.col("p_name"))
-    font = F.when(size % 4 == 0, F.concat((size * 5).cast("string"), F.lit("%"))).otherwise("inherit")
-    css = F.when(size % 3 == 0, "normal").otherwise((size * 25).cast("string"))
-    return rows.select(F.col("p_partkey").alias("id"), pad_chapter(label).alias("label"), font_scale(font).alias("font"), font_weight(css).alias("weight"))
+    size = F.col("p_size").cast("string")
+    css = lambda values: F.replace(F.get(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values)).cast("int")), F.lit("{}"), size)
+    label = F.concat(F.lit("Chapter "), size, F.lit(": "), F.col("p_name"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), pad_chapter(label).alias("label"), font_scale(css(_FONTS)).alias("font"), font_weight(css(_WEIGHTS)).alias("weight"))
+
+
+_LOCATORS = ['{"chapterId": 1, "blockId": "b", "textOffset": 2}', "oops", '{"chapterId": "c{}", "blockId": "b1", "textOffset": {}}', '{"chapterId": "c{}", "blockId": "b1", "textOffset": "{}"}', '{"chapterId": "c{}", "blockId": null, "textOffset": 1}', '{"chapterId": "", "blockId": "", "textOffset": {}.5}', '{"blockId": "b1", "textOffset": {}}', "[1, 2]", "", '{"chapterId": "x", "blockId": "y", "textOffset": -{}, "more": [{}]}']
 
 
-@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '{"chapterId": 1}' WHEN event_id % 5 = 1 THEN 'oops' WHEN event_id % 5 = 2 THEN NULL ELSE '{"chapterId": "c' || user_id || '", "blockId": "b1", "textOffset": ' || event_id || '}' END AS l FROM events)
-SELECT event_id, CASE WHEN event_id % 5 > 2 THEN json_extract_string(l, '$.chapterId') END AS chapter, CASE WHEN event_id % 5 > 2 THEN CAST(json_extract_string(l, '$.textOffset') AS BIGINT) END AS text_offset FROM e""")
+@query(f"""WITH e AS (SELECT event_id, nullif(replace({_listed(_LOCATORS)}[event_id % {len(_LOCATORS)} + 1], '{{}}', CAST(event_id AS VARCHAR)), '') AS l FROM events),
+v AS (SELECT event_id, CASE WHEN json_valid(l) THEN l END AS l FROM e),
+g AS (SELECT event_id, CASE WHEN json_type(l, '$.chapterId') = 'VARCHAR' AND json_type(l, '$.blockId') = 'VARCHAR' AND json_type(l, '$.textOffset') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN l END AS l FROM v)
+SELECT event_id, json_extract_string(l, '$.chapterId') AS chapter, json_extract_string(l, '$.blockId') AS block, CAST(json_extract_string(l, '$.textOffset') AS DOUBLE) AS text_offset FROM g""")
 def locator_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Strict: null unless all three fields are there."""
-    k = F.col("event_id") % 5
-    good = F.concat(F.lit('{"chapterId": "c'), F.col("user_id").cast("string"), F.lit('", "blockId": "b1", "textOffset": '), F.col("event_id").cast("string"), F.lit("}"))
-    raw = F.when(k == 0, '{"chapterId": 1}').when(k == 1, "oops").when(k > 2, good)
-    parsed = F.from_json(raw, "chapterId string, blockId string, textOffset long")
-    whole = parsed["chapterId"].isNotNull() & parsed["blockId"].isNotNull() & parsed["textOffset"].isNotNull()
-    return table(spark, d, "events").select("event_id", F.when(whole, parsed["chapterId"]).alias("chapter"), F.when(whole, parsed["textOffset"]).alias("text_offset"))
+    """Strict: null unless all three fields are there and of their types."""
+    raw = F.replace(F.get(F.array(*map(F.lit, _LOCATORS)), (F.col("event_id") % len(_LOCATORS)).cast("int")), F.lit("{}"), F.col("event_id").cast("string"))
+    rows = table(spark, d, "events").select("event_id", strict_locator(raw).alias("l"))
+    return rows.select("event_id", F.col("l.chapterId").alias("chapter"), F.col("l.blockId").alias("block"), F.col("l.textOffset").alias("text_offset"))
 
 
 @query("""WITH a AS (SELECT c_custkey AS id, 'de;q=0.' || (c_nationkey % 9 + 1) || ',uk-UA;q=0.' || (c_custkey % 9 + 1) || ',xx,en;q=0' AS header FROM customer),

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import counts_as_reading, half_up, pages, percent, reading_hours
-from pagemill.functions.text import collapse, contains_ci, digit_percent, normalise_selection, normalise_title, paragraphs, sample_text, source_hash, words
+from pagemill.functions.text import FILE_TITLE, MACHINE_TITLE, NUMBER_TITLE, collapse, contains_ci, digit_percent, normalise_selection, normalise_title, paragraphs, said_title, sample_text, source_hash, words
 from pagemill.operators.relational import counts_of_domain
 from pagemill.sources.tables import table
 
 QUERIES, SQL = {}, {}
-PURPOSES = ["BODY", "NOTES"]
 
 
 def query(sql: str | None = None):
@@ -25,12 +24,18 @@ def query(sql: str | None = None):
     return register
 
 
-def _chapters(spark: SparkSession, d: str) -> DataFrame:
+def _chapters(spark: SparkSession, d: str, **columns: Column) -> DataFrame:
+    """The documents with their place in their book. What a query needs of the texts are
+    `columns`, computed before the window, so that no text is shuffled."""
     order = W.partitionBy("source").orderBy("doc_id")
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang", "text", "n_chars")
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", *[c.alias(n) for n, c in columns.items()])
     return rows.withColumn("idx", F.row_number().over(order) - 1)
 
 
+def n_words(text: str = "text") -> Column:
+    return F.size(words(F.col(text))).cast("long")
+
+
 CH = "ch AS (SELECT doc_id, source, lang, text, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM documents)"
 WC = r"len(list_filter(string_split_regex({}, '\s+'), lambda w: w <> ''))"
 
@@ -40,16 +45,19 @@ s AS (SELECT doc_id, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS words, CAST(f
 SELECT doc_id, blocks, words, median_words, CASE WHEN chars > 0 THEN CAST(floor(digits * 100 / chars + 0.5) AS BIGINT) ELSE 0 END AS digit_percent,
     CAST(CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN floor(idx * 100 / (count(*) OVER (PARTITION BY source) - 1) + 0.5) ELSE 0 END AS BIGINT) AS position_percent FROM s JOIN ch USING (doc_id)""")
 def chapter_signals(spark: SparkSession, d: str) -> DataFrame:
-    ch = _chapters(spark, d)
     lines = F.split("text", "\n")
+
+    def median(counts: Column) -> Column:
+        mid = lambda k: F.get(counts, k.cast("int"))
+        n = F.size(counts)
+        return F.when(n == 0, 0).when(n % 2 == 1, mid(F.floor(n / 2))).otherwise(F.floor((mid(F.floor(n / 2)) + mid(F.floor(n / 2) - 1)) / 2 + 0.5)).cast("long")
+
     counts = F.array_sort(F.filter(F.transform(lines, lambda x: F.size(words(x))), lambda n: n > 0))
-    rows = ch.select("doc_id", "source", "idx", F.size(lines).cast("long").alias("blocks"), F.aggregate(F.transform(lines, lambda x: F.size(words(x)).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n).alias("words"), counts.alias("c"), F.regexp_count("text", F.lit("[0-9]")).alias("digits"), (F.length("text") - F.size(lines) + 1).alias("chars"))
-    n = F.size("c")
-    mid = lambda k: F.get("c", k)
-    median = F.when(n == 0, 0).when(n % 2 == 1, mid(F.floor(n / 2).cast("int"))).otherwise(F.floor((mid(F.floor(n / 2).cast("int")) + mid(F.floor(n / 2).cast("int") - 1)) / 2 + 0.5))
+    sums = F.transform(F.array(counts), lambda c: F.struct(F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n).alias("words"), median(c).alias("median")))[0]
+    rows = _chapters(spark, d, blocks=F.size(lines).cast("long"), sums=sums, digits=F.regexp_count("text", F.lit("[0-9]")), chars=F.length("text") - F.size(lines) + 1)
     total = F.count("*").over(W.partitionBy("source"))
     place = F.when(total > 1, half_up(F.col("idx") * 100 / F.nullif(total - 1, F.lit(0)))).otherwise(0)
-    return rows.select("doc_id", "blocks", "words", median.cast("long").alias("median_words"), digit_percent(F.col("digits"), F.col("chars")).alias("digit_percent"), place.cast("long").alias("position_percent"))
+    return rows.select("doc_id", "blocks", "sums.words", F.col("sums.median").alias("median_words"), digit_percent(F.col("digits"), F.col("chars")).alias("digit_percent"), place.cast("long").alias("position_percent"))
 
 
 @query("""SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars, CASE WHEN sum(n_chars) > 0 THEN greatest(1, CAST(floor(sum(n_chars) / 1800 + 0.5) AS BIGINT)) END AS pages,
@@ -75,8 +83,8 @@ final AS (SELECT doc_id, source, idx, words, blocks, purpose, confidence, distru
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """Labels with defaults, the counting policy, and the guard that distrusts a whole book."""
-    ch = _chapters(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
-    rows = ch.select("doc_id", "source", "idx", F.size(words(F.col("text"))).cast("long").alias("words"), F.size(F.split("text", "\n")).cast("long").alias("blocks"), F.when(F.col("toxic") == 1, "NOTES").otherwise("BODY").alias("purpose"), F.when(F.col("quality") == 1, "high").otherwise("low").alias("confidence"))
+    ch = _chapters(spark, d, words=n_words(), blocks=F.size(F.split("text", "\n")).cast("long")).join(table(spark, d, "labels"), "doc_id", "left")
+    rows = ch.select("doc_id", "source", "idx", "words", "blocks", F.when(F.col("toxic") == 1, "NOTES").otherwise("BODY").alias("purpose"), F.when(F.col("quality") == 1, "high").otherwise("low").alias("confidence"))
     rows = rows.withColumn("own", counts_as_reading(F.col("purpose"), F.col("confidence")))
     book = W.partitionBy("source")
     ratio = F.sum(F.when(F.col("own"), F.col("words")).otherwise(0)).over(book) / F.nullif(F.sum("words").over(book), F.lit(0))
@@ -153,22 +161,24 @@ def chapter_title_extract(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("last") > F.col("at"), F.col("title")).alias("title"))
 
 
-@query(rf"""WITH {CH}, c AS (SELECT doc_id, idx, CASE doc_id % 5 WHEN 0 THEN 'Chapter ' || (idx + 1) WHEN 1 THEN 'part_' || idx WHEN 2 THEN '12.3' WHEN 3 THEN left(text, 120) ELSE NULL END AS title, CASE doc_id % 3 WHEN 0 THEN 'split-07.xhtml' WHEN 1 THEN ' Notes ' ELSE 'Chapter 3' END AS label FROM ch),
+@query(rf"""WITH {CH}, c AS (SELECT doc_id, idx, CASE doc_id % 5 WHEN 0 THEN 'Chapter ' || (idx + 1) WHEN 1 THEN 'part_' || idx WHEN 2 THEN '12.3' WHEN 3 THEN split_part(text, chr(10), 1) ELSE NULL END AS title, CASE doc_id % 3 WHEN 0 THEN 'split-07.xhtml' WHEN 1 THEN ' Notes ' ELSE 'Chapter 3' END AS label FROM ch),
 n AS (SELECT doc_id, unnest([title, label]) AS t, unnest([0, 1]) AS o, idx FROM c),
-k AS (SELECT doc_id, o, trim(t) AS t FROM n WHERE t IS NOT NULL AND trim(t) <> '' AND lower(trim(t)) <> 'chapter ' || (idx + 1) AND NOT regexp_matches(lower(trim(t)), '\.(x?html?|xml)$') AND NOT regexp_matches(lower(trim(t)), '^(section|split|part|item|text|page)[\s_.-]*\d+$') AND NOT regexp_matches(trim(t), '^[\d\s.:_-]+$'))
+k AS (SELECT doc_id, o, trim(t) AS t FROM n WHERE t IS NOT NULL AND trim(t) <> '' AND lower(trim(t)) <> 'chapter ' || (idx + 1) AND NOT regexp_matches(lower(trim(t)), '{FILE_TITLE}') AND NOT regexp_matches(lower(trim(t)), '{MACHINE_TITLE}') AND NOT regexp_matches(trim(t), '{NUMBER_TITLE}'))
 SELECT c.doc_id, coalesce(arg_min(CASE WHEN length(t) > 80 THEN rtrim(left(t, 80)) || '…' ELSE t END, o), '(untitled)') AS title FROM c LEFT JOIN k ON k.doc_id = c.doc_id GROUP BY c.doc_id""")
 def title_normalize(spark: SparkSession, d: str) -> DataFrame:
+    """First lines are cut to titles before the window."""
     k = F.col("doc_id") % 5
-    title = F.when(k == 0, F.concat(F.lit("Chapter "), (F.col("idx") + 1).cast("string"))).when(k == 1, F.concat(F.lit("part_"), F.col("idx").cast("string"))).when(k == 2, "12.3").when(k == 3, F.left("text", F.lit(120)))
     m = F.col("doc_id") % 3
     label = F.when(m == 0, "split-07.xhtml").when(m == 1, " Notes ").otherwise("Chapter 3")
-    return _chapters(spark, d).select("doc_id", normalise_title(title, label, F.col("idx")).alias("title"))
+    rows = _chapters(spark, d, first=said_title(F.substring_index("text", "\n", 1)), label=said_title(label))
+    numbered = F.when(k == 0, F.concat(F.lit("Chapter "), (F.col("idx") + 1).cast("string"))).when(k == 1, F.concat(F.lit("part_"), F.col("idx").cast("string"))).when(k == 2, "12.3")
+    return rows.select("doc_id", normalise_title(F.when(k == 3, F.col("first")).otherwise(said_title(numbered)), F.col("label"), F.col("idx")).alias("title"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, lang, trim(regexp_replace('"' || left(text, 90) || ' "', '\s+', ' ', 'g')) AS c FROM documents)
+@query(r"""WITH s AS (SELECT doc_id, lang, trim(regexp_replace('"' || text || ' "', '\s+', ' ', 'g')) AS c FROM documents)
 SELECT doc_id, sha256('explain|' || trim(substr(c, 2, length(c) - 2)) || '|' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END || '|small') AS source_hash FROM s""")
 def selection_hash(spark: SparkSession, d: str) -> DataFrame:
-    quoted = F.concat(F.lit('"'), F.left("text", F.lit(90)), F.lit(' "'))
+    quoted = F.concat(F.lit('"'), "text", F.lit(' "'))
     return table(spark, d, "documents").select("doc_id", source_hash(F.lit("explain"), quoted, F.when(F.col("doc_id") % 4 != 0, F.col("lang")), F.lit("small")).alias("source_hash"))
 
 
@@ -178,11 +188,14 @@ def checksum_index(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.sha2(data, 256).alias("checksum")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
-@query(f"""WITH {CH} SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY lang ORDER BY (n_chars < 500), idx DESC, doc_id DESC) AS INTEGER) AS place FROM ch WHERE contains(lower(text), 'license') OR contains(lower(source), 'license')""")
+@query(f"""WITH {CH} SELECT doc_id, source, lang, n_chars < 500 AS short, CAST(row_number() OVER (PARTITION BY lang ORDER BY (n_chars < 500), idx DESC, doc_id DESC) AS INTEGER) AS place FROM ch
+WHERE (contains(lower(text), 'license') OR contains(lower(source), 'license')) AND lang IN ('en', 'de')""")
 def search_filter_sort(spark: SparkSession, d: str) -> DataFrame:
-    found = _chapters(spark, d).where(contains_ci(F.col("text"), " License ") | contains_ci(F.col("source"), " License "))
+    """Entries of two colours (languages) that hold the search words in one of two columns, in the panel's order."""
+    hit = contains_ci(F.col("text"), " License ") | contains_ci(F.col("source"), " License ")
+    found = _chapters(spark, d, hit=hit).where(F.col("hit") & F.col("lang").isin("en", "de"))
     order = W.partitionBy("lang").orderBy(F.col("n_chars") < 500, F.desc("idx"), F.desc("doc_id"))
-    return found.select("doc_id", "source", F.row_number().over(order).alias("place"))
+    return found.select("doc_id", "source", "lang", (F.col("n_chars") < 500).alias("short"), F.row_number().over(order).alias("place"))
 
 
 @query("SELECT u.source, k.lang, count(d.doc_id) AS n FROM (SELECT DISTINCT source FROM documents) u CROSS JOIN (VALUES ('en'), ('fr'), ('de'), ('es'), ('uk')) k(lang) LEFT JOIN documents d ON d.source = u.source AND d.lang = k.lang GROUP BY ALL")
@@ -194,14 +207,16 @@ def language_counts(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS cum, sum(n) OVER (PARTITION BY doc_id) AS total FROM b), w AS (SELECT *, least(doc_id % 997, greatest(total - 1, 0)) AS off FROM c)
 SELECT doc_id, CAST(coalesce(min(pos) FILTER (WHERE cum > off) - 1, 0) AS BIGINT) AS segment, CAST(coalesce(min(off) - arg_min(cum - n, pos) FILTER (WHERE cum > off), 0) AS BIGINT) AS in_segment FROM w GROUP BY doc_id""")
 def offset_locate(spark: SparkSession, d: str) -> DataFrame:
-    """The line that holds a text offset, and the offset in it."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = W.partitionBy("doc_id")
-    rows = rows.withColumn("n", F.length("line")).withColumn("cum", F.sum("n").over(w.orderBy("pos"))).withColumn("total", F.sum("n").over(w))
-    rows = rows.withColumn("off", F.least(F.col("doc_id") % 997, F.greatest(F.col("total") - 1, F.lit(0))))
-    at = F.when(F.col("cum") > F.col("off"), F.col("pos"))
-    found = rows.groupBy("doc_id").agg(F.min(at).alias("segment"), F.min("off").alias("off"), F.min_by(F.col("cum") - F.col("n"), at).alias("start"))
-    return found.select("doc_id", F.coalesce(F.col("segment").cast("long"), F.lit(0)).alias("segment"), F.coalesce((F.col("off") - F.col("start")).cast("long"), F.lit(0)).alias("in_segment"))
+    """The line that holds a text offset, and the offset in it; in one pass over the lines."""
+    lengths = F.transform(F.split("text", "\n"), lambda x: F.length(x).cast("long"))
+    rows = table(spark, d, "documents").select("doc_id", lengths.alias("lengths"))
+    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)
+    rows = rows.withColumn("off", F.least(F.col("doc_id") % 997, F.greatest(total - 1, F.lit(0))))
+    step = lambda at, n: F.when(at["found"] | (at["start"] + n > F.col("off")), F.struct(at["segment"], at["start"], F.lit(True).alias("found"))).otherwise(F.struct((at["segment"] + 1).alias("segment"), (at["start"] + n).alias("start"), F.lit(False).alias("found")))
+    start = F.struct(F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("start"), F.lit(False).alias("found"))
+    at = rows.select("doc_id", "off", F.aggregate("lengths", start, step).alias("at"))
+    here = lambda c: F.when(F.col("at.found"), c).otherwise(0).cast("long")
+    return at.select("doc_id", here(F.col("at.segment")).alias("segment"), here(F.col("off") - F.col("at.start")).alias("in_segment"))
 
 
 @query(f"""WITH {CH} SELECT a.doc_id, count(*) AS cached, min(b.idx) AS lo, max(b.idx) AS hi FROM ch a JOIN ch b ON a.source = b.source AND b.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY a.doc_id""")
@@ -217,10 +232,10 @@ def paragraph_context(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(paragraphs(F.col("text"))).cast("long").alias("paragraphs"), F.left(text, F.lit(30)).alias("before"), F.right(text, F.lit(30)).alias("after"))
 
 
-@query(r"""WITH saved AS (SELECT doc_id AS comment_id, source, lang, trim(regexp_replace(left(text, 40), '\s+', ' ', 'g')) AS sel, n_chars % 3 AS tool FROM documents)
-SELECT d.doc_id, tool, arg_min(comment_id, comment_id) AS comment_id FROM documents d JOIN saved s ON d.source = s.source AND d.lang = s.lang AND trim(regexp_replace(left(d.text, 40), '\s+', ' ', 'g')) = s.sel AND d.n_chars % 3 = s.tool GROUP BY ALL""")
+@query(r"""WITH saved AS (SELECT doc_id AS comment_id, source, lang, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS sel, n_chars % 3 AS tool FROM documents)
+SELECT d.doc_id, tool, arg_min(comment_id, comment_id) AS comment_id FROM documents d JOIN saved s ON d.source = s.source AND d.lang = s.lang AND trim(regexp_replace(split_part(d.text, chr(10), 1), '\s+', ' ', 'g')) = s.sel AND d.n_chars % 3 = s.tool GROUP BY ALL""")
 def saved_comment_match(spark: SparkSession, d: str) -> DataFrame:
     """Selections meet saved comments by four columns; the first of each tool wins."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", normalise_selection(F.left("text", F.lit(40))).alias("sel"), (F.col("n_chars") % 3).alias("tool"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", normalise_selection(F.substring_index("text", "\n", 1)).alias("sel"), (F.col("n_chars") % 3).alias("tool"))
     saved = docs.groupBy("source", "lang", "sel", "tool").agg(F.min("doc_id").alias("comment_id"))
     return docs.join(saved, ["source", "lang", "sel", "tool"]).select("doc_id", "tool", "comment_id")

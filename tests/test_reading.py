@@ -42,7 +42,7 @@ def test_selection(spark, raw, want):
 @pytest.mark.parametrize("title,label,index,want", [("Chapter 3", "Notes", 2, "Notes"), ("Chapter 3", None, 5, "Chapter 3"), ("part_07", "x.xhtml", 0, "(untitled)"), ("1.2", " Real ", 0, "Real")])
 def test_titles(spark, title, label, index, want):
     frame = spark.createDataFrame([(title, label, index)], "t string, l string, i int")
-    assert frame.select(text.normalise_title(F.col("t"), F.col("l"), F.col("i"))).first()[0] == want
+    assert frame.select(text.normalise_title(text.said_title(F.col("t")), text.said_title(F.col("l")), F.col("i"))).first()[0] == want
 
 
 def test_numbers(spark):
@@ -50,8 +50,8 @@ def test_numbers(spark):
     assert [one(spark, numbers.percent(F.col("a"), F.col("b")), a=a, b=b) for a, b in ((1, 8), (0, 0), (9, 8), (45, 100))] == [13, 0, 100, 45]
     assert [one(spark, numbers.failure_kind(F.col("s")), s=s) for s in (429, 404, 500, 418)] == ["retry", "drop", "retry", "retry"]
     assert one(spark, numbers.session_failure_kind(F.col("s")), s=418) == "drop"
-    assert [one(spark, numbers.font_scale(F.col("s")), s=s) for s in ("150%", "1em", "9em", "inherit", "0.3333em")] == [1.5, None, 2.0, None, 0.5]
-    assert [one(spark, numbers.font_weight(F.col("s")), s=s) for s in ("bold", "449", "450", "x")] == [700, None, 500, None]
+    assert [one(spark, numbers.font_scale(F.col("s")), s=s) for s in ("150%", "1em", "9em", "inherit", "0.3333em", "small", "large", "XX-Large", "smaller", "150 %", "0em", "-1em", "1.2.3em", "1.5.em", "1.em")] == [1.5, None, 2.0, None, 0.5, 0.875, 1.125, 1.5, 0.85, 1.5, None, None, None, None, None]
+    assert [one(spark, numbers.font_weight(F.col("s")), s=s) for s in ("bold", "449", "450", "x", "12345", "1" * 30)] == [700, None, 500, None, 900, 900]
     assert one(spark, numbers.half_up(F.col("x")), x=-2.5) == -2
 
 
@@ -114,7 +114,10 @@ def test_unique_names_with_natural_suffixes(spark):
     rows = [(1, "a"), (2, "a"), (3, "a-2"), (4, "a"), (5, "b")]
     got = unique_names(spark.createDataFrame([(0, *r) for r in rows], "g int, id int, base string"), ["g"], "base", [F.asc("id")], "slug").collect()
     slugs = {r.id: r.slug for r in got}
-    assert len(set(slugs.values())) == 5 and slugs[1] == "a" and slugs[3] == "a-2" and slugs[5] == "b"
+    assert slugs == {1: "a", 2: "a-3", 3: "a-2", 4: "a-4", 5: "b"}
+    many = [(1000 + i, "n") for i in range(80)] + [(i, f"n-{i}") for i in range(2, 122, 2)]
+    got = unique_names(spark.createDataFrame([(0, *r) for r in many], "g int, id int, base string"), ["g"], "base", [F.asc("id")], "slug").collect()
+    assert len({r.slug for r in got}) == len(many) and {r.slug for r in got if r.base == "n"} == {"n", *[f"n-{k}" for k in [k for k in range(3, 400) if k % 2 or k > 120][:79]]}
 
 
 def test_deepest_label_against_the_fold(spark):
