@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text's distinct paragraphs (lines) are hashed, and every digest is added to
-one cell in each of three tables. A cell holds a count, the exclusive or of its
+A text's distinct paragraphs (lines; long ones are cut at places that their own
+words decide, so that an edit moves no other cut) are hashed, and every digest is
+added to one cell in each of three tables. A cell holds a count, the exclusive or of its
 digests and that of their checksums. Subtracting the cells of two versions
 cancels what they share; peeling then takes digests out of cells that hold
 just one, until none is left, and so recovers the paragraphs that differ. A
@@ -11,11 +12,13 @@ digests are dealt to segments that each have a sketch, more with each retry.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 #: Cells in each of the three tables of a fingerprint, and of a segment in retries; digests a segment gets in the first retry.
 FINGERPRINT_WIDTH, SEGMENT_WIDTH, SEGMENT_DIGESTS = 8, 16, 6
@@ -23,13 +26,23 @@ FINGERPRINT_WIDTH, SEGMENT_WIDTH, SEGMENT_DIGESTS = 8, 16, 6
 SPLIT = 4
 #: Passes over the cells; every pass takes out all digests that stand alone.
 PASSES = 8
-#: Documents in a bucket of the id order, about, and the most buckets.
-BUCKET_ROWS, BUCKETS = 2000, 10_000
+#: Segments that one task peels.
+TASK_SEGMENTS = 8000
+#: A line of more code points than this is cut after sentence signs, and what is still longer between words that end and begin so.
+LONG = 80
+SENTENCE_CUT, WORD_CUT = "(?<=[.!?;:]) ", "(?<=[aeos$%&]) (?=[dlmtv])"
+
+
+def paragraphs(text: Column) -> Column:
+    """The lines of a text, long ones cut at content-defined places."""
+    cut = lambda part, pattern: F.when(F.length(part) > LONG, F.split(part, pattern)).otherwise(F.array(part))
+    sentences = F.flatten(F.transform(F.split(text, "\n"), lambda line: cut(line, SENTENCE_CUT)))
+    return F.flatten(F.transform(sentences, lambda sentence: cut(sentence, WORD_CUT)))
 
 
 def paragraph_digests(text: Column) -> Column:
-    """The distinct 64-bit digests of the lines of a text; the empty text is one empty line."""
-    return F.array_distinct(F.transform(F.split(text, "\n"), lambda p: F.xxhash64(p)))
+    """The distinct 64-bit digests of the paragraphs of a text; the empty text is one empty paragraph."""
+    return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
 
 
 def _let(value: Column, body) -> Column:
@@ -90,76 +103,80 @@ def as_text(digests: Column, cells: Column) -> Column:
     return F.concat(F.size(digests).cast("string"), F.lit("/"), F.array_join(F.transform(cells, one), ","))
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """(key, a, b) pairs of digest arrays to (key, n_plus, n_minus): how many digests
-    only a and only b has, all recovered by peeling. `key` must be unique."""
-    done = []
-    rows = pairs.select("key", F.lit(0).cast("long").alias("seg"), "a", "b")
-    width, level = FINGERPRINT_WIDTH, 0
-    while True:
-        tried = rows.select("key", "seg", "a", "b", peeled(subtracted(sketch(F.col("a"), width, level), sketch(F.col("b"), width, level)), width, level).alias("s"))
-        ok = is_empty(F.col("s.cells"))
-        tried = written(tried.select("key", "seg", ok.alias("ok"), F.when(ok, F.size("s.plus")).alias("n_plus"), F.when(ok, F.size("s.minus")).alias("n_minus"), F.when(~ok, F.col("a")).alias("a"), F.when(~ok, F.col("b")).alias("b")), "peeled")
-        done.append(tried.where("ok").select("key", "n_plus", "n_minus"))
-        failed = tried.where("not ok")
-        if failed.isEmpty():
-            break
+def _outcome(s: Column, a: str, b: str) -> list[Column]:
+    """What a peeled sketch tells: the sizes of both differences, or else the digests for a retry."""
+    ok = is_empty(s["cells"])
+    sizes = [F.when(ok, F.size(s[side]).cast("long")).alias(f"n_{side}") for side in ("plus", "minus")]
+    return [ok.alias("ok"), *sizes, F.when(~ok, F.col(a)).alias("a"), F.when(~ok, F.col(b)).alias("b")]
+
+
+def _retried(failed: DataFrame) -> DataFrame:
+    """(key, n_plus, n_minus) of failed (key, seg, a, b), which are dealt to more and more segments."""
+    done, level = [], 0
+    while not failed.isEmpty():
         level += 1
         # The first retry is sized by the digests, every further one deals each failed segment out again.
-        width = SEGMENT_WIDTH
-        wanted = F.ceil((F.size("a") + F.size("b")) / SEGMENT_DIGESTS) if level == 1 else F.lit(SPLIT)
+        wanted = (F.ceil((F.size("a") + F.size("b")) / SEGMENT_DIGESTS) if level == 1 else F.lit(SPLIT)).cast("long")
         sides = F.concat(F.transform("a", lambda x: F.struct(x.alias("x"), F.lit(True).alias("first"))), F.transform("b", lambda x: F.struct(x.alias("x"), F.lit(False).alias("first"))))
-        dealt = failed.select("key", "seg", wanted.cast("long").alias("wanted"), F.explode(sides).alias("e"))
+        dealt = failed.select("key", "seg", wanted.alias("wanted"), F.explode(sides).alias("e"))
         dealt = dealt.select("key", F.xxhash64("seg", F.pmod(F.xxhash64("e.x", F.lit(1000 + level)), F.col("wanted"))).alias("seg"), "e.x", "e.first")
-        rows = dealt.groupBy("key", "seg").agg(F.collect_list(F.when(F.col("first"), F.col("x"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("x"))).alias("b"))
-    every = done[0]
-    for more in done[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("key").agg(F.sum("n_plus").alias("n_plus"), F.sum("n_minus").alias("n_minus"))
+        # Peeling takes the time, so tasks get equal numbers of segments rather than of bytes.
+        tasks = max(1, -(-(failed.agg(F.sum(wanted)).first()[0] or 0) // TASK_SEGMENTS))
+        rows = dealt.repartition(tasks, "key", "seg").groupBy("key", "seg").agg(F.collect_list(F.when(F.col("first"), F.col("x"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("x"))).alias("b"))
+        peels = rows.select("key", "seg", "a", "b", peeled(subtracted(sketch(F.col("a"), SEGMENT_WIDTH, level), sketch(F.col("b"), SEGMENT_WIDTH, level)), SEGMENT_WIDTH, level).alias("s"))
+        tried = written(peels.select("key", "seg", *_outcome(F.col("s"), "a", "b")), "peeled")
+        done.append(tried.where("ok").select("key", "n_plus", "n_minus"))
+        failed = tried.where("not ok").select("key", "seg", "a", "b")
+    if not done:
+        return failed.select("key", F.lit(0).cast("long").alias("n_plus"), F.lit(0).cast("long").alias("n_minus"))
+    return reduce(DataFrame.unionByName, done).groupBy("key").agg(F.sum("n_plus").alias("n_plus"), F.sum("n_minus").alias("n_minus"))
+
 
+def differences(pairs: DataFrame) -> DataFrame:
+    """(key, a, b) pairs of digest arrays to (key, n_plus, n_minus): how many digests
+    only a and only b has, all recovered by peeling. `key` must be unique."""
+    width = FINGERPRINT_WIDTH
+    peels = pairs.select("key", "a", "b", peeled(subtracted(sketch(F.col("a"), width), sketch(F.col("b"), width)), width).alias("s"))
+    tried = written(peels.select("key", F.lit(0).cast("long").alias("seg"), *_outcome(F.col("s"), "a", "b")), "peeled")
+    return tried.where("ok").select("key", "n_plus", "n_minus").unionByName(_retried(tried.where("not ok").select("key", "seg", "a", "b")))
 
-def _bucket(value: Column, bounds: list) -> Column:
-    """How many of the sorted bounds lie below the value: coarse bounds first, then those between two."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, round(len(bounds) ** 0.5))
-    coarse, fine = F.array(*map(F.lit, bounds[step - 1 :: step])), F.array(*map(F.lit, bounds))
-    return _let(F.size(F.filter(coarse, lambda b: b < value)), lambda k: k * step + F.size(F.filter(F.slice(fine, k * step + 1, F.lit(step)), lambda b: b < value)))
+
+_KEY = ["absent", "place", "version"]
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, next_text): each row with the text of the next one by id, the last
-    with the first one's. Ids are numbers; rows that repeat an id are ordered by a
-    hash of their text, null ids come first. A null text counts as empty."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.count()
-    buckets = max(1, min(BUCKETS, n // BUCKET_ROWS))
-    bounds = []
-    if buckets > 1:
-        found = rows.agg(F.percentile_approx("id", [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]
-        bounds = sorted(set(found or []))
-    order = F.struct(F.col("id").isNotNull().alias("has"), "id", F.xxhash64("text").alias("h"))
-    rows = rows.withColumns({"bucket": F.coalesce(_bucket(F.col("id"), bounds), F.lit(0)), "rank": order})
-    following = F.lead("text").over(W.partitionBy("bucket").orderBy("rank"))
-    # One row a bucket: what follows a bucket's last row is the first row of the next bucket that has any.
-    firsts = rows.groupBy("bucket").agg(F.min_by("text", "rank").alias("text"))
-    around = W.partitionBy(F.lit(1)).orderBy("bucket")
-    every = W.partitionBy(F.lit(1)).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    after = firsts.select("bucket", F.coalesce(F.lead("text").over(around), F.first("text").over(every)).alias("after"))
-    led = rows.withColumn("following", following).join(after, "bucket")
-    return led.select("id", "text", F.coalesce("following", "after").alias("next_text"))
-
-
-def _compared(rows: DataFrame) -> DataFrame:
-    """From rows of own, ed and nx digests: the fingerprints and likenesses."""
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "digests")
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("ed").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("nx").alias("b")))).alias("o")
-    pairs = rows.select("rid", F.col("own").alias("a"), kinds).select((F.col("rid") * 2 + F.col("o.kind")).alias("key"), "a", F.col("o.b").alias("b"))
-    found = differences(pairs).select(F.floor(F.col("key") / 2).alias("rid"), F.pmod("key", F.lit(2)).alias("kind"), (F.col("n_plus") + F.col("n_minus")).alias("d"))
-    found = found.groupBy("rid").agg(F.max(F.when(F.col("kind") == 0, F.col("d"))).alias("d_ed"), F.max(F.when(F.col("kind") == 1, F.col("d"))).alias("d_nx"))
-    like = lambda other, d: (F.size("own") + F.size(other) - F.col(d)) / (F.size("own") + F.size(other) + F.col(d))
-    text = lambda c: as_text(F.col(c), sketch(F.col(c), FINGERPRINT_WIDTH))
-    return rows.join(found, "rid").withColumns({"fingerprint": text("own"), "edited_fingerprint": text("ed"), "near_edited": like("ed", "d_ed"), "near_next": like("nx", "d_nx")}).drop("rid", "own", "ed", "nx")
+    """(id, text, head, following, times): each text with what the next one by id gives it,
+    the last one's next being the first. `head` are the next text's first code points, a
+    quarter as many as the text has, `following` its paragraph digests.
+
+    Rows that repeat an id are ordered by a hash of their text, null ids come first. A null
+    text counts as empty. Equal rows are one row with `times` how often it stands; all
+    but the last of them are followed by themselves.
+
+    The order is found from ids, hashes and lengths: range partitions number the rows, and
+    one row a partition tells what follows its last one. Texts are shuffled once, by key.
+    """
+    kind = docs.schema[id_col].dataType
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).isNull().alias("absent"), F.coalesce(F.col(id_col), F.lit(0).cast(kind)).alias("place"), F.xxhash64(text).alias("version"), text.alias("text"))
+    sizes = rows.groupBy(*_KEY).agg(F.count("*").alias("times"), F.max(F.floor(F.length("text") / 4)).cast("int").alias("quarter"))
+    order = [F.desc("absent"), F.asc("place"), F.asc("version")]
+    placed = sizes.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")), "order")
+    # One row for each range partition.
+    ends = placed.groupBy("part").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    every = W.partitionBy(F.lit(1)).orderBy("part")
+    ends = ends.select("part", "last", F.coalesce(F.lead("first").over(every), F.min("first").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("beyond"))
+    led = placed.join(F.broadcast(ends), "part").withColumn("next", F.when(F.col("seq") == F.col("last"), F.col("beyond")).otherwise(F.col("seq") + 1))
+    before = led.select(F.col("next").alias("seq"), *[F.col(c).alias(f"to_{c}") for c in [*_KEY, "times", "quarter"]])
+    links = written(placed.select(*_KEY, "seq").join(before, "seq").drop("seq"), "links", few=True)
+
+    texts = rows.groupBy(*_KEY).agg(F.first("text").alias("text"))
+    told = texts.join(links, _KEY).select(*[F.col(f"to_{c}").alias(c) for c in _KEY], F.col("to_times").alias("times"), F.left("text", F.col("to_quarter")).alias("head"), paragraph_digests(F.col("text")).alias("following"))
+    met = texts.join(told, _KEY).select(F.when(~F.col("absent"), F.col("place")).alias("id"), "text", "head", "following", "times")
+    itself = F.struct(F.left("text", F.floor(F.length("text") / 4).cast("int")).alias("head"), F.lit(None).cast("array<bigint>").alias("following"), (F.col("times") - 1).alias("times"))
+    each = F.when(F.col("times") > 1, F.array(F.struct("head", "following", F.lit(1).cast("long").alias("times")), itself)).otherwise(F.array(F.struct("head", "following", "times")))
+    return met.select("id", "text", F.explode(each).alias("n")).select("id", "text", "n.*")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +191,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty paragraph. Documents are ordered as `with_next` says; a table of one
     row is its own next. Texts are compared whole; other columns are not read.
     """
-    n, q = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    rows = with_next(docs, id_col, text_col).withColumn("edited", F.concat(F.left("text", n - q), F.left("next_text", q)))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("ed"), paragraph_digests(F.col("next_text")).alias("nx"))
-    return _compared(rows)
+    n, width = F.length("text"), FINGERPRINT_WIDTH
+    with scratch(docs.sparkSession) as keep:
+        rows = with_next(docs, id_col, text_col).withColumn("edited", F.concat(F.left("text", n - F.floor(n / 4).cast("int")), "head"))
+        rows = rows.select("id", "times", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("ed"), F.col("following").alias("nx"))
+        rows = rows.withColumn("nx", F.coalesce("nx", "own"))
+        rows = rows.select("*", sketch(F.col("own"), width).alias("s_own"), sketch(F.col("ed"), width).alias("s_ed"), sketch(F.col("nx"), width).alias("s_nx"))
+        rows = rows.select("*", peeled(subtracted(F.col("s_own"), F.col("s_ed")), width).alias("p_ed"), peeled(subtracted(F.col("s_own"), F.col("s_nx")), width).alias("p_nx"))
+        outcomes = [F.struct(F.size(other).alias("size"), *_outcome(F.col(f"p_{other}"), "own", other)).alias(f"o_{other}") for other in ("ed", "nx")]
+        rows = rows.select("id", "times", "n_chars", "edited_sha256", as_text(F.col("own"), F.col("s_own")).alias("fingerprint"), as_text(F.col("ed"), F.col("s_ed")).alias("edited_fingerprint"), F.size("own").alias("size"), *outcomes)
+        rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "compared")
+        failed = [rows.where(f"not o_{other}.ok").select((F.col("rid") * 2 + k).alias("key"), F.lit(0).cast("long").alias("seg"), f"o_{other}.a", f"o_{other}.b") for k, other in enumerate(("ed", "nx"))]
+        again = _retried(failed[0].unionByName(failed[1])).select(F.floor(F.col("key") / 2).alias("rid"), F.pmod("key", F.lit(2)).alias("kind"), (F.col("n_plus") + F.col("n_minus")).alias("d"))
+        again = written(again.groupBy("rid").agg(*[F.max(F.when(F.col("kind") == k, F.col("d"))).alias(f"d_{other}") for k, other in enumerate(("ed", "nx"))]), "retried", few=True)
+        keep(rows, again)
+
+    def like(other: str) -> Column:
+        d = F.coalesce(F.col(f"o_{other}.n_plus") + F.col(f"o_{other}.n_minus"), f"d_{other}")
+        both = F.col("size") + F.col(f"o_{other}.size")
+        return ((both - d) / (both + d)).alias(f"near_{'edited' if other == 'ed' else 'next'}")
+
+    out = rows.join(again, "rid", "left").select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("ed"), like("nx"), "times")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("copy", "times")

@@ -2,17 +2,23 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm.fingerprints import differences, fingerprints
+from pagemill.llm.fingerprints import LONG, SENTENCE_CUT, WORD_CUT, differences, fingerprints
 
 from odd_texts import ODD
 
 
+def pieces(text):
+    sentences = [s for line in text.split("\n") for s in (re.split(SENTENCE_CUT, line) if len(line) > LONG else [line])]
+    return frozenset(p for s in sentences for p in (re.split(WORD_CUT, s) if len(s) > LONG else [s]))
+
+
 def likeness(a, b):
-    a, b = set(a.split("\n")), set(b.split("\n"))
+    a, b = pieces(a), pieces(b)
     return len(a & b) / len(a | b)
 
 
@@ -30,7 +36,7 @@ def check(df, docs):
     by_text = {}
     for i, text in docs:
         assert by_text.setdefault(text, got[i].fingerprint) == got[i].fingerprint
-    assert len(set(by_text.values())) == len({frozenset(t.split("\n")) for t in by_text})
+    assert len(set(by_text.values())) == len({pieces(t) for t in by_text})
 
 
 @pytest.mark.parametrize("clash", [False, True])
@@ -39,9 +45,15 @@ def test_odd_rows(documents, clash):
     check(documents(docs, clash), docs)
 
 
-def test_real_texts_over_many_buckets(documents, real, monkeypatch):
-    monkeypatch.setattr("pagemill.llm.fingerprints.BUCKET_ROWS", 7)
-    check(documents(real), real)
+def test_real_texts(documents, real):
+    check(documents(real).repartition(5), real)
+
+
+def test_one_line_texts_are_likelier_their_edits(documents):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("ladmotvie") + rng.choice(["ade", "rose", "dir", "tal", "nine", "us.", "e"]) + rng.choice("aeosnr") for _ in range(150))) for i in range(40)]
+    got = fingerprints(documents(docs)).collect()
+    assert all(r.near_edited > 0.4 > r.near_next for r in got)
 
 
 def test_one_row_empty_table_nulls_and_repeats(documents):
