@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes, dashboard, markup, packages, panels, sessions, strings, texts
+from . import changes, contents, dashboard, markup, packages, panels, sessions, strings, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = [dashboard, sessions, texts, changes, strings, packages, panels, markup]
+FAMILIES = [dashboard, sessions, texts, changes, strings, packages, panels, markup, contents]
 
 
 def queries() -> dict[str, Query]:

@@ -1,7 +1,9 @@
-"""E-book files to chapter, block and table-of-contents rows.
+"""E-book files to documents, chapters and tables of contents.
 
-Files are read by Spark's binary source and parsed one at a time inside
-`mapInPandas`; broken files give one row with a status and no chapters.
+Archives are read by Spark's binary source and opened one at a time inside
+`mapInArrow`, which gives the documents in reading order and the navigation
+document as they are. What they hold is parsed by the operators for element
+trees. Broken files give one row with a status and no documents.
 """
 
 from __future__ import annotations
@@ -14,12 +16,20 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from .html_blocks import blocks_of, tidy
+from pagemill.functions.text import href_anchor, href_path
+from pagemill.operators.blocks import block_rows, page_blocks
+from pagemill.operators.toc import anchors_by_path, label_at, toc_entries
 
-SCHEMA = "path string, status string, title string, authors array<string>, language string, chapter_index int, chapter_id string, href string, label string, n int, kind string, text string, links int"
+from .trees import element_trees, tidy
+
+SCHEMA = "book string, status string, title string, authors array<string>, language string, role string, position int, href string, markup string"
+#: Endings of documents that can be read.
+READABLE = (".xhtml", ".html", ".htm", ".xml")
 
 
 def local(tag: str) -> str:
@@ -39,75 +49,125 @@ def _read(archive: zipfile.ZipFile, path: str) -> str:
     return archive.read(path).decode("utf-8", "replace")
 
 
-def _toc(archive: zipfile.ZipFile, manifest: dict, package_path: str) -> dict[str, str]:
-    """path -> label of the first entry, from the navigation document or the older NCX."""
-    labels: dict[str, str] = {}
-    for item in manifest.values():
-        if "nav" in item["properties"].split():
-            nav_path = resolve(package_path, item["href"])
-            root = ElementTree.fromstring(_read(archive, nav_path))
-            for nav in children(root, "nav"):
-                kind = next((v for k, v in nav.attrib.items() if local(k).endswith("type")), "")
-                if "toc" in kind:
-                    for a in children(nav, "a"):
-                        if a.get("href"):
-                            labels.setdefault(resolve(nav_path, a.get("href")), tidy("".join(a.itertext())))
-    if not labels:
-        for item in manifest.values():
-            if item["type"] == "application/x-dtbncx+xml":
-                ncx_path = resolve(package_path, item["href"])
-                for point in children(ElementTree.fromstring(_read(archive, ncx_path)), "navPoint"):
-                    text, content = children(point, "text"), children(point, "content")
-                    if text and content:
-                        labels.setdefault(resolve(ncx_path, content[0].get("src", "")), tidy("".join(text[0].itertext())))
-    return labels
-
-
-def parse_epub(data: bytes) -> tuple[dict, list[dict]]:
-    """Metadata and chapters. Reading order: the spine, else the contents, else the manifest."""
+def archive_documents(data: bytes) -> tuple[dict, list[tuple[str, str, str]]]:
+    """Metadata, and (role, path, markup) of the navigation and of all documents. Reading
+    order: the spine, else what the navigation names, else the manifest, else all readable files."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        names = set(archive.namelist())
         container = ElementTree.fromstring(_read(archive, "META-INF/container.xml"))
         package_path = children(container, "rootfile")[0].get("full-path")
         package = ElementTree.fromstring(_read(archive, package_path))
-        manifest = {x.get("id"): {"href": x.get("href", ""), "type": x.get("media-type", ""), "properties": x.get("properties", "")} for x in children(package, "item")}
+        items = [{"id": x.get("id"), "path": resolve(package_path, x.get("href", "")), "type": x.get("media-type", ""), "properties": x.get("properties", "").split()} for x in children(package, "item")]
+        manifest = {x["id"]: x for x in items}  # of items that repeat an id the last one counts
         creators = [(next((v for k, v in x.attrib.items() if local(k) == "role"), None), tidy("".join(x.itertext()))) for x in children(package, "creator")]
         authors = [name for role, name in creators if role == "aut"] or [name for _, name in creators]
         first = lambda name: next((tidy("".join(x.itertext())) for x in children(package, name)), None)
         meta = {"title": first("title"), "authors": list(dict.fromkeys(a for a in authors if a)), "language": first("language")}
-        toc = _toc(archive, manifest, package_path)
-        pages = lambda item: "html" in item["type"] and "nav" not in item["properties"].split()
-        order = [resolve(package_path, manifest[x.get("idref")]["href"]) for x in children(package, "itemref") if x.get("idref") in manifest and pages(manifest[x.get("idref")])]
-        order = order or list(toc) or [resolve(package_path, item["href"]) for item in manifest.values() if pages(item)]
-        chapters = []
-        for path in dict.fromkeys(order):
-            if path not in archive.namelist():
-                continue
-            blocks = blocks_of(_read(archive, path))
-            heading = next((b["text"] for b in blocks if b["kind"] == "heading"), None)
-            i = len(chapters)
-            chapters.append({"index": i, "id": f"chapter-{i + 1}-{posixpath.splitext(posixpath.basename(path))[0].lower()}", "href": path, "label": toc.get(path) or heading or f"Chapter {i + 1}", "blocks": blocks})
-    return meta, chapters
+        navigation = next((x for x in items if "nav" in x["properties"]), None) or next((x for x in items if x["type"] == "application/x-dtbncx+xml"), None)
+        found = []
+        named: list[str] = []
+        if navigation and navigation["path"] in names:
+            markup = _read(archive, navigation["path"])
+            found.append(("contents", navigation["path"], markup))
+            addresses = [x.get("href") or x.get("src") for x in ElementTree.fromstring(markup).iter() if local(x.tag) in ("a", "content")]
+            named = [resolve(navigation["path"], h) for h in addresses if h]
+        pages = lambda x: "html" in x["type"] and "nav" not in x["properties"]
+        spine = [manifest[x.get("idref")]["path"] for x in children(package, "itemref") if x.get("idref") in manifest and pages(manifest[x.get("idref")])]
+        scanned = sorted(n for n in names if n.lower().endswith(READABLE) and not n.startswith("META-INF/") and n != package_path)
+        for order in (spine, named, [x["path"] for x in items if pages(x)], scanned):
+            if order := [p for p in dict.fromkeys(order) if p in names]:
+                break
+        for path in order:
+            markup = _read(archive, path)
+            sheets = [resolve(path, x.get("href", "")) for x in _links(markup)]
+            found.append(("chapter", path, "".join(f"<style>{_read(archive, s)}</style>" for s in sheets if s in names) + markup))
+    return meta, found
+
+
+def _links(markup: str) -> list[ElementTree.Element]:
+    try:
+        return [x for x in children(ElementTree.fromstring(markup), "link") if "stylesheet" in x.get("rel", "")]
+    except ElementTree.ParseError:
+        return []
+
+
+def epub_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document of each file, and one for its navigation (role contents).
+    A file without documents has one row with its status, and so has a PDF: UNSUPPORTED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [c.split()[0] for c in SCHEMA.split(", ")]
+        types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                meta, found, status = {"title": None, "authors": [], "language": None}, [], "FAILED"
+                if path.lower().endswith(".pdf"):
+                    status = "UNSUPPORTED"
+                    meta["title"] = tidy(unquote(posixpath.basename(path))[:-4].replace("_", " ").replace("-", " "))
+                else:
+                    try:
+                        meta, found = archive_documents(content.as_py())
+                        status = "READY" if any(role == "chapter" for role, _, _ in found) else "FAILED"
+                    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, AttributeError):
+                        pass
+                head = (path, status, meta["title"], meta["authors"], meta["language"])
+                rows = [(*head, role, n, href, markup) for n, (role, href, markup) in enumerate(found)] or [(*head, *[None] * 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], columns)
 
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{epub,pdf}").load(folder).select("path", "content")
+    return files.mapInArrow(run, SCHEMA)
 
-def read_epubs(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each block of each chapter; a file without readable chapters has one row with its status."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    meta, chapters = parse_epub(bytes(content))
-                    status = "READY" if chapters else "FAILED"
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, AttributeError):
-                    meta, chapters, status = {"title": None, "authors": [], "language": None}, [], "FAILED"
-                head = (path, status, meta["title"], meta["authors"], meta["language"])
-                rows = [(*head, c["index"], c["id"], c["href"], c["label"], n, b["kind"], b["text"], b["links"]) for c in chapters for n, b in enumerate(c["blocks"] or [{"kind": None, "text": None, "links": None}], 1)]
-                frame = pd.DataFrame(rows or [(*head, *[None] * 8)], columns=columns)
-                yield frame.astype({"chapter_index": "Int64", "n": "Int64", "links": "Int64"})
+def resolved_path(base: Column, href: Column) -> Column:
+    """A path relative to the folder of a file, without `.` and `..`, in the same archive."""
+    bare = href_path(href)
+    parts = F.split(F.concat(F.regexp_extract(F.lower(base), r"^(.*/)?[^/]*$", 1), bare), "/")
+    kept = F.filter(parts, lambda p: ~p.isin("", "."))
+    up = lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).otherwise(F.concat(done, F.array(p)))
+    return F.when(bare == "", F.lower(base)).otherwise(F.array_join(F.aggregate(kept, F.array().cast("array<string>"), up), "/"))
+
+
+def epub_toc(documents: DataFrame) -> DataFrame:
+    """The contents of each book: (book, node, parent, depth, preorder, path, label, href, file, anchor)."""
+    trees = element_trees(documents.where("role = 'contents'").select("book", F.col("href").alias("base"), "markup"), "markup")
+    bases = documents.where("role = 'contents'").select("book", F.col("href").alias("base"))
+    rows = toc_entries(trees, "book").join(bases, "book")
+    return rows.withColumns({"file": resolved_path(F.col("base"), F.col("href")), "anchor": F.lower(F.btrim(href_anchor(F.col("href"))))}).drop("base")
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(folder).select("path", "content")
-    return files.mapInPandas(run, SCHEMA)
+
+def read_epubs(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each block of each chapter; a file without chapters has one row with its status.
+
+    A document is split to chapters where a block has an anchor that the contents name.
+    A chapter's label is that of the contents at its file and anchor, else its first
+    heading, else its number; labels that only repeat the book's title don't count.
+    """
+    documents = epub_documents(spark, folder)
+    about = documents.select("book", "status", "title", "authors", "language").distinct()
+    toc = epub_toc(documents)
+    keyed = documents.where("role = 'chapter'").select(F.to_json(F.struct("book", "position", "href")).alias("page"), "markup")
+    blocks = block_rows(page_blocks(element_trees(keyed, "markup"), "page"), "page")
+    blocks = blocks.withColumn("at", F.from_json("page", "book string, position int, href string")).select(F.col("at.*"), *[c for c in blocks.columns if c not in ("page", "id")])
+    blocks = blocks.withColumn("file", F.lower("href"))
+    splits = anchors_by_path(toc.select("book", F.concat("file", F.lit("#"), "anchor").alias("href")), ["book"]).withColumnRenamed("path", "file")
+    order = W.partitionBy("book").orderBy("position", "n")
+    own = F.lower(F.btrim("anchor"))
+    cut = blocks.join(splits, ["book", "file"], "left").withColumn("starts", F.coalesce(F.array_contains("anchors", own), F.lit(False)))
+    fresh = F.when(F.lag("position").over(order).eqNullSafe(F.col("position")) & ~F.col("starts"), 0).otherwise(1)
+    cut = cut.withColumn("fresh", fresh).withColumn("chapter_index", F.sum("fresh").over(order).cast("int") - 1)
+    heading = F.when((F.col("kind") == "heading") & (F.col("text") != ""), F.col("text"))
+    chapters = cut.groupBy("book", "chapter_index").agg(F.min("href").alias("path_"), F.min(F.when(F.col("fresh") == 1, F.when(F.col("starts"), own))).alias("anchor"), F.min_by(heading, F.when(heading.isNotNull(), F.col("n"))).alias("heading"))
+    named = label_at(chapters.withColumn("path", F.lower("path_")), toc.select("book", F.col("file").alias("path"), "anchor", "label", "preorder")).join(about, "book", "right")
+    same = lambda c: F.lower(F.btrim(F.regexp_replace(c, r"\s+", " ")))
+    fit = lambda c: F.when(~same(F.col(c)).eqNullSafe(same(F.col("title"))), F.col(c))
+    number = (F.col("chapter_index") + 1).cast("string")
+    slug = lambda c: F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
+    stem = F.concat(F.lit("chapter-"), number, F.lit("-"), slug(F.regexp_extract("path_", r"([^/]*?)(\.[^./]*)?$", 1)), F.coalesce(F.concat(F.lit("--"), slug(F.col("anchor"))), F.lit("")))
+    named = named.select("book", "status", "title", "authors", "language", "chapter_index", F.when(F.col("chapter_index").isNotNull(), stem).alias("chapter_id"), F.col("path_").alias("href"), F.coalesce(fit("label"), fit("heading"), F.concat(F.lit("Chapter "), number)).alias("label"))
+    within = F.row_number().over(W.partitionBy("book", "chapter_index").orderBy("position", "n"))
+    links = F.size(F.filter("inlines", lambda p: p["href"].isNotNull()))
+    body = cut.select("book", "chapter_index", within.alias("n"), "kind", "text", links.alias("links"))
+    return named.join(body, ["book", "chapter_index"], "left").withColumnRenamed("book", "path")
 
 
 def image_size(data: bytes) -> tuple[int, int] | None:

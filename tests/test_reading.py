@@ -13,8 +13,10 @@ from pagemill.functions import numbers, text, timing
 from pagemill.operators.relational import unique_names
 from pagemill.operators.sessions import accrue, day_segments
 from pagemill.operators.toc import deepest_match, first_match, resolved_hrefs
-from pagemill.sources.epub import image_size, parse_epub, read_epubs, resolve
-from pagemill.sources.html_blocks import blocks_of, decode_entities
+from pagemill.operators.blocks import block_rows, inline_rows, page_blocks
+from pagemill.operators.toc import toc_entries
+from pagemill.sources.epub import archive_documents, image_size, read_epubs, resolve
+from pagemill.sources.trees import decode_entities, element_trees
 from pagemill.streaming.session_state import Session, session_log, stream_sessions
 
 
@@ -161,37 +163,85 @@ def test_resolved_hrefs(spark):
     assert {r.node: r.chapter for r in resolved_hrefs(toc, chapters).collect()} == {0: "c1", 1: "c0", 2: "c2", 3: None, 4: "c0"}
 
 
-def test_entities_and_blocks():
+def test_entities():
     assert decode_entities("&amp;lt; &#65;&#x42; &nbsp; &#0; &quot;") == "&lt; AB &nbsp; &#0; \""
-    html = "<body>dropped<h2 id='t'>Title &amp; more</h2><p>One <a href='x'>two</a>\n three<br>four</p><ul><li>a</li><li>b</li></ul><script>no</script><img src='i.png' alt='Pic'><blockquote><p>q1</p><p>q2</p></blockquote></body>"
-    got = [(b["kind"], b["text"], b["links"]) for b in blocks_of(html)]
-    assert got == [("heading", "Title & more", 0), ("paragraph", "One two three four", 1), ("list", "a b", 0), ("image", "Pic", 0), ("blockquote", "q1q2", 0)]
 
 
-def book(spine=True, nav=True):
+PAGE = """<html><head><title>T</title><style>p{text-indent:2em} .c, p.d {text-align:center; font-size: large} a > b {color:red} div{font-weight:bold}</style></head><body>
+<div id="top"><section><h1>One <b>bo</b><b>ld</b></h1><p class="c" style="font-size:150%">Hi <a href="x"><i>li</i>nk</a> &amp; more  <br> next</p></section>
+<div id="in" align="right"><p>para<img src="w.png" width="300" alt="w">tail</p><p><img src="s.png" alt="s"></p></div></div>
+<ul id="l"><li>a<ul><li>nested</li></ul></li><li> </li><li>b <em>c</em></li></ul> stray <em>alone</em><blockquote>q</blockquote><p> </p><img alt="none"><img src="z.png" alt="zz"><script>var p = "<p>no</p>"</script></body></html>"""
+
+
+def test_blocks_and_inlines(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>a<p>b<div>c<p>d</div>"), (4, "no blocks")], "page_id long, html string")
+    blocks = page_blocks(element_trees(pages, "html"), "page_id")
+    rows = sorted(block_rows(blocks, "page_id").collect(), key=lambda r: (r.page_id, r.n))
+    got = [(r.kind, r.level, r.anchor, r.text, r.src, r.align, r.font, r.weight, r.indent) for r in rows if r.page_id == 1]
+    assert got == [
+        ("heading", 1, "top", "One bold", None, None, None, 700, None),
+        ("paragraph", None, None, "Hi link & more\nnext", None, "center", 1.5, 700, 2.0),
+        ("paragraph", None, "in", "para", None, "right", None, 700, 2.0),
+        ("image", None, None, "w", "w.png", None, None, None, None),
+        ("paragraph", None, None, "tail", None, "right", None, 700, 2.0),
+        ("image", None, None, "s", "s.png", None, None, None, None),
+        ("list", None, "l", "a\nb c", None, None, None, None, None),
+        ("paragraph", None, None, "alone", None, None, None, None, None),
+        ("blockquote", None, None, "q", None, None, None, None, None),
+        ("image", None, None, "zz", "z.png", None, None, None, None),
+    ]
+    assert [(r.n, r.id) for r in rows if r.page_id == 3] == [(1, "3::b1"), (2, "3::b2"), (3, "3::b3")]
+    assert [[i.text for i in r["items"]] for r in rows if r.kind == "list"] == [["a", "b c"]]
+    runs = sorted((r.block, r["item"], r.n, r.text, r.bold, r.italic, r.href) for r in inline_rows(blocks, "page_id").where("page_id = 1 and kind = 'text' and block in (1, 2, 7)").collect())
+    assert runs == [
+        (1, 0, 1, "One ", False, False, None), (1, 0, 2, "bold", True, False, None),
+        (2, 0, 1, "Hi ", False, False, None), (2, 0, 2, "li", False, True, "x"), (2, 0, 3, "nk", False, False, "x"), (2, 0, 4, " & more \n next", False, False, None),
+        (7, 1, 1, "a", False, False, None), (7, 2, 1, "b ", False, False, None), (7, 2, 2, "c", False, True, None),
+    ]
+
+
+def test_contents_trees(spark):
+    nav = '<html><body><nav epub:type="toc"><h1>no</h1><ol><li><a href="a.x">One</a><ol><li><a href="b.x"></a></li><li><span> </span><ol><li>Deep <i>label</i></li></ol></li></ol></li><li><span></span></li></ol></nav></body></html>'
+    ncx = '<ncx><navMap><navPoint id="1"><navLabel><text> P </text></navLabel><content src="p.x#1"/><navPoint><navLabel><text/></navLabel><content src="q.x"/></navPoint></navPoint></navMap></ncx>'
+    rows = toc_entries(element_trees(spark.createDataFrame([("nav", nav), ("ncx", ncx), ("none", "<p>x</p>"), ("null", None)], "book string, markup string"), "markup"), "book").collect()
+    said = lambda b: [(r.depth, r.label, r.href) for r in sorted(rows, key=lambda r: r.preorder) if r.book == b]
+    assert said("nav") == [(0, "One", "a.x"), (1, "b.x", "b.x"), (1, "Untitled section", None), (2, "Deep label", None)]
+    assert said("ncx") == [(0, "P", "p.x#1"), (1, "q.x", "q.x")] and {r.book for r in rows} == {"nav", "ncx"}
+    parents = {r.node: r.parent for r in rows if r.book == "nav"}
+    assert sum(p is None for p in parents.values()) == 1 and all(p is None or p in parents for p in parents.values())
+
+
+def book(spine=True, nav=True, manifest=True):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/p.opf"/></rootfiles></container>')
-        refs = '<itemref idref="b"/><itemref idref="a"/>' if spine else ""
-        z.writestr("OEBPS/p.opf", f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title> The  Book </dc:title><dc:creator>Ann</dc:creator><dc:language>en</dc:language></metadata><manifest><item id="a" href="t/a.xhtml" media-type="application/xhtml+xml"/><item id="b" href="t/b%20c.xhtml" media-type="application/xhtml+xml"/><item id="n" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/></manifest><spine>{refs}</spine></package>')
-        entries = '<li><a href="t/a.xhtml#s">First</a></li>' if nav else ""
+        refs = '<itemref idref="b"/><itemref idref="a"/><itemref idref="none"/>' if spine else ""
+        items = '<item id="a" href="t/a.xhtml" media-type="application/xhtml+xml"/><item id="b" href="t/b%20c.xhtml" media-type="application/xhtml+xml"/><item id="n" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>' if manifest else ""
+        z.writestr("OEBPS/p.opf", f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title> The  Book </dc:title><dc:creator>Ann</dc:creator><dc:language>en</dc:language></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>')
+        entries = '<li><a href="t/a.xhtml">First</a></li><li><a href="t/a.xhtml#S">Second</a><ol><li><a href="t/a.xhtml#u">the  book</a></li><li><a href="t/a.xhtml#gone">Nowhere</a></li></ol></li>' if nav else ""
         z.writestr("OEBPS/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>{entries}</ol></nav></body></html>')
-        z.writestr("OEBPS/t/a.xhtml", "<html><body><h1>Head A</h1><p>text a</p></body></html>")
+        z.writestr("OEBPS/t/a.xhtml", "<html><body><h1>Head A</h1><p>text a</p><div id='s'><p>text s</p></div><p id='u'>text u</p></body></html>")
         z.writestr("OEBPS/t/b c.xhtml", "<html><body><p>text b</p></body></html>")
     return out.getvalue()
 
 
 def test_epub(spark, tmp_path):
-    meta, chapters = parse_epub(book())
+    meta, found = archive_documents(book())
     assert meta == {"title": "The Book", "authors": ["Ann"], "language": "en"}
-    assert [(c["href"], c["label"]) for c in chapters] == [("OEBPS/t/b c.xhtml", "Chapter 1"), ("OEBPS/t/a.xhtml", "First")]
-    assert [c["href"] for c in parse_epub(book(spine=False))[1]] == ["OEBPS/t/a.xhtml"]
-    assert [c["label"] for c in parse_epub(book(spine=False, nav=False))[1]] == ["Head A", "Chapter 2"]
+    order = lambda **x: [path for role, path, _ in archive_documents(book(**x))[1] if role == "chapter"]
+    assert order() == ["OEBPS/t/b c.xhtml", "OEBPS/t/a.xhtml"] and order(spine=False) == ["OEBPS/t/a.xhtml"]
+    assert order(spine=False, nav=False) == ["OEBPS/t/a.xhtml", "OEBPS/t/b c.xhtml"]
+    assert order(spine=False, nav=False, manifest=False) == ["OEBPS/nav.xhtml", "OEBPS/t/a.xhtml", "OEBPS/t/b c.xhtml"]
     (tmp_path / "good.epub").write_bytes(book())
     (tmp_path / "bad.epub").write_bytes(b"no zip")
+    (tmp_path / "My_file-1.pdf").write_bytes(b"%PDF")
     rows = read_epubs(spark, str(tmp_path)).collect()
-    assert sorted((r.status, r.chapter_index, r.kind) for r in rows if r.status == "READY") == [("READY", 0, "paragraph"), ("READY", 1, "heading"), ("READY", 1, "paragraph")]
-    assert sum(r.status == "FAILED" for r in rows) == 1
+    ready = sorted((r.chapter_index, r.label, r.chapter_id, r.n, r.text) for r in rows if r.status == "READY")
+    assert ready == [
+        (0, "Chapter 1", "chapter-1-b-c", 1, "text b"), (1, "First", "chapter-2-a", 1, "Head A"), (1, "First", "chapter-2-a", 2, "text a"),
+        (2, "Second", "chapter-3-a--s", 1, "text s"), (3, "Chapter 4", "chapter-4-a--u", 1, "text u"),
+    ]
+    assert sorted((r.status, r.title, r.text) for r in rows if r.status != "READY") == [("FAILED", None, None), ("UNSUPPORTED", "My file 1", None)]
 
 
 def test_paths_and_images():
