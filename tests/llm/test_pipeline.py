@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -61,3 +63,50 @@ def test_near_dups_judge_each_text_of_a_repeated_id(documents, spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
     named = corpus_pipeline.near_dups(spark, docs.withColumn("doc_id", F.concat(F.lit("d"), (F.col("doc_id") + 100).cast("string"))), "")
     assert named.count() == len(want)
+
+
+def test_against_brute_force(spark):
+    """All stages, step by step in plain Python, against run()."""
+    import numpy as np
+    import sentencepiece
+
+    from pagemill.llm.mixing import TOLERANCE
+    from pagemill.llm.queries import piece_model_path
+    from test_line_dedup import brute as brute_lines
+    from test_near_dups import brute as brute_groups
+    from test_quality import brute_query
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    told = brute_query(docs, spark.read.parquet(f"{d}/labels.parquet").collect())
+    about = {r.doc_id: (r.source or "", r.lang or "") for r in docs}
+    left = [(r.doc_id, r.text or "") for r, (_, _, score, _) in zip(docs, told) if score >= corpus_pipeline.QUALITY_THRESHOLD]
+    left = [(i, text) for i, text, _, dropped in brute_lines(left) if not dropped or text.strip(" \t\n\x0b\x0c\r")]
+    kept = {i for i, _, _, stays in brute_groups(left, 5, (80, 100)) if stays}
+    left = [(i, t) for i, t in left if i in kept]
+
+    topic = lambda t: "legal" if "license" in t.lower() else "brief" if len(t) < 1000 else "prose"
+    words = np.array([len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, t in left], float)
+    cells, at = np.unique([f"{about[i][0]}|{about[i][1]}|{topic(t)}" for i, t in left], return_inverse=True)
+    tokens = np.bincount(at, words)
+    weight = tokens.copy()
+    parts = {n: np.unique([c.split("|")[k] for c in cells], return_inverse=True)[1] for k, n in enumerate(("source", "lang", "topic"))}
+    aims = {}
+    for n, power in corpus_pipeline.TARGETS.items():
+        raw = np.bincount(parts[n], tokens) ** power
+        aims[n] = raw / raw.sum() * tokens.sum()
+    for rounds in range(1, 400):
+        for n in parts:
+            weight = np.minimum(weight * (aims[n] / np.bincount(parts[n], weight))[parts[n]], corpus_pipeline.MOST * tokens)
+        if rounds >= 15 and rounds % 5 == 0 and max(np.abs(np.bincount(parts[n], weight) / aims[n] - 1).max() for n in parts) <= TOLERANCE:
+            break
+    chance = weight / tokens / (weight / tokens).max()
+    draw = lambda i: int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:13], 16) / 2**52
+    left = [(i, t, abs(draw(i) - chance[c]) < 1e-4) for (i, t), c in zip(left, at) if draw(i) < chance[c] or abs(draw(i) - chance[c]) < 1e-4]
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model_path())
+    want = {i: sp.encode(t, add_bos=True, add_eos=True) for i, t, _ in left}
+    got = {r.doc_id: np.frombuffer(bytes(r.token_ids), "<u4").tolist() for r in corpus_pipeline.run(spark, d).collect()}
+    close = {i for i, _, near in left if near}
+    assert set(got) - close == set(want) - close and len(got) > 20
+    assert all(got[i] == want[i] for i in got)
