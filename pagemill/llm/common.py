@@ -12,8 +12,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tasks, and so files, for each core of the cluster, of tables that are written in few files.
-FILES_A_CORE = 4
+#: Tables in few files have at least so many for each core of the cluster, and one for so many shuffle partitions.
+FILES_A_CORE, PARTITIONS_A_FILE = 4, 8
 #: The tables that the innermost open `scratch` has written so far: (path, frame).
 _made: ContextVar[list[tuple[str, DataFrame | None]] | None] = ContextVar("_made", default=None)
 #: Paths that results still read; they go when the driver ends.
@@ -46,12 +46,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage ends here, and a
-    lost executor costs no recomputation of what came before. With `few`, it has at
-    most FILES_A_CORE files a core: for narrow tables that follow a shuffle. Not
-    where a skewed join comes last, since that would bring its parts together."""
+    lost executor costs no recomputation of what came before. With `few`, shuffle
+    partitions share files, so that a file holds a fixed share of any input: for narrow
+    tables. Not where a skewed join comes last, since that would bring its parts together."""
     spark = df.sparkSession
     if few:
-        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(FILES_A_CORE * spark.sparkContext.defaultParallelism, partitions // PARTITIONS_A_FILE))
     path = f"{shared_dir(spark)}/pagemill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
