@@ -114,8 +114,39 @@ def published_year(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"\d{4}", 0), F.lit("")).cast("int")
 
 
+def distinct_ci(values: Column) -> Column:
+    """A short list without repeats, whatever their case: first spelling and order kept."""
+    low = F.transform(values, lambda v: F.lower(v))
+    return F.filter(values, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
 def split_genres(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\s+(?:--|-)\s+"), lambda g: F.btrim(g)), lambda g: g != "")
+    return distinct_ci(F.filter(F.transform(F.split(text, r"\s+(?:--|-)\s+"), lambda g: F.btrim(g)), lambda g: g != ""))
+
+
+def split_authors(text: Column) -> Column:
+    """Names between commas, trimmed, without repeats."""
+    return distinct_ci(F.filter(F.transform(F.split(text, ","), lambda a: collapse(a)), lambda a: a != ""))
+
+
+def parse_number(text: Column) -> Column:
+    """A finite number, or null."""
+    n = F.btrim(text).try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+
+
+def parse_text(text: Column) -> Column:
+    """Trimmed; null if nothing is left."""
+    return F.nullif(F.btrim(text), F.lit(""))
+
+
+def language_tag(text: Column) -> Column:
+    """Subtags by their places: the language in lower case, four letters as a script, two
+    letters or three digits as a region, others in lower case; `_` separates as `-` does."""
+    parts = F.split(F.replace(F.btrim(text), F.lit("_"), F.lit("-")), "-")
+    script = lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, F.lit(2), F.length(p))))
+    shaped = F.transform(parts, lambda p, i: F.when(i == 0, F.lower(p)).when(p.rlike("^[A-Za-z]{4}$"), script(p)).when(p.rlike("^([A-Za-z]{2}|[0-9]{3})$"), F.upper(p)).otherwise(F.lower(p)))
+    return F.array_join(shaped, "-")
 
 
 def paragraphs(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import collapse
+from pagemill.functions.text import collapse, language_tag
 from pagemill.functions.styles import alignment, break_points, indent
 from pagemill.operators.relational import delete, upsert
 from pagemill.sources.tables import table
@@ -169,9 +169,11 @@ def toc_href_resolve(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.when(F.startswith(h, F.lit("#")) | h.rlike("^[a-z][a-z0-9+.-]*:"), h).otherwise(F.concat(F.lit("OEBPS/nav/"), h)).alias("target"))
 
 
-@query("""SELECT c_custkey AS id, lower(split_part(t, '-', 1)) || CASE WHEN strpos(t, '-') > 0 THEN '-' || upper(split_part(t, '-', 2)) ELSE '' END AS tag FROM (SELECT c_custkey, replace(['EN_us', 'uk', 'De-at', 'fr_FR'][c_custkey % 4 + 1], '_', '-') AS t FROM customer)""")
+_TAGS = ["EN_us", "uk", "De-at", "fr_FR", "zh_hant_tw", "SR-Cyrl-rs", "es-419", "sl-Rozaj-biske", " PT_br "]
+
+
+@query(f"""SELECT c_custkey AS id, array_to_string(list_transform(string_split(replace(trim({_TAGS}[c_custkey % {len(_TAGS)} + 1]), '_', '-'), '-'), lambda p, i: CASE WHEN i = 1 THEN lower(p)
+    WHEN regexp_full_match(p, '[A-Za-z]{{4}}') THEN upper(p[1]) || lower(p[2:]) WHEN regexp_full_match(p, '([A-Za-z]{{2}}|[0-9]{{3}})') THEN upper(p) ELSE lower(p) END), '-') AS tag FROM customer""")
 def language_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Language in lower case, region in upper case; other subtags are beyond what is done here."""
-    t = F.replace(F.get(F.array(*map(F.lit, ["EN_us", "uk", "De-at", "fr_FR"])), (F.col("c_custkey") % 4).cast("int")), F.lit("_"), F.lit("-"))
-    region = F.when(F.instr(t, "-") > 0, F.concat(F.lit("-"), F.upper(F.substring_index(t, "-", -1)))).otherwise("")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lower(F.substring_index(t, "-", 1)), region).alias("tag"))
+    said = F.get(F.array(*map(F.lit, _TAGS)), (F.col("c_custkey") % len(_TAGS)).cast("int"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), language_tag(said).alias("tag"))

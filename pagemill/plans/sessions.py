@@ -174,3 +174,23 @@ def job_eligibility(spark: SparkSession, d: str) -> DataFrame:
     jobs = table(spark, d, "events").select(F.col("event_id").alias("job"), F.col("user_id").alias("book"), millis(F.col("ts")).alias("ms"), status.alias("status"), (F.col("event_id") % 5).alias("attempts"))
     ready = jobs.where((F.col("attempts") < 3) & (F.col("status").isin("PENDING", "FAILED") | ((F.col("status") == "PROCESSING") & (F.col("ms") < NOW_MS - 600_000))))
     return top_per_group(ready, ["book"], [F.asc("ms"), F.asc("job")], 1).select("book", "job", "status")
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS job, min(l_linenumber) FILTER (WHERE l_returnflag <> 'R') AS runner, count(*) FILTER (WHERE l_returnflag <> 'R') AS claims FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT job, CASE WHEN o_orderstatus = 'O' AND runner IS NOT NULL THEN 'PROCESSING' WHEN o_orderstatus = 'O' THEN 'PENDING' ELSE 'DONE' END AS status, CASE WHEN o_orderstatus = 'O' THEN runner END AS claimed_by,
+    CASE WHEN o_orderstatus = 'O' THEN greatest(claims - 1, 0) ELSE claims END AS lost FROM orders JOIN p ON job = o_orderkey""")
+def job_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Compare and set: of the runners that want a pending job the first gets it, all others lose."""
+    wanted = table(spark, d, "lineitem").where("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("job")).agg(F.min("l_linenumber").alias("runner"), F.count("*").alias("claims"))
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), (F.col("o_orderstatus") == "O").alias("pending")).join(wanted, "job", "left")
+    claims = F.coalesce("claims", F.lit(0).cast("long"))
+    status = F.when(F.col("pending") & F.col("runner").isNotNull(), "PROCESSING").when(F.col("pending"), "PENDING").otherwise("DONE")
+    return jobs.select("job", status.alias("status"), F.when(F.col("pending"), F.col("runner")).alias("claimed_by"), F.when(F.col("pending"), F.greatest(claims - 1, F.lit(0).cast("long"))).otherwise(claims).alias("lost"))
+
+
+@query(f"""WITH m AS (SELECT user_id, max((epoch_us(ts) // 1000)) AS ms FROM events GROUP BY 1)
+SELECT user_id, ms >= {NOW_MS} - 90000 AS participant, ms < {NOW_MS} - 600000 AS stale, ms < {NOW_MS} - 3600000 AS orphan FROM m""")
+def cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """Who still takes part (90 s), what is stale (10 min) and what may be swept (1 h)."""
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max(millis(F.col("ts"))).alias("ms"))
+    return last.select("user_id", (F.col("ms") >= NOW_MS - 90_000).alias("participant"), (F.col("ms") < NOW_MS - 600_000).alias("stale"), (F.col("ms") < NOW_MS - 3_600_000).alias("orphan"))

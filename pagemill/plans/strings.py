@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import FONT_LADDER, font_scale, font_weight
-from pagemill.functions.text import ONE_TO_MANY, ONE_TO_ONE, book_slug, collection_slug, data_url, file_format, filename_title, format_authors, href_anchor, href_path, image_mime, pad_chapter, parse_bool, parse_status, published_year, split_genres, strict_locator
+from pagemill.functions.text import ONE_TO_MANY, ONE_TO_ONE, book_slug, collection_slug, data_url, file_format, filename_title, format_authors, href_anchor, href_path, image_mime, pad_chapter, parse_bool, parse_number, parse_status, parse_text, published_year, split_authors, split_genres, strict_locator
 from pagemill.operators.relational import first_seen, unique_names
 from pagemill.sources.tables import table
 
@@ -23,6 +23,10 @@ def query(sql: str | None = None):
     return register
 
 
+def _listed(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 def _slug_sql(x: str) -> str:
     out = f"lower({x})"
     for a, b in ONE_TO_MANY.items():
@@ -68,26 +72,37 @@ def dedupe_ci_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return first_seen(rows, ["doc_id"], "a", "a").select("doc_id", F.array_join("a", " ").alias("names"))
 
 
-@query(r"""SELECT p_partkey AS book_id, array_to_string(list_transform(string_split_regex(p_type || ' -- ' || p_name || ' - ' || p_brand, '\s+(?:--|-)\s+'), lambda g: trim(g)), '|') AS genres,
-    TRY_CAST(nullif(regexp_extract('c. ' || (1900 + p_size) || '-05', '\d{4}'), '') AS INTEGER) AS published, CASE WHEN p_size % 5 = 0 THEN 'Unknown author' ELSE p_brand || ', ' || p_name END AS authors FROM part""")
+@query(r"""WITH g AS (SELECT p_partkey AS book_id, p_size, p_brand, p_name, list_transform(string_split_regex(p_type || ' -- ' || p_name || ' - ' || p_brand || ' -- ' || upper(p_name), '\s+(?:--|-)\s+'), lambda g: trim(g)) AS l FROM part),
+k AS (SELECT *, list_transform(l, lambda x: lower(x)) AS low FROM g)
+SELECT book_id, array_to_string(list_filter(l, lambda x, i: list_position(low, lower(x)) = i), '|') AS genres,
+    TRY_CAST(nullif(regexp_extract('c. ' || (1900 + p_size) || '-05', '\d{4}'), '') AS INTEGER) AS published, CASE WHEN p_size % 5 = 0 THEN 'Unknown author' ELSE p_brand || ', ' || p_name END AS authors FROM k""")
 def book_metadata(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat("p_type", F.lit(" -- "), "p_name", F.lit(" - "), "p_brand")
+    said = F.concat("p_type", F.lit(" -- "), "p_name", F.lit(" - "), "p_brand", F.lit(" -- "), F.upper("p_name"))
     year = F.concat(F.lit("c. "), (1900 + F.col("p_size")).cast("string"), F.lit("-05"))
     authors = F.when(F.col("p_size") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_brand", "p_name"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("book_id"), F.array_join(split_genres(said), "|").alias("genres"), published_year(year).alias("published"), format_authors(authors).alias("authors"))
 
 
-_FORMS = "['Yes', ' on ', '0', 'FALSE', 'maybe', '1', '']"
-_STATES = "[' published', 'Draft', 'archived ', 'lost']"
+@query(r"""WITH t AS (SELECT o_orderkey AS book_id, ' ' || o_orderpriority || ', ' || lower(o_orderpriority) || ',,' || o_orderstatus || '  ' || o_orderstatus || ' , ' || o_orderpriority AS said FROM orders),
+n AS (SELECT book_id, trim(regexp_replace(unnest(string_split(said, ',')), '\s+', ' ', 'g')) AS name, generate_subscripts(string_split(said, ','), 1) AS pos FROM t),
+f AS (SELECT book_id, arg_min(name, pos) AS name, min(pos) AS pos FROM n WHERE name <> '' GROUP BY book_id, lower(name)) SELECT book_id, string_agg(name, '|' ORDER BY pos) AS authors FROM f GROUP BY book_id""")
+def author_lists(spark: SparkSession, d: str) -> DataFrame:
+    p, o = F.col("o_orderpriority"), F.col("o_orderstatus")
+    said = F.concat(F.lit(" "), p, F.lit(", "), F.lower(p), F.lit(",,"), o, F.lit("  "), o, F.lit(" , "), p)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("book_id"), F.array_join(split_authors(said), "|").alias("authors"))
+
 
+_FLAGS = ["Yes", " on ", "0", "FALSE", "maybe", "1", ""]
+_STATES = [" published", "Draft", "archived ", "lost"]
+_NUMBERS = [" {} ", "{}e2", "abc", "", "-0.{}", ".5", "Infinity", "NaN", "1 2"]
 
-@query(f"""WITH f AS (SELECT event_id, trim({_FORMS}[event_id % 7 + 1]) AS b, {_STATES}[event_id % 4 + 1] AS s, json_extract_string(props, '$.k') AS k FROM events)
-SELECT event_id, CASE WHEN lower(b) IN ('true', '1', 'yes', 'on') THEN true WHEN lower(b) IN ('false', '0', 'no', 'off') THEN false END AS flag, CASE WHEN upper(trim(s)) IN ('DRAFT', 'PUBLISHED', 'ARCHIVED') THEN upper(trim(s)) ELSE 'DRAFT' END AS status, TRY_CAST(k AS BIGINT) AS number FROM f""")
+
+@query(f"""WITH f AS (SELECT event_id, trim({_listed(_FLAGS)}[event_id % 7 + 1]) AS b, {_listed(_STATES)}[event_id % 4 + 1] AS s, trim(replace({_listed(_NUMBERS)}[event_id % 9 + 1], '{{}}', CAST(event_id AS VARCHAR))) AS n FROM events)
+SELECT event_id, CASE WHEN lower(b) IN ('true', '1', 'yes', 'on') THEN true WHEN lower(b) IN ('false', '0', 'no', 'off') THEN false END AS flag, CASE WHEN upper(trim(s)) IN ('DRAFT', 'PUBLISHED', 'ARCHIVED') THEN upper(trim(s)) ELSE 'DRAFT' END AS status,
+    CASE WHEN isfinite(TRY_CAST(n AS DOUBLE)) THEN TRY_CAST(n AS DOUBLE) END AS number, nullif(n, '') AS text FROM f""")
 def form_parse(spark: SparkSession, d: str) -> DataFrame:
-    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col("event_id") % n).cast("int"))
-    b, s = pick(["Yes", " on ", "0", "FALSE", "maybe", "1", ""], 7), pick([" published", "Draft", "archived ", "lost"], 4)
-    number = F.from_json("props", "k long").getField("k")
-    return table(spark, d, "events").select("event_id", parse_bool(b).alias("flag"), parse_status(s).alias("status"), number.alias("number"))
+    pick = lambda values: F.replace(F.get(F.array(*map(F.lit, values)), (F.col("event_id") % len(values)).cast("int")), F.lit("{}"), F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", parse_bool(pick(_FLAGS)).alias("flag"), parse_status(pick(_STATES)).alias("status"), parse_number(pick(_NUMBERS)).alias("number"), parse_text(pick(_NUMBERS)).alias("text"))
 
 
 @query("""WITH h AS (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '#S%20%C3%A9' || page_id WHEN page_id % 3 = 1 THEN '%20x' ELSE '' END AS href FROM pages)
@@ -117,10 +132,6 @@ _FONTS = [*FONT_LADDER, "{}%", "{} %", "0.{}em", ".{}rem", "{}.em", "-{}em", "0e
 _WEIGHTS = ["{}0", "{}00", "{}5", "123456789012345678901", "normal", "Bold", " lighter", "bolder", "400", "0", "-{}00", "7 00", "inherit"]
 
 
-def _listed(values: list[str]) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-
-
 @query(f"""WITH s AS (SELECT p_partkey AS id, p_size, p_name, lower(trim(replace({_listed(_FONTS)}[p_partkey % {len(_FONTS)} + 1], '{{}}', CAST(p_size AS VARCHAR)))) AS f, lower(trim(replace({_listed(_WEIGHTS)}[p_partkey % {len(_WEIGHTS)} + 1], '{{}}', CAST(p_size AS VARCHAR)))) AS w FROM part),
 r AS (SELECT *, CASE f {" ".join(f"WHEN '{k}' THEN {v}" for k, v in FONT_LADDER.items())} ELSE TRY_CAST(nullif(regexp_extract(f, '^(-?[\\d.]+)\\s*(em|rem|%)$', 1), '') AS DOUBLE) / CASE WHEN f LIKE '%\\%' ESCAPE '\\' THEN 100 ELSE 1 END END AS size,
     CASE w WHEN 'normal' THEN 400 WHEN 'bold' THEN 700 WHEN 'bolder' THEN 700 WHEN 'lighter' THEN 300 ELSE TRY_CAST(nullif(regexp_extract(w, '^\\d+$'), '') AS DOUBLE) END AS heavy FROM s)

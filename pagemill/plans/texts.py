@@ -239,3 +239,30 @@ def saved_comment_match(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", normalise_selection(F.substring_index("text", "\n", 1)).alias("sel"), (F.col("n_chars") % 3).alias("tool"))
     saved = docs.groupBy("source", "lang", "sel", "tool").agg(F.min("doc_id").alias("comment_id"))
     return docs.join(saved, ["source", "lang", "sel", "tool"]).select("doc_id", "tool", "comment_id")
+
+
+@query(f"WITH {CH} SELECT ch.doc_id, ch.idx // 60 AS batch, quality, toxic FROM ch JOIN labels USING (doc_id) WHERE ch.idx // 60 IN (SELECT idx // 60 FROM ch c2 JOIN labels l2 USING (doc_id) WHERE c2.source = ch.source AND l2.toxic = 1)")
+def label_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of the batches of 60 chapters that were asked for: those that hold a toxic chapter."""
+    ch = _chapters(spark, d).select("doc_id", "source", F.floor(F.col("idx") / 60).alias("batch"))
+    told = ch.join(table(spark, d, "labels"), "doc_id")
+    asked = told.where("toxic = 1").select("source", "batch")
+    return told.join(asked, ["source", "batch"], "left_semi").select("doc_id", "batch", "quality", "toxic")
+
+
+@query(f"""WITH {LABELLED} SELECT source, CAST(sum(blocks) AS BIGINT) AS total_blocks, CAST(sum(CASE WHEN counted THEN blocks ELSE 0 END) AS BIGINT) AS body_blocks, string_agg(doc_id || ':' || blocks || CASE WHEN counted THEN '' ELSE '!' END, ' ' ORDER BY idx) AS chapters FROM final GROUP BY source""")
+def progress_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of a book: its chapters in order with their blocks and whether they count, and the totals."""
+    rows = _labelled(spark, d).select("source", "idx", "blocks", "counted", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("blocks").cast("string"), F.when(F.col("counted"), "").otherwise("!")).alias("chapter"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", "chapter"))), lambda c: c["chapter"])
+    return rows.groupBy("source").agg(F.sum("blocks").alias("total_blocks"), F.sum(F.when(F.col("counted"), F.col("blocks")).otherwise(0)).alias("body_blocks"), F.array_join(ordered, " ").alias("chapters"))
+
+
+@query("""WITH p AS (SELECT doc_id AS id, source, lang, n_chars FROM documents), m AS (SELECT doc_id AS id FROM labels WHERE quality = 1)
+SELECT id, source, lang, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, id DESC) AS INTEGER) AS place FROM p WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT id, 'memory', NULL, 0 FROM m""")
+def pending_not_in_memory(spark: SparkSession, d: str) -> DataFrame:
+    """What was loaded as pending, newest first, without what memory holds already; then memory itself."""
+    memory = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    loaded = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "n_chars").join(memory, "id", "left_anti")
+    place = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), F.desc("id")))
+    return loaded.select("id", "source", "lang", place.alias("place")).unionByName(memory.select("id", F.lit("memory").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(0).alias("place")))
