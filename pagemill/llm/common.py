@@ -111,21 +111,27 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
+_ABSENT = object()
+
+
 class Bounded(dict):
-    """A cache of make(key) by key that is emptied when its keys and values take about
-    `most` bytes, `each` bytes a pair for the dict itself. A task makes its own, so that
-    a worker holds nothing when the task ends; results never depend on it."""
+    """A cache of make(key) by key. When what was asked for lately takes about half of `most`
+    bytes (`each` bytes a pair for the dict itself), it becomes the older half, whose
+    entries go unless they are asked for again. Results never depend on it."""
 
     def __init__(self, make: Callable, most: int, each: int = 200):
-        self.make, self.most, self.each, self.held = make, most, each, 0
+        self.make, self.most, self.each, self.held, self.older = make, most, each, 0, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        size = self.each + sum(map(len, key if isinstance(key, tuple) else (key,))) + (len(value) if isinstance(value, (bytes, str)) else 0)
-        if self.held + size > self.most:
+        value = self.older.get(key, _ABSENT)
+        if value is _ABSENT:
+            value = self.make(key)
+        size = self.each + (len(key[0]) + len(key[1]) if type(key) is tuple else len(key)) + (len(value) if type(value) is bytes else 0)
+        if 2 * size > self.most:
+            return value
+        if 2 * (self.held + size) > self.most:
+            self.older, self.held = dict(self), 0
             self.clear()
-            self.held = 0
         self.held += size
-        if size <= self.most:
-            self[key] = value
+        self[key] = value
         return value

@@ -7,7 +7,7 @@ kept if it is compatible with the piece before it, and a bitfield remembers
 the positions from which no continuation exists.
 
 Facts of the vocabulary, found or checked when a model is loaded, cut a text
-into chunks that are encoded on their own (and cached for a task, since words recur): no
+into chunks that are encoded on their own (and cached, since words recur): no
 piece continues over a space mark that follows another character, none holds a
 control character such as a line end, and some signs never join a letter before them.
 """
@@ -29,8 +29,9 @@ SPACE = "▁"
 #: A text is cut between a letter and a sign if no piece holds such a pair.
 LETTER, SIGNS = "[A-Za-z\u00c0-\u024f]", ",.;:!?|#$%&*()"
 NOT_MERGED = (float("-inf"), -1)
-#: Bytes that a task's cache of encoded chunks and its cache of pairs may take; results don't depend on them.
-CHUNK_BYTES, PAIR_BYTES = 48 << 20, 32 << 20
+#: Bytes that a worker's cache of encoded chunks and its cache of pairs may take; results don't depend on them.
+#: They outlive a task, as the model does: words recur, and without them encoding takes twice the time.
+CHUNK_BYTES, PAIR_BYTES = 128 << 20, 48 << 20
 #: Positions of a chunk whose matches are held at once, and how many such blocks.
 BLOCK, BLOCKS_HELD = 4096, 8
 #: Output batches are handed on at about this many bytes.
@@ -73,7 +74,8 @@ class BpeModel:
                 self.trie.add_word(piece, (len(piece), i, piece))
         self.trie.make_automaton()
         self.longest = max(map(len, self.score), default=1)
-        self.forget()
+        self.chunks = Bounded(lambda chunk: array("I", self._backtrack(chunk)).tobytes(), CHUNK_BYTES, each=170)
+        self.pairs = Bounded(self.compatible, PAIR_BYTES, each=160)
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece continues over a space mark")
         alone = "".join(re.escape(chr(c)) for c in range(32) if not any(chr(c) in p for p in self.score))
@@ -84,11 +86,6 @@ class BpeModel:
             if self.encode(probe) != sp.encode(probe) or self.decode(sp.encode(probe)) != sp.decode(sp.encode(probe)):
                 raise ValueError("not a merge-type model with plain normalisation and a leading space")
 
-    def forget(self) -> None:
-        """Empties the caches."""
-        self.chunks = Bounded(lambda chunk: array("I", self._backtrack(chunk)).tobytes(), CHUNK_BYTES)
-        self.pairs = Bounded(self.compatible, PAIR_BYTES, each=300)
-
     # -- encoding ---------------------------------------------------------
 
     def remerge(self, symbols: list[str]) -> list[str]:
@@ -110,32 +107,21 @@ class BpeModel:
         left, right = pair
         return self.remerge([*left, *right]) == ([left, right] if left else [right])
 
-    def _matches(self, chunk: str):
-        """A function that gives the pieces that match at a position, by growing length.
-        Blocks of a long chunk are matched when they are first asked for."""
-        blocks: dict[int, list[list[tuple[int, int, str]]]] = {}
-
-        def at(position: int) -> list[tuple[int, int, str]]:
-            block, offset = divmod(position, BLOCK)
-            if block not in blocks:
-                if len(blocks) >= BLOCKS_HELD:
-                    blocks.clear()
-                low = block * BLOCK
-                high = min(len(chunk), low + BLOCK)
-                found = blocks[block] = [[] for _ in range(high - low)]
-                for end, hit in self.trie.iter(chunk, low, min(len(chunk), high + self.longest - 1)):
-                    if (start := end - hit[0] + 1) < high:
-                        found[start - low].append(hit)
-            return blocks[block][offset]
-
-        return at
+    def _matches(self, chunk: str, low: int, high: int) -> list[list[tuple[int, int, str]]]:
+        """The pieces that begin at each position from low to high, by growing length."""
+        found: list[list[tuple[int, int, str]]] = [[] for _ in range(high - low)]
+        for end, hit in self.trie.iter(chunk, low, min(len(chunk), high + self.longest - 1)):
+            if (start := end - hit[0] + 1) < high:
+                found[start - low].append(hit)
+        return found
 
     def _backtrack(self, chunk: str) -> list[int]:
-        n, matches, pairs = len(chunk), self._matches(chunk), self.pairs
+        n, pairs = len(chunk), self.pairs
+        matches = self._matches(chunk, 0, n) if n <= BLOCK else _Blocks(self, chunk)
         failed = bytearray(n // 8 + 1)  # bit p: nothing that follows position p is compatible
         stack: list[tuple[int, int, int, str]] = []  # position, index into its matches, id, piece
         at, before = 0, ""
-        options = matches(0)
+        options = matches[0]
         choice = len(options) - 1
         while at < n:
             if not options:  # a character outside the vocabulary: its bytes, compatible with all
@@ -158,10 +144,10 @@ class BpeModel:
                         failed[at >> 3] |= 1 << (at & 7)
                         at, choice, _, _ = stack.pop()
                     choice -= 1
-                    options, before = matches(at), stack[-1][3] if stack else ""
+                    options, before = matches[at], stack[-1][3] if stack else ""
                     continue
             if at < n:
-                options = matches(at)
+                options = matches[at]
                 choice = len(options) - 1
         ids: list[int] = []
         for at, _, piece_id, _ in stack:
@@ -208,6 +194,22 @@ class BpeModel:
             return "".join(out)
 
 
+class _Blocks:
+    """The matches of a long chunk, made in blocks when they are first asked for."""
+
+    def __init__(self, model: BpeModel, chunk: str):
+        self.model, self.chunk, self.blocks = model, chunk, {}
+
+    def __getitem__(self, at: int) -> list[tuple[int, int, str]]:
+        block, offset = divmod(at, BLOCK)
+        if block not in self.blocks:
+            if len(self.blocks) >= BLOCKS_HELD:
+                self.blocks.clear()
+            low = block * BLOCK
+            self.blocks[block] = self.model._matches(self.chunk, low, min(len(self.chunk), low + BLOCK))
+        return self.blocks[block][offset]
+
+
 _loaded: dict[int, BpeModel] = {}
 
 
@@ -237,20 +239,17 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         model = _model(shipped)
         head = array("I", [model.bos] if begin else []).tobytes()
         tail = array("I", [model.eos] if end else []).tobytes()
-        try:
-            for batch in batches:
-                keys, texts = batch.column(0), batch.column(1)
-                start, size, ids, decoded = 0, 0, [], []
-                for i in range(batch.num_rows):
-                    packed = head + model.packed(texts[i].as_py().decode(errors="replace")) + tail
-                    ids.append(packed)
-                    decoded.append(model.decode(array("I", packed)))
-                    size += 2 * len(packed)
-                    if size >= BATCH_BYTES or i + 1 == batch.num_rows:
-                        yield pa.RecordBatch.from_arrays([keys.slice(start, i + 1 - start), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [id_col, "token_ids", "decoded"])
-                        start, size, ids, decoded = i + 1, 0, [], []
-        finally:
-            model.forget()
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            start, size, ids, decoded = 0, 0, [], []
+            for i in range(batch.num_rows):
+                packed = head + model.packed(texts[i].as_py().decode(errors="replace")) + tail
+                ids.append(packed)
+                decoded.append(model.decode(array("I", packed)))
+                size += 2 * len(packed)
+                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([keys.slice(start, i + 1 - start), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [id_col, "token_ids", "decoded"])
+                    start, size, ids, decoded = i + 1, 0, [], []
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), utf8(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, token_ids binary, decoded string")
