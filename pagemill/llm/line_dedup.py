@@ -25,6 +25,8 @@ from .common import utf8, written
 BLANKS = b" \t\n\x0b\x0c\r"
 BATCH_BYTES = 8 << 20
 LATER, HEAD, TAIL = 0, 1, 2
+#: Up to so many rows about partitions' last hashes (some MB) are broadcast.
+BROADCAST_TAILS = 100_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -126,9 +128,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "line-later",
         few=True,
     )
-    # As many TAIL rows as there were partitions, whatever the number of lines: small enough to broadcast.
+    # As many TAIL rows as there were partitions, whatever the number of lines: small enough to broadcast, which is checked.
     tails = told.where(F.col("kind") == TAIL).groupBy("h1", "h2").agg(F.min("id").alias("first"))
-    heads = told.where(F.col("kind") == HEAD).join(F.broadcast(tails), ["h1", "h2"]).where(F.col("first") < F.col("id"))
+    tails = F.broadcast(tails) if told.where(F.col("kind") == TAIL).count() <= BROADCAST_TAILS else tails
+    heads = told.where(F.col("kind") == HEAD).join(tails, ["h1", "h2"]).where(F.col("first") < F.col("id"))
     later = told.where(F.col("kind") == LATER).select("id", "version", "at").unionByName(heads.select("id", "version", "at"))
     dropped = later.groupBy("id", "version").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
     text = F.coalesce(F.col(text_col), F.lit(""))
