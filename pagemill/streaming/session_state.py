@@ -54,7 +54,8 @@ def _frame(rows) -> pd.DataFrame:
 
 def session_log(events: DataFrame, idle_ms: int) -> DataFrame:
     """Batch: every event of a session with its session id. A key's events go to one
-    task in batches, in order; only its state is held."""
+    task in batches, in order; only its state is held. Events without a user belong
+    to no session and are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, Session()
@@ -66,13 +67,15 @@ def session_log(events: DataFrame, idle_ms: int) -> DataFrame:
                 out += _rows(int(user), part, state, idle_ms)
             yield _frame(out)
 
-    rows = events.select("user_id", millis(F.col("ts")).alias("ms"), "event_id", "event_type")
+    rows = events.where("user_id is not null").select("user_id", millis(F.col("ts")).alias("ms"), "event_id", "event_type")
     return rows.repartition("user_id").sortWithinPartitions("user_id", "ms", "event_id").mapInPandas(run, OUT)
 
 
 def stream_sessions(events: DataFrame, idle_ms: int) -> DataFrame:
     """Streaming: the same log, with the state kept between micro-batches. Events are put
-    in order within a batch; between batches their order is that of arrival."""
+    in order within a batch; between batches their order is that of arrival. The state
+    of a user has no time limit, since session ids count on: it is a number of sessions
+    and the devices seen within `idle_ms` of the last event."""
 
     def step(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         count, last_ms, is_open, names, seen = held.get if held.exists else (0, 0, False, [], [])
@@ -82,5 +85,5 @@ def stream_sessions(events: DataFrame, idle_ms: int) -> DataFrame:
         held.update((state.count, state.last_ms, state.is_open, list(state.devices), list(state.devices.values())))
         yield out
 
-    rows = events.select("user_id", millis(F.col("ts")).alias("ms"), "event_id", "event_type")
+    rows = events.where("user_id is not null").select("user_id", millis(F.col("ts")).alias("ms"), "event_id", "event_type")
     return rows.groupBy("user_id").applyInPandasWithState(step, OUT, "count long, last_ms long, is_open boolean, names array<string>, seen array<long>", "append", "NoTimeout")
