@@ -28,16 +28,17 @@ SPLIT = 4
 PASSES = 8
 #: Segments that one task peels.
 TASK_SEGMENTS = 8000
-#: A line of more code points than this is cut after sentence signs, and what is still longer between words that end and begin so.
-LONG = 80
-SENTENCE_CUT, WORD_CUT = "(?<=[.!?;:]) ", "(?<=[aeos$%&]) (?=[dlmtv])"
+#: A line of more than the first number of code points is cut before sentences that begin so, and what is still
+#: longer than the second between words that end and begin so.
+LONG, ENDLESS = 80, 600
+SENTENCE_CUT, WORD_CUT = "(?<=[.!?;:]) (?=[A-D])", "(?<=[es$%&]) (?=d)"
 
 
 def paragraphs(text: Column) -> Column:
     """The lines of a text, long ones cut at content-defined places."""
-    cut = lambda part, pattern: F.when(F.length(part) > LONG, F.split(part, pattern)).otherwise(F.array(part))
-    sentences = F.flatten(F.transform(F.split(text, "\n"), lambda line: cut(line, SENTENCE_CUT)))
-    return F.flatten(F.transform(sentences, lambda sentence: cut(sentence, WORD_CUT)))
+    cut = lambda part, most, pattern: F.when(F.length(part) > most, F.split(part, pattern)).otherwise(F.array(part))
+    sentences = F.flatten(F.transform(F.split(text, "\n"), lambda line: cut(line, LONG, SENTENCE_CUT)))
+    return F.flatten(F.transform(sentences, lambda sentence: cut(sentence, ENDLESS, WORD_CUT)))
 
 
 def paragraph_digests(text: Column) -> Column:
