@@ -84,7 +84,12 @@ def reader_status(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("item_id"), status.alias("status"), F.coalesce("asked", "first").alias("chapter"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(array_to_string(regexp_extract_all(html, '(?is)<style[^>]*>([^<]*)</style>', 1), chr(10)), '(?s)/\*.*?\*/', '', 'g') AS css FROM pages),
+r AS (SELECT page_id, unnest(regexp_extract_all(css, '([^{}]+)\{([^{}]*)\}', 1)) AS heads, unnest(regexp_extract_all(css, '([^{}]+)\{([^{}]*)\}', 2)) AS body, generate_subscripts(regexp_extract_all(css, '([^{}]+)\{([^{}]*)\}', 1), 1) AS a FROM c),
+h AS (SELECT page_id, a, body, trim(unnest(string_split(heads, ','))) AS head, generate_subscripts(string_split(heads, ','), 1) AS b FROM r),
+x AS (SELECT page_id, a, b, head, unnest(string_split(body, ';')) AS said, generate_subscripts(string_split(body, ';'), 1) AS c FROM h WHERE regexp_matches(head, '^([a-z][a-z0-9]*|\.[A-Za-z_][\w-]*|[a-z][a-z0-9]*\.[A-Za-z_][\w-]*)$')),
+p AS (SELECT page_id, a, b, c, head, lower(trim(split_part(said, ':', 1))) AS name, regexp_replace(trim(substr(said, strpos(said, ':') + 1)), '(?i)\s*!important\s*$', '') AS value FROM x WHERE contains(said, ':'))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY a, b, c) AS INTEGER) AS n, head AS selector, name AS property, value FROM p WHERE name <> '' AND value <> ''""")
 def page_style_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules of the style sheets that pages carry."""
     sheets = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<style[^>]*>([^<]*)</style>"), F.lit(1)), "\n")
