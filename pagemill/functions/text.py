@@ -153,6 +153,12 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.btrim(p, F.lit(" \n\t"))), lambda p: p != "")
 
 
+def selection_context(text: Column, start: Column, end: Column, most: int = 30) -> Column:
+    """struct(before, after): up to `most` characters around a range, from 0, `end` not in it."""
+    from_ = F.greatest(F.lit(0), start - most)
+    return F.struct(F.substring(text, from_ + 1, start - from_).alias("before"), F.substring(text, end + 1, F.lit(most)).alias("after"))
+
+
 def format_authors(authors: Column) -> Column:
     return F.when(F.size(authors) > 0, F.array_join(authors, ", ")).otherwise("Unknown author")
 

@@ -194,3 +194,26 @@ def cutoffs(spark: SparkSession, d: str) -> DataFrame:
     """Who still takes part (90 s), what is stale (10 min) and what may be swept (1 h)."""
     last = table(spark, d, "events").groupBy("user_id").agg(F.max(millis(F.col("ts"))).alias("ms"))
     return last.select("user_id", (F.col("ms") >= NOW_MS - 90_000).alias("participant"), (F.col("ms") < NOW_MS - 600_000).alias("stale"), (F.col("ms") < NOW_MS - 3_600_000).alias("orphan"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id, event_type) AS total FROM events)
+SELECT event_id, CASE WHEN n = 1 THEN 'open' ELSE 'closed' END AS status, CASE WHEN n = 1 THEN total ELSE CAST(floor(value) AS BIGINT) END AS seconds FROM r""")
+def close_superseded(spark: SparkSession, d: str) -> DataFrame:
+    """An update from a ranking and from totals: of a key's sessions the newest stays open and takes over all seconds."""
+    from pyspark.sql import Window as W
+
+    key = W.partitionBy("user_id", "event_type")
+    own = F.floor("value").cast("long")
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", own.alias("own"))
+    rows = rows.select("event_id", "own", (F.row_number().over(key.orderBy(F.desc("ts"), F.desc("event_id"))) == 1).alias("newest"), F.sum("own").over(key).alias("total"))
+    return rows.select("event_id", F.when(F.col("newest"), "open").otherwise("closed").alias("status"), F.when(F.col("newest"), F.col("total")).otherwise(F.col("own")).alias("seconds"))
+
+
+@query("""WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS locator, max(event_id) AS at FROM events GROUP BY 1), s AS (SELECT user_id, arg_max(event_type, event_id) AS locator FROM events WHERE event_type <> 'error' GROUP BY 1)
+SELECT l.user_id, l.locator, l.locator IS DISTINCT FROM s.locator AS dirty FROM l LEFT JOIN s ON l.user_id = s.user_id""")
+def dirty_clear(spark: SparkSession, d: str) -> DataFrame:
+    """A place that the server has acknowledged is clean only if it is still the local one."""
+    e = table(spark, d, "events")
+    sent = F.col("event_type") != "error"
+    rows = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("locator"), F.max_by(F.when(sent, F.col("event_type")), F.when(sent, F.col("event_id"))).alias("acknowledged"))
+    return rows.select("user_id", "locator", (~F.col("locator").eqNullSafe(F.col("acknowledged"))).alias("dirty"))

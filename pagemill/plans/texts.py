@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import counts_as_reading, half_up, pages, percent, reading_hours
-from pagemill.functions.text import FILE_TITLE, MACHINE_TITLE, NUMBER_TITLE, collapse, contains_ci, digit_percent, normalise_selection, normalise_title, paragraphs, said_title, sample_text, source_hash, words
+from pagemill.functions.text import FILE_TITLE, MACHINE_TITLE, NUMBER_TITLE, collapse, contains_ci, digit_percent, normalise_selection, normalise_title, paragraphs, said_title, sample_text, selection_context, source_hash, words
 from pagemill.operators.relational import counts_of_domain
 from pagemill.sources.tables import table
 
@@ -219,11 +219,11 @@ def offset_locate(spark: SparkSession, d: str) -> DataFrame:
     return at.select("doc_id", here(F.col("at.segment")).alias("segment"), here(F.col("off") - F.col("at.start")).alias("in_segment"))
 
 
-@query(f"""WITH {CH} SELECT a.doc_id, count(*) AS cached, min(b.idx) AS lo, max(b.idx) AS hi FROM ch a JOIN ch b ON a.source = b.source AND b.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY a.doc_id""")
+@query(f"""WITH {CH} SELECT a.doc_id, count(*) AS cached, min(b.idx) AS lo, max(b.idx) AS hi, string_agg('Chapter ' || (b.idx + 1), ', ' ORDER BY b.idx) AS labels FROM ch a JOIN ch b ON a.source = b.source AND b.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY a.doc_id""")
 def reader_window(spark: SparkSession, d: str) -> DataFrame:
     """The chapter and its neighbours, fewer at the ends."""
     w = W.partitionBy("source").orderBy("doc_id").rowsBetween(-1, 1)
-    return _chapters(spark, d).select("doc_id", F.count("*").over(w).alias("cached"), F.min("idx").over(w).cast("long").alias("lo"), F.max("idx").over(w).cast("long").alias("hi"))
+    return _chapters(spark, d).select("doc_id", F.count("*").over(w).alias("cached"), F.min("idx").over(w).cast("long").alias("lo"), F.max("idx").over(w).cast("long").alias("hi"), F.array_join(F.collect_list(F.concat(F.lit("Chapter "), (F.col("idx") + 1).cast("string"))).over(w), ", ").alias("labels"))
 
 
 @query(rf"""SELECT doc_id, len(list_filter(string_split_regex(text, '\n\s*\n'), lambda p: trim(p, ' ' || chr(10) || chr(9)) <> '')) AS paragraphs, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 30) AS before, right(trim(regexp_replace(text, '\s+', ' ', 'g')), 30) AS after FROM documents""")
@@ -266,3 +266,13 @@ def pending_not_in_memory(spark: SparkSession, d: str) -> DataFrame:
     loaded = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "n_chars").join(memory, "id", "left_anti")
     place = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), F.desc("id")))
     return loaded.select("id", "source", "lang", place.alias("place")).unionByName(memory.select("id", F.lit("memory").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(0).alias("place")))
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), r AS (SELECT doc_id, t, length(t) // 3 AS a, least(length(t), length(t) // 3 + doc_id % 50) AS b FROM t)
+SELECT doc_id, substr(t, greatest(0, a - 30) + 1, a - greatest(0, a - 30)) AS before, substr(t, b + 1, 30) AS after FROM r""")
+def selection_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """What stands before and after a selected range."""
+    rows = table(spark, d, "documents").select("doc_id", collapse(F.col("text")).alias("t"))
+    a = F.floor(F.length("t") / 3).cast("int")
+    rows = rows.select("doc_id", selection_context(F.col("t"), a, F.least(F.length("t"), (a + F.col("doc_id") % 50).cast("int"))).alias("c"))
+    return rows.select("doc_id", "c.before", "c.after")
