@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import scratch, utf8, written
 
 #: White space that is stripped from both ends of a line: U+0020 and U+0009 to U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -121,13 +121,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all lines and have no bitmap. Other columns are not read.
     """
     keys = ["h1", "h2", "id", "at"]
-    hashed = written(_hash_lines(docs, id_col, text_col, min_chars), "line-hashes")
     kind = docs.schema[id_col].dataType.simpleString()
-    told = written(
-        hashed.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_later_occurrences, f"kind int, h1 long, h2 long, id {kind}, at long, version long"),
-        "line-later",
-        few=True,
-    )
+    with scratch(docs.sparkSession) as keep:
+        hashed = written(_hash_lines(docs, id_col, text_col, min_chars), "line-hashes")
+        told = hashed.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_later_occurrences, f"kind int, h1 long, h2 long, id {kind}, at long, version long")
+        told = written(told, "line-later", few=True)
+        keep(told)
     # As many TAIL rows as there were partitions, whatever the number of lines: small enough to broadcast, which is checked.
     tails = told.where(F.col("kind") == TAIL).groupBy("h1", "h2").agg(F.min("id").alias("first"))
     tails = F.broadcast(tails) if told.where(F.col("kind") == TAIL).count() <= BROADCAST_TAILS else tails

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 PREFIX = r"^[> \t]*"
 
@@ -39,8 +39,8 @@ def parse_quotes(messages: DataFrame, conv_col: str, turn_col: str, text_col: st
     return rows.select("conv", "turn", "row", "lines", F.zip_with("starts", "ends", run).alias("runs"))
 
 
-def _positions(rows: DataFrame) -> DataFrame:
-    """Numbers the rows of each conversation from 0 by (thread, turn). The rows are
+def _positions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with their positions, and the written table these are read from. Numbers the rows of each conversation from 0 by (thread, turn). The rows are
     range-partitioned, so that a conversation of any size is numbered by many
     tasks; each adds the rows that partitions before it hold."""
     keys = ["conv", "thread_turn", "turn"]
@@ -50,7 +50,7 @@ def _positions(rows: DataFrame) -> DataFrame:
     before = W.partitionBy("conv").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(F.col("conv").alias("conv2"), F.col("part").alias("part2"), "lo", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("shift"))
     numbered = placed.join(parts, F.col("conv").eqNullSafe(F.col("conv2")) & (F.col("part") == F.col("part2")))
-    return numbered.withColumn("position", F.col("seq") - F.col("lo") + F.col("shift")).drop("conv2", "part2", "lo", "shift", "seq", "part")
+    return numbered.withColumn("position", F.col("seq") - F.col("lo") + F.col("shift")).drop("conv2", "part2", "lo", "shift", "seq", "part"), placed
 
 
 def _threads(parents: DataFrame) -> DataFrame:
@@ -84,18 +84,21 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     Rows with a null conversation or turn link to nothing; the null conversation
     is one conversation, and null turns come first. Null and empty texts quote nothing.
     """
-    parsed = parse_quotes(messages, conv_col, turn_col, text_col)
-    units = parsed.select("conv", "turn", F.explode(F.concat("runs", "lines")).alias("u")).select("conv", "turn", "u.level", normalised(F.col("u.text")).alias("t"))
-    units = units.where(F.length("t") >= min_chars).select("conv", "turn", "level", F.md5(F.col("t").cast("binary")).alias("key"), F.length("t").alias("size"))
-    quoted = written(units.where("level > 0").distinct(), "quoted")
-    # Only what somebody quotes can be an original; an equal unit is looked for once a conversation.
-    said = units.where("level = 0").join(quoted.select("conv", "key").distinct(), ["conv", "key"], "left_semi")
-    originals = said.groupBy("conv", "key").agg(F.min("turn").alias("original"))
-    links = quoted.join(originals, ["conv", "key"]).where("original < turn")
-    best = F.max(F.struct((-F.col("level")).alias("near"), "size", "original"))
-    parents = written(links.groupBy("conv", "turn").agg(best.getField("original").alias("parent_turn"), F.count_distinct("original").alias("n_linked")), "parents")
-    threads = parents.join(_threads(parents), ["conv", "turn"])
-    own = F.btrim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["text"]), "\n"), F.lit(" \t\n\r"))
-    rows = parsed.select("conv", "turn", "row", own.alias("own_text"), F.size(F.filter("runs", lambda r: r["level"] > 0)).cast("long").alias("n_quoted"))
-    rows = rows.join(threads, ["conv", "turn"], "left").withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)), "thread_turn": F.coalesce("root", "turn"), "depth": F.coalesce("depth", F.lit(0))})
-    return _positions(rows.drop("root")).select("row", "own_text", "n_quoted", "n_linked", "parent_turn", "thread_turn", "depth", "position")
+    with scratch(messages.sparkSession) as keep:
+        parsed = parse_quotes(messages, conv_col, turn_col, text_col)
+        units = parsed.select("conv", "turn", F.explode(F.concat("runs", "lines")).alias("u")).select("conv", "turn", "u.level", normalised(F.col("u.text")).alias("t"))
+        units = units.where(F.length("t") >= min_chars).select("conv", "turn", "level", F.md5(F.col("t").cast("binary")).alias("key"), F.length("t").alias("size"))
+        quoted = written(units.where("level > 0").distinct(), "quoted")
+        # Only what somebody quotes can be an original; an equal unit is looked for once a conversation.
+        said = units.where("level = 0").join(quoted.select("conv", "key").distinct(), ["conv", "key"], "left_semi")
+        originals = said.groupBy("conv", "key").agg(F.min("turn").alias("original"))
+        links = quoted.join(originals, ["conv", "key"]).where("original < turn")
+        best = F.max(F.struct((-F.col("level")).alias("near"), "size", "original"))
+        parents = written(links.groupBy("conv", "turn").agg(best.getField("original").alias("parent_turn"), F.count_distinct("original").alias("n_linked")), "parents")
+        threads = parents.join(_threads(parents), ["conv", "turn"])
+        own = F.btrim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["text"]), "\n"), F.lit(" \t\n\r"))
+        rows = parsed.select("conv", "turn", "row", own.alias("own_text"), F.size(F.filter("runs", lambda r: r["level"] > 0)).cast("long").alias("n_quoted"))
+        rows = rows.join(threads, ["conv", "turn"], "left").withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)), "thread_turn": F.coalesce("root", "turn"), "depth": F.coalesce("depth", F.lit(0))})
+        numbered, placed = _positions(rows.drop("root"))
+        keep(placed)
+    return numbered.select("row", "own_text", "n_quoted", "n_linked", "parent_turn", "thread_turn", "depth", "position")
