@@ -99,9 +99,10 @@ def is_empty(cells: Column) -> Column:
 
 
 def as_text(digests: Column, cells: Column) -> Column:
-    """The number of digests and the cells, 19 bytes each, in Base64: equal texts, equal fingerprints."""
+    """The number of digests and the cells in Base64, 15 bytes each (32 bits of a checksum are
+    enough to tell a digest that stands alone): equal texts, equal fingerprints."""
     padded = lambda v, n: F.lpad(F.hex(v), n, "0")
-    one = lambda c: F.concat(padded(F.pmod(c["n"], F.lit(1 << 24)), 6), padded(c["x"], 16), padded(c["c"], 16))
+    one = lambda c: F.concat(padded(F.pmod(c["n"], F.lit(1 << 24)), 6), padded(c["x"], 16), padded(c["c"].bitwiseAND(F.lit(0xFFFFFFFF)), 8))
     return F.concat(F.size(digests).cast("string"), F.lit("/"), F.base64(F.unhex(F.array_join(F.transform(cells, one), ""))))
 
 
