@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .fill_in_middle import fill_in_middle, restored
 from .fingerprints import fingerprints
 from .licenses import APART, PHRASES, SHARE, STRETCH, TEMPLATES, license_scan
 from .line_dedup import drop_repeated_lines
@@ -17,6 +18,7 @@ from .quality import quality_scores
 from .quotes import link_quotes
 from .sentencepiece_bpe import encode_decode
 from .top_k import exact_top_k
+from .vector_codes import vector_codes
 from .warc import archive_pages, read_archives
 
 
@@ -236,6 +238,60 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each usable vector, repeated ids included."""
+    out = vector_codes(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op12_sql() -> str:
+    near = lambda k: f"""near{k} AS MATERIALIZED (
+    SELECT vec_id, p, x, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y) AS BIGINT) * 256 + e) AS m FROM parts JOIN book{k} USING (p) GROUP BY ALL
+)"""
+    steps = [
+        """kept AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        "parts AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p))",
+        "book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM parts QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 256)",
+    ]
+    for k in range(4):
+        steps.append(near(k))
+        steps.append(f"sums{k} AS (SELECT p, m % 256 AS e, pos, floor(sum(c) / count(*)) AS c FROM (SELECT p, m, unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM near{k}) GROUP BY ALL)")
+        steps.append(f"new{k} AS (SELECT p, e, list(c ORDER BY pos) AS z FROM sums{k} GROUP BY ALL)")
+        steps.append(f"book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(z, y) AS y FROM book{k} LEFT JOIN new{k} USING (p, e))")
+    steps.append(near(4))
+    steps.append("coded AS (SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM near4 GROUP BY vec_id)")
+    steps.append("told AS (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda c: CAST(c AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book4)")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), told"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, repeated and null ids included."""
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+    SELECT *, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substring(h, i, 8) AS BIGINT)) AS g FROM d
+), placed AS (
+    SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 90 THEN 'plain' WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), cut AS (
+    SELECT *, left(t, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -248,6 +304,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_top_k": op10_top_k,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -259,4 +317,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_licenses": _op6_sql(),
         "op9_mixing": _op9_sql(),
         "op10_top_k": OP10_SQL,
+        "op12_vector_codes": _op12_sql(),
+        "op13_fill_in_middle": OP13_SQL,
     }
