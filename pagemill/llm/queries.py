@@ -14,6 +14,7 @@ from .licenses import APART, PHRASES, SHARE, STRETCH, TEMPLATES, license_scan
 from .line_dedup import drop_repeated_lines
 from .mixing import mix, text_topic, word_count
 from .near_dups import near_duplicates
+from .neighbour_graph import nearest_neighbours
 from .quality import quality_scores
 from .quotes import link_quotes
 from .sentencepiece_bpe import encode_decode
@@ -238,6 +239,11 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 20 rows a query. Approximate: tests hold its recall against full scans."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each usable vector, repeated ids included."""
     out = vector_codes(table(spark, sf_dir, "embeddings"))
@@ -304,6 +310,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_top_k": op10_top_k,
+        "op11_neighbours": op11_neighbours,
         "op12_vector_codes": op12_vector_codes,
         "op13_fill_in_middle": op13_fill_in_middle,
     }

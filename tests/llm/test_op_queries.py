@@ -10,6 +10,7 @@ from pagemill.llm.common import scratch, written
 
 from conftest import CLASHES
 from odd_texts import ODD
+from test_vector_codes import brute as full_scans
 
 TABLES = {
     "documents": ("doc_id long, text string, lang string, source string, n_chars long", [*[(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(ODD)], (None, "null id", None, None, 7), (None, None, "de", "s0", 0), (3, "again", "en", "s0", 5), (3, "again", "en", "s0", 5)]),
@@ -18,7 +19,13 @@ TABLES = {
     "conversations": ("conv_id long, turn long, role string, text string", [(1, 0, "user", "what is said first here"), (1, 1, "assistant", "> what is said first here\nno"), (1, 1, "assistant", "> what is said first here\nno"), (1, None, None, None), (None, 0, "user", "> what is said first here"), (2, 0, "user", "long " * 50_000)]),
     "embeddings": ("vec_id long, embedding array<float>, label int", [(0, [1.0, 0.5], 1), (50, [0.5, 0.5], 1), (50, [0.1, 0.1], 1), (51, None, 0), (52, [1.0, None], 0), (53, [float("nan"), 1.0], 0), (None, [1.0, 1.0], 0), (100, [], 0), (2, [1.0], 0), (3, [1.0, 0.5], 0)]),
 }
-ROWS = {"op1_warc": "pages", "op4_quotes": "conversations", "op10_top_k": None}
+ROWS = {"op1_warc": "pages", "op4_quotes": "conversations", "op10_top_k": None, "op11_neighbours": None, "op12_vector_codes": None}
+#: What queries over vectors give, without their scores.
+VECTORS = {
+    "op10_top_k": [(0, 1, 3), (0, 2, 50), (0, 3, 50), (50, 1, 0), (50, 2, 3)],
+    "op11_neighbours": [(0, 1, 3), (0, 2, 50), (0, 3, 50)],
+    "op12_vector_codes": [(i, code) for i, code, *_ in full_scans(TABLES["embeddings"][1])],
+}
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +48,8 @@ def test_odd_and_empty_tables(spark, folders, name):
         want = len(TABLES[source][1]) - (2 if name == "op3_near_dups" else 0)  # of the three rows with id 3, op3 gives one
         assert len(got) == want
     else:
-        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 3), (0, 2, 50), (0, 3, 50), (50, 1, 0), (50, 2, 3)]
+        told = [(r.vec_id, r.code) if name == "op12_vector_codes" else (r.query_id, r["rank"], r.vec_id) for r in got]
+        assert sorted(told, key=repr) == sorted(VECTORS[name], key=repr)
     assert q.queries()[name](spark, folders["empty"]).collect() == []
 
 
