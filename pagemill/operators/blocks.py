@@ -19,8 +19,10 @@ from pagemill.functions.styles import alignment, declared, indent
 CONTAINERS = ["article", "body", "div", "main", "section"]
 INLINE = ["a", "b", "br", "cite", "code", "em", "i", "small", "span", "strong", "sub", "sup"]
 HEADINGS = [f"h{n}" for n in range(1, 7)]
-#: Pictures at least this wide stand between paragraphs, not in them.
+#: Fixed value: pictures at least this wide stand between paragraphs, not in them.
 WIDE = 200
+#: Where a picture's own width is noted, once its header is known.
+NATURAL_WIDTH = "natural-width"
 
 
 def _let(value: Column, body) -> Column:
@@ -88,7 +90,7 @@ def _inlines(leaves: Column, after: Column) -> Column:
         text = F.when(x["tag"] == "br", "\n").when(x["tag"] == "#text", F.regexp_replace(x["text"], r"\s+", " "))
         return F.struct(
             F.when(x["tag"] == "img", "image").otherwise("text").alias("kind"), has("b", "strong").alias("bold"), has("em", "i").alias("italic"), href.alias("href"), F.try_element_at(weights, F.lit(-1)).alias("weight"),
-            F.coalesce(text, _attribute(x, "alt"), F.lit("")).alias("text"), F.when(x["tag"] == "img", _attribute(x, "src")).alias("src"), _attribute(x, "width").try_cast("int").alias("width"),
+            F.coalesce(text, _attribute(x, "alt"), F.lit("")).alias("text"), F.when(x["tag"] == "img", _attribute(x, "src")).alias("src"), _attribute(x, NATURAL_WIDTH, "width").try_cast("int").alias("width"),
         )
 
     def runs(pieces: Column) -> Column:
@@ -133,6 +135,14 @@ def _as_blocks(b: Column) -> Column:
     return F.when(b["kind"].isin("list", "image"), single).when(only, F.transform(_pictures(b["inlines"]), lambda p: picture(p, b["anchor"]))).when(F.exists(b["inlines"], wide), _let(places, parts)).otherwise(single)
 
 
+def with_natural_widths(trees: DataFrame, widths: str) -> DataFrame:
+    """The trees with the widths of pictures, a map by their address, noted at their elements."""
+    width = lambda x: F.try_element_at(F.col(widths), F.try_element_at(x["attrs"], F.lit("src")))
+    noted = lambda x: F.map_concat(F.map_filter(x["attrs"], lambda k, _: k != NATURAL_WIDTH), F.create_map(F.lit(NATURAL_WIDTH), width(x).cast("string")))
+    nodes = F.transform("nodes", lambda x: F.when((x["tag"] == "img") & width(x).isNotNull(), x.withField("attrs", noted(x))).otherwise(x))
+    return trees.withColumn("nodes", F.when(F.size(F.coalesce(F.col(widths), F.create_map().cast("map<string,int>"))) > 0, nodes).otherwise(F.col("nodes"))).drop(widths)
+
+
 def page_blocks(trees: DataFrame, key: str) -> DataFrame:
     """Trees (key, nodes) to (key, blocks): an array of structs with n (from 1), id, kind, level,
     ordered, anchor, text, inlines, items, src, align, font, weight and indent.

@@ -1,152 +1,58 @@
-"""E-book files to documents, chapters and tables of contents.
+"""Books from the documents of e-book archives: contents, chapters and blocks.
 
-Archives are read by Spark's binary source and opened one at a time inside
-`mapInArrow`, which gives the documents in reading order and the navigation
-document as they are. What they hold is parsed by the operators for element
-trees. Broken files give one row with a status and no documents.
+The archives are read by the data source in `archives`; what they hold is parsed by the
+operators for element trees.
 """
 
 from __future__ import annotations
 
-import io
-import posixpath
-import struct
-import zipfile
-from collections.abc import Iterator
-from urllib.parse import unquote
-from xml.etree import ElementTree
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import href_anchor, href_path
-from pagemill.operators.blocks import block_rows, page_blocks
+from pagemill.operators.blocks import block_rows, page_blocks, with_natural_widths
 from pagemill.operators.toc import anchors_by_path, label_at, toc_entries
 
-from .trees import element_trees, tidy
-
-SCHEMA = "book string, status string, title string, authors array<string>, language string, role string, position int, href string, markup string"
-#: Endings of documents that can be read.
-READABLE = (".xhtml", ".html", ".htm", ".xml")
-
-
-def local(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
-def children(node, name: str):
-    return [x for x in node.iter() if local(x.tag) == name]
-
-
-def resolve(base_file: str, relative: str) -> str:
-    """A path relative to the folder of a file in the archive."""
-    return posixpath.normpath(posixpath.join(posixpath.dirname(base_file), unquote(relative.partition("#")[0]))).lstrip("/")
-
-
-def _read(archive: zipfile.ZipFile, path: str) -> str:
-    return archive.read(path).decode("utf-8", "replace")
-
-
-def archive_documents(data: bytes) -> tuple[dict, list[tuple[str, str, str]]]:
-    """Metadata, and (role, path, markup) of the navigation and of all documents. Reading
-    order: the spine, else what the navigation names, else the manifest, else all readable files."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        names = set(archive.namelist())
-        container = ElementTree.fromstring(_read(archive, "META-INF/container.xml"))
-        package_path = children(container, "rootfile")[0].get("full-path")
-        package = ElementTree.fromstring(_read(archive, package_path))
-        items = [{"id": x.get("id"), "path": resolve(package_path, x.get("href", "")), "type": x.get("media-type", ""), "properties": x.get("properties", "").split()} for x in children(package, "item")]
-        manifest = {x["id"]: x for x in items}  # of items that repeat an id the last one counts
-        creators = [(next((v for k, v in x.attrib.items() if local(k) == "role"), None), tidy("".join(x.itertext()))) for x in children(package, "creator")]
-        authors = [name for role, name in creators if role == "aut"] or [name for _, name in creators]
-        first = lambda name: next((tidy("".join(x.itertext())) for x in children(package, name)), None)
-        meta = {"title": first("title"), "authors": list(dict.fromkeys(a for a in authors if a)), "language": first("language")}
-        navigation = next((x for x in items if "nav" in x["properties"]), None) or next((x for x in items if x["type"] == "application/x-dtbncx+xml"), None)
-        found = []
-        named: list[str] = []
-        if navigation and navigation["path"] in names:
-            markup = _read(archive, navigation["path"])
-            found.append(("contents", navigation["path"], markup))
-            addresses = [x.get("href") or x.get("src") for x in ElementTree.fromstring(markup).iter() if local(x.tag) in ("a", "content")]
-            named = [resolve(navigation["path"], h) for h in addresses if h]
-        pages = lambda x: "html" in x["type"] and "nav" not in x["properties"]
-        spine = [manifest[x.get("idref")]["path"] for x in children(package, "itemref") if x.get("idref") in manifest and pages(manifest[x.get("idref")])]
-        scanned = sorted(n for n in names if n.lower().endswith(READABLE) and not n.startswith("META-INF/") and n != package_path)
-        for order in (spine, named, [x["path"] for x in items if pages(x)], scanned):
-            if order := [p for p in dict.fromkeys(order) if p in names]:
-                break
-        for path in order:
-            markup = _read(archive, path)
-            sheets = [resolve(path, x.get("href", "")) for x in _links(markup)]
-            found.append(("chapter", path, "".join(f"<style>{_read(archive, s)}</style>" for s in sheets if s in names) + markup))
-    return meta, found
-
-
-def _links(markup: str) -> list[ElementTree.Element]:
-    try:
-        return [x for x in children(ElementTree.fromstring(markup), "link") if "stylesheet" in x.get("rel", "")]
-    except ElementTree.ParseError:
-        return []
-
-
-def epub_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each document of each file, and one for its navigation (role contents).
-    A file without documents has one row with its status, and so has a PDF: UNSUPPORTED."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
-        types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                meta, found, status = {"title": None, "authors": [], "language": None}, [], "FAILED"
-                if path.lower().endswith(".pdf"):
-                    status = "UNSUPPORTED"
-                    meta["title"] = tidy(unquote(posixpath.basename(path))[:-4].replace("_", " ").replace("-", " "))
-                else:
-                    try:
-                        meta, found = archive_documents(content.as_py())
-                        status = "READY" if any(role == "chapter" for role, _, _ in found) else "FAILED"
-                    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, AttributeError):
-                        pass
-                head = (path, status, meta["title"], meta["authors"], meta["language"])
-                rows = [(*head, role, n, href, markup) for n, (role, href, markup) in enumerate(found)] or [(*head, *[None] * 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], columns)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{epub,pdf}").load(folder).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
+from .archives import epub_documents
+from .kept import kept
+from .trees import element_trees
 
 
 def resolved_path(base: Column, href: Column) -> Column:
     """A path relative to the folder of a file, without `.` and `..`, in the same archive."""
     bare = href_path(href)
     parts = F.split(F.concat(F.regexp_extract(F.lower(base), r"^(.*/)?[^/]*$", 1), bare), "/")
-    kept = F.filter(parts, lambda p: ~p.isin("", "."))
+    kept_parts = F.filter(parts, lambda p: ~p.isin("", "."))
     up = lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).otherwise(F.concat(done, F.array(p)))
-    return F.when(bare == "", F.lower(base)).otherwise(F.array_join(F.aggregate(kept, F.array().cast("array<string>"), up), "/"))
+    return F.when(bare == "", F.lower(base)).otherwise(F.array_join(F.aggregate(kept_parts, F.array().cast("array<string>"), up), "/"))
 
 
 def epub_toc(documents: DataFrame) -> DataFrame:
     """The contents of each book: (book, node, parent, depth, preorder, path, label, href, file, anchor)."""
-    trees = element_trees(documents.where("role = 'contents'").select("book", F.col("href").alias("base"), "markup"), "markup")
-    bases = documents.where("role = 'contents'").select("book", F.col("href").alias("base"))
-    rows = toc_entries(trees, "book").join(bases, "book")
+    named = documents.where("role = 'contents'").select(F.to_json(F.struct("book", F.col("href").alias("base"))).alias("at"), "markup")
+    rows = toc_entries(element_trees(named, "markup"), "at").withColumn("of", F.from_json("at", "book string, base string"))
+    rows = rows.select(F.col("of.book").alias("book"), F.col("of.base").alias("base"), *[c for c in rows.columns if c not in ("at", "of")])
     return rows.withColumns({"file": resolved_path(F.col("base"), F.col("href")), "anchor": F.lower(F.btrim(href_anchor(F.col("href"))))}).drop("base")
 
 
 def read_epubs(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of a folder's books (see book_blocks). The documents are written
+    once, so that each archive is opened once, whatever is read of the result."""
+    return book_blocks(kept(epub_documents(spark, folder), "books"))
+
+
+def book_blocks(documents: DataFrame) -> DataFrame:
     """One row for each block of each chapter; a file without chapters has one row with its status.
 
     A document is split to chapters where a block has an anchor that the contents name.
     A chapter's label is that of the contents at its file and anchor, else its first
     heading, else its number; labels that only repeat the book's title don't count.
     """
-    documents = epub_documents(spark, folder)
     about = documents.select("book", "status", "title", "authors", "language").distinct()
     toc = epub_toc(documents)
-    keyed = documents.where("role = 'chapter'").select(F.to_json(F.struct("book", "position", "href")).alias("page"), "markup")
-    blocks = block_rows(page_blocks(element_trees(keyed, "markup"), "page"), "page")
+    keyed = documents.where("role = 'chapter'").select(F.to_json(F.struct("book", "position", "href")).alias("page"), "images", "markup")
+    blocks = block_rows(page_blocks(with_natural_widths(element_trees(keyed, "markup"), "images"), "page"), "page")
     blocks = blocks.withColumn("at", F.from_json("page", "book string, position int, href string")).select(F.col("at.*"), *[c for c in blocks.columns if c not in ("page", "id")])
     blocks = blocks.withColumn("file", F.lower("href"))
     splits = anchors_by_path(toc.select("book", F.concat("file", F.lit("#"), "anchor").alias("href")), ["book"]).withColumnRenamed("path", "file")
@@ -168,20 +74,3 @@ def read_epubs(spark: SparkSession, folder: str) -> DataFrame:
     links = F.size(F.filter("inlines", lambda p: p["href"].isNotNull()))
     body = cut.select("book", "chapter_index", within.alias("n"), "kind", "text", links.alias("links"))
     return named.join(body, ["book", "chapter_index"], "left").withColumnRenamed("book", "path")
-
-
-def image_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height from a PNG, GIF or JPEG header."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return struct.unpack(">II", data[16:24])
-    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
-        return struct.unpack("<HH", data[6:10])
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(data) and data[at] == 0xFF:
-            marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
-            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-                return width, height
-            at += 2 + size
-    return None

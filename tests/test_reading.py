@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import random
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +13,6 @@ from pagemill.operators.sessions import accrue, day_segments
 from pagemill.operators.toc import deepest_match, first_match, resolved_hrefs
 from pagemill.operators.blocks import block_rows, inline_rows, page_blocks
 from pagemill.operators.toc import toc_entries
-from pagemill.sources.epub import archive_documents, image_size, read_epubs, resolve
 from pagemill.sources.trees import decode_entities, element_trees
 from pagemill.streaming.session_state import Session, session_log, stream_sessions
 
@@ -211,46 +208,6 @@ def test_contents_trees(spark):
     assert sum(p is None for p in parents.values()) == 1 and all(p is None or p in parents for p in parents.values())
 
 
-def book(spine=True, nav=True, manifest=True):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/p.opf"/></rootfiles></container>')
-        refs = '<itemref idref="b"/><itemref idref="a"/><itemref idref="none"/>' if spine else ""
-        items = '<item id="a" href="t/a.xhtml" media-type="application/xhtml+xml"/><item id="b" href="t/b%20c.xhtml" media-type="application/xhtml+xml"/><item id="n" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>' if manifest else ""
-        z.writestr("OEBPS/p.opf", f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title> The  Book </dc:title><dc:creator>Ann</dc:creator><dc:language>en</dc:language></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>')
-        entries = '<li><a href="t/a.xhtml">First</a></li><li><a href="t/a.xhtml#S">Second</a><ol><li><a href="t/a.xhtml#u">the  book</a></li><li><a href="t/a.xhtml#gone">Nowhere</a></li></ol></li>' if nav else ""
-        z.writestr("OEBPS/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>{entries}</ol></nav></body></html>')
-        z.writestr("OEBPS/t/a.xhtml", "<html><body><h1>Head A</h1><p>text a</p><div id='s'><p>text s</p></div><p id='u'>text u</p></body></html>")
-        z.writestr("OEBPS/t/b c.xhtml", "<html><body><p>text b</p></body></html>")
-    return out.getvalue()
-
-
-def test_epub(spark, tmp_path):
-    meta, found = archive_documents(book())
-    assert meta == {"title": "The Book", "authors": ["Ann"], "language": "en"}
-    order = lambda **x: [path for role, path, _ in archive_documents(book(**x))[1] if role == "chapter"]
-    assert order() == ["OEBPS/t/b c.xhtml", "OEBPS/t/a.xhtml"] and order(spine=False) == ["OEBPS/t/a.xhtml"]
-    assert order(spine=False, nav=False) == ["OEBPS/t/a.xhtml", "OEBPS/t/b c.xhtml"]
-    assert order(spine=False, nav=False, manifest=False) == ["OEBPS/nav.xhtml", "OEBPS/t/a.xhtml", "OEBPS/t/b c.xhtml"]
-    (tmp_path / "good.epub").write_bytes(book())
-    (tmp_path / "bad.epub").write_bytes(b"no zip")
-    (tmp_path / "My_file-1.pdf").write_bytes(b"%PDF")
-    rows = read_epubs(spark, str(tmp_path)).collect()
-    ready = sorted((r.chapter_index, r.label, r.chapter_id, r.n, r.text) for r in rows if r.status == "READY")
-    assert ready == [
-        (0, "Chapter 1", "chapter-1-b-c", 1, "text b"), (1, "First", "chapter-2-a", 1, "Head A"), (1, "First", "chapter-2-a", 2, "text a"),
-        (2, "Second", "chapter-3-a--s", 1, "text s"), (3, "Chapter 4", "chapter-4-a--u", 1, "text u"),
-    ]
-    assert sorted((r.status, r.title, r.text) for r in rows if r.status != "READY") == [("FAILED", None, None), ("UNSUPPORTED", "My file 1", None)]
-
-
-def test_paths_and_images():
-    assert resolve("OEBPS/nav/toc.xhtml", "../t/a%20b.html#x") == "OEBPS/t/a b.html"
-    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (300).to_bytes(4, "big") + (200).to_bytes(4, "big")
-    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x50\x00\xa0\x03"
-    assert image_size(png) == (300, 200) and image_size(b"GIF89a\x05\x00\x07\x00") == (5, 7) and image_size(jpeg) == (160, 80) and image_size(b"x") is None
-
-
 @pytest.mark.parametrize("raw,parts", [("see https://example.com/a/b?x=1 now", ["see https://", "example.", "com/", "a/", "b?", "x=", "1 now"]), ("e.g. well-known", ["e.g. well-known"]), ("123,456,789,012,345", ["123,456,789,012,345"]), ("averyveryverylongword...", ["averyveryverylongword..."])])
 def test_break_points(spark, raw, parts):
     from pagemill.functions.styles import break_points
