@@ -10,6 +10,7 @@ from pagemill.operators.changes import last_write
 from pagemill.operators.relational import add_up, top_per_group
 from pagemill.operators.sessions import accrue, day_segments, replayed
 from pagemill.sources.tables import table
+from pagemill.streaming.client_sessions import client_session_log
 from pagemill.streaming.session_state import session_log
 
 from .dashboard import GOAL_MINUTES
@@ -62,6 +63,25 @@ def session_ids_and_end(spark: SparkSession, d: str) -> DataFrame:
     return session_log(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type"), 21_600_000)
 
 
+CLIENT_IDLE_MS, CLIENT_TTL_MS = 21_600_000, 5 * 86_400_000
+
+
+def client_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Events as session actions: errors stop, views and purchases are heartbeats, the others start.
+    A client id repeats, and one of seven actions has none."""
+    kind, number = F.col("event_type"), F.col("event_id")
+    action = F.when(kind == "error", "stop").when(kind.isin("view", "purchase"), "heartbeat").otherwise("start")
+    client = F.when(number % 7 > 0, F.concat(F.lit("c"), (number % 5).cast("string")))
+    item = F.concat(F.lit("i"), F.pmod(F.floor(F.col("value")).cast("long"), F.lit(2)).cast("string"))
+    return table(spark, d, "events").select("event_id", "user_id", "ts", item.alias("item"), action.alias("action"), kind.alias("device"), client.alias("client"))
+
+
+@query()
+def client_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Reopening, adoption and the time to live depend on each session's state in order: one state machine a user."""
+    return client_session_log(client_actions(spark, d), CLIENT_IDLE_MS, CLIENT_TTL_MS)
+
+
 @query("SELECT user_id, event_type, event_id, (epoch_us(ts) // 1000) AS last_ms FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def active_session_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", "event_type", "event_id", millis(F.col("ts")).alias("last_ms"), "ts")
