@@ -115,9 +115,10 @@ def _table(names: list[str], *columns) -> pa.RecordBatch:
 
 def _merged(links: Column, found: Column, most: int) -> Column:
     """The best `most` of (d, node, fresh) links and (d, node) pairs; pairs that are not links yet are fresh ones."""
-    new = F.array_except(found, F.transform(links, lambda e: F.struct(e["d"], e["node"])))
-    fresh = F.transform(new, lambda e: F.struct(e["d"].alias("d"), e["node"].alias("node"), F.lit(True).alias("fresh")))
-    return F.slice(F.sort_array(F.concat(links, fresh)), 1, most)
+    fresh = F.transform(found, lambda e: F.struct(e["d"].alias("d"), e["node"].alias("node"), F.lit(True).alias("fresh")))
+    # Entries for one node are equal but for `fresh`, so that they are neighbours, and false comes first.
+    single = lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["node"] != e["node"]))
+    return F.transform(F.array(F.sort_array(F.concat(links, fresh))), lambda s: F.slice(single(s), 1, most))[0]
 
 
 def _last(links: Column, most: int) -> Column:
