@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -69,16 +67,22 @@ class Discriminant:
         """The score of a column of statistics."""
         if len(self.classes) < 2:
             return F.lit(float(self.share))
-        z = [(x[i] - float(self.centre[i])) / float(self.scale[i]) for i in range(len(STATISTICS))]
+        numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
+        total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+        let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  the value is computed once
+        z = F.zip_with(F.zip_with(x, numbers(self.centre), lambda v, c: v - c), numbers(self.scale), lambda v, s: v / s)
 
-        def density(mean: np.ndarray, factor: np.ndarray, weight: float) -> Column:
+        def density(z: Column, mean: np.ndarray, factor: np.ndarray, weight: float) -> Column:
             """Log weight less half the squared Mahalanobis distance, by the inverse Cholesky factor."""
-            off = [z[j] - float(mean[j]) for j in range(len(z))]
-            turned = [reduce(add, [off[j] * float(factor[i, j]) for j in range(i + 1)]) for i in range(len(z))]
-            return F.lit(weight) - reduce(add, [t * t for t in turned]) * 0.5
+            rows = F.array(*[numbers(r) for r in factor])
+            turned = lambda off: F.transform(rows, lambda r: total(F.zip_with(off, r, lambda v, f: v * f)))
+            return F.lit(weight) - 0.5 * let(F.zip_with(z, numbers(mean), lambda v, m: v - m), lambda off: total(F.transform(turned(off), lambda t: t * t)))
 
-        zero, one = (density(*c) for c in self.classes)
-        return 1 / (1 + F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), zero - one))))
+        def score(z: Column) -> Column:
+            zero, one = (density(z, *c) for c in self.classes)
+            return 1 / (1 + F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), zero - one))))
+
+        return let(z, score)
 
 
 def fit(labelled: DataFrame, shrinkage: float = 0.3, ridge: float = 0.05) -> Discriminant:
