@@ -23,8 +23,9 @@ from pagemill.llm.sentencepiece_bpe import encode_decode
 #: A document goes if its quality score is lower.
 QUALITY_THRESHOLD = 0.5
 #: Exponents that temper the present shares to the targets of the mix. Documents are
-#: never repeated, so the farther the targets, the fewer documents can stay.
-TARGETS = {"source": 0.85, "lang": 0.9, "topic": 0.95}
+#: never repeated, so the farther the targets, the fewer documents can stay. Topics keep their
+#: shares: a rare one can't be raised by more than MOST.
+TARGETS = {"source": 0.85, "lang": 0.9, "topic": 1.0}
 #: No cell is raised to more than this many times its tokens: four fifths of all tokens stay.
 MOST = 1.25
 
