@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import books, changes, contents, dashboard, lookups, markup, packages, panels, sessions, strings, texts
+from . import books, changes, contents, dashboard, locales, lookups, markup, packages, panels, sessions, strings, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = [dashboard, sessions, texts, changes, strings, packages, panels, markup, contents, books, lookups]
+FAMILIES = [dashboard, sessions, texts, changes, strings, packages, panels, markup, contents, books, lookups, locales]
 
 
 def queries() -> dict[str, Query]:

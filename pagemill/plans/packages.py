@@ -87,13 +87,13 @@ def prefix_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT source, doc_id, nullif(trim(split_part(text, chr(10), 1)), '') AS title FROM documents),
-c AS (SELECT source, count(*) AS chapters, count(title) / count(*) AS coverage, count(DISTINCT left(title, 3)) AS entries FROM t GROUP BY source)
+c AS (SELECT source, count(*) AS chapters, count(title) / count(*) AS coverage, count(DISTINCT title) AS entries FROM t GROUP BY source)
 SELECT source, chapters, entries >= chapters AS rich, coverage >= 0.8 AS covered, entries >= chapters OR coverage >= 0.8 AS trusted FROM c""")
 def toc_trust(spark: SparkSession, d: str) -> DataFrame:
     """Contents are trusted if they have as many entries as chapters; titles found in the
     text are used then, or if most chapters have one."""
     rows = table(spark, d, "documents").select("source", F.nullif(F.btrim(F.substring_index("text", "\n", 1), F.lit(" ")), F.lit("")).alias("title"))
-    c = rows.groupBy("source").agg(F.count("*").alias("chapters"), (F.count("title") / F.count("*")).alias("coverage"), F.count_distinct(F.left("title", F.lit(3))).alias("entries"))
+    c = rows.groupBy("source").agg(F.count("*").alias("chapters"), (F.count("title") / F.count("*")).alias("coverage"), F.count_distinct("title").alias("entries"))
     rich, covered = F.col("entries") >= F.col("chapters"), F.col("coverage") >= 0.8
     return c.select("source", "chapters", rich.alias("rich"), covered.alias("covered"), (rich | covered).alias("trusted"))
 

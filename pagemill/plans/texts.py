@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import counts_as_reading, half_up, pages, percent, reading_hours
 from pagemill.functions.text import FILE_TITLE, MACHINE_TITLE, NUMBER_TITLE, collapse, contains_ci, digit_percent, normalise_selection, normalise_title, paragraphs, said_title, sample_text, selection_context, source_hash, words
+from pagemill.functions.utf16 import utf16_length
 from pagemill.operators.relational import counts_of_domain
 from pagemill.sources.tables import table
 
@@ -203,12 +204,12 @@ def language_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts_of_domain(table(spark, d, "documents").select("source", "lang"), ["source"], "lang", ["en", "fr", "de", "es", "uk"])
 
 
-@query("""WITH b AS (SELECT doc_id, length(line) AS n, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+@query("""WITH b AS (SELECT doc_id, length(line) + length(regexp_replace(line, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS n, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS cum, sum(n) OVER (PARTITION BY doc_id) AS total FROM b), w AS (SELECT *, least(doc_id % 997, greatest(total - 1, 0)) AS off FROM c)
 SELECT doc_id, CAST(coalesce(min(pos) FILTER (WHERE cum > off) - 1, 0) AS BIGINT) AS segment, CAST(coalesce(min(off) - arg_min(cum - n, pos) FILTER (WHERE cum > off), 0) AS BIGINT) AS in_segment FROM w GROUP BY doc_id""")
 def offset_locate(spark: SparkSession, d: str) -> DataFrame:
-    """The line that holds a text offset, and the offset in it; in one pass over the lines."""
-    lengths = F.transform(F.split("text", "\n"), lambda x: F.length(x).cast("long"))
+    """The line that holds a text offset, and the offset in it; in one pass over the lines. Offsets count UTF-16 units."""
+    lengths = F.transform(F.split("text", "\n"), utf16_length)
     rows = table(spark, d, "documents").select("doc_id", lengths.alias("lengths"))
     total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)
     rows = rows.withColumn("off", F.least(F.col("doc_id") % 997, F.greatest(total - 1, F.lit(0))))
