@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text's distinct paragraphs (lines; long ones are cut at places that their own
-words decide, so that an edit moves no other cut) are hashed, and every digest is
+A text's distinct paragraphs (lines; long ones are cut after words that their
+hashes choose, so that an edit moves no other cut) are hashed, and every digest is
 added to one cell in each of three tables. A cell holds a count, the exclusive or of its
 digests and that of their checksums. Subtracting the cells of two versions
 cancels what they share; peeling then takes digests out of cells that hold
@@ -28,17 +28,27 @@ SPLIT = 4
 PASSES = 8
 #: Segments that one task peels.
 TASK_SEGMENTS = 8000
-#: A line of more than the first number of code points is cut before sentences that begin so, and what is still
-#: longer than the second between words that end and begin so.
+#: A line of more than the first number of code points is cut after one word in SHORT_CUT or, if it is longer than the second, in LONG_CUT.
 LONG, ENDLESS = 80, 600
-SENTENCE_CUT, WORD_CUT = "(?<=[.!?;:]) (?=[A-D])", "(?<=[es$%&]) (?=d)"
+SHORT_CUT, LONG_CUT = 16, 256
+#: What is then still longer than ENDLESS (few words that come again and again, scripts that don't part words) is cut after
+#: each punctuation mark beyond ASCII, and after so many other characters.
+WINDOW = 240
+WINDOW_CUT = rf"([\p{{P}}&&[^\p{{ASCII}}]]|[\p{{ASCII}}\P{{P}}]{{{WINDOW}}})"
 
 
 def paragraphs(text: Column) -> Column:
-    """The lines of a text, long ones cut at content-defined places."""
-    cut = lambda part, most, pattern: F.when(F.length(part) > most, F.split(part, pattern)).otherwise(F.array(part))
-    sentences = F.flatten(F.transform(F.split(text, "\n"), lambda line: cut(line, LONG, SENTENCE_CUT)))
-    return F.flatten(F.transform(sentences, lambda sentence: cut(sentence, ENDLESS, WORD_CUT)))
+    """The lines of a text, long ones cut after the words whose hash says so: in any script, and
+    wherever a word stands, so that an edit moves no cut but its own. The cut is a line end,
+    which no line holds, so that one split parts both; a piece keeps the blank that it begins with."""
+
+    def cut(line: Column) -> Column:
+        every = F.when(F.length(line) > ENDLESS, F.lit(LONG_CUT)).otherwise(F.lit(SHORT_CUT))
+        words = F.transform(F.split(line, " "), lambda w: F.when(F.pmod(F.xxhash64(w), every) == 0, F.concat(w, F.lit("\n"))).otherwise(w))
+        return F.when(F.length(line) > LONG, F.array_join(words, " ")).otherwise(line)
+
+    windows = lambda part: F.when(F.length(part) > ENDLESS, F.split(F.regexp_replace(part, WINDOW_CUT, "$1\n"), "\n")).otherwise(F.array(part))
+    return F.flatten(F.transform(F.split(F.array_join(F.transform(F.split(text, "\n"), cut), "\n"), "\n"), windows))
 
 
 def paragraph_digests(text: Column) -> Column:

@@ -2,19 +2,26 @@ from __future__ import annotations
 
 import hashlib
 import random
-import re
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
-from pagemill.llm.fingerprints import ENDLESS, LONG, SENTENCE_CUT, WORD_CUT, differences, fingerprints
+from pagemill.llm.fingerprints import ENDLESS, LONG, LONG_CUT, SHORT_CUT, WINDOW_CUT, differences, fingerprints
 
 from odd_texts import ODD
 
 
+def marked(word, every):
+    signed = xxhash.xxh64_intdigest(word.encode(), seed=42)
+    return word + "\n" * ((signed - 2**64 if signed >= 2**63 else signed) % every == 0)
+
+
 def pieces(text):
-    sentences = [s for line in text.split("\n") for s in (re.split(SENTENCE_CUT, line) if len(line) > LONG else [line])]
-    return frozenset(p for s in sentences for p in (re.split(WORD_CUT, s) if len(s) > ENDLESS else [s]))
+    cut = lambda line: " ".join(marked(w, LONG_CUT if len(line) > ENDLESS else SHORT_CUT) for w in line.split(" ")) if len(line) > LONG else line
+    windows = lambda part: regex.sub("(?V1)" + WINDOW_CUT, r"\1\n", part).split("\n") if len(part) > ENDLESS else [part]
+    return frozenset(w for part in "\n".join(map(cut, text.split("\n"))).split("\n") for w in windows(part))
 
 
 def likeness(a, b):
@@ -49,11 +56,20 @@ def test_real_texts(documents, real):
     check(documents(real).repartition(5), real)
 
 
-def test_one_line_texts_are_likelier_their_edits(documents):
+SCRIPTS = {
+    "latin": ("abcdefghij", " "), "russian": ("абвгдежзиклмнопрст", " "), "chinese": ("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往", ""), "chinese with signs": ("天地玄黄宇宙洪荒日月盈昃，。", ""), "hindi": ("कखगघचछजझ", " "), "one word": ("a", " "),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_one_line_texts_are_likelier_their_edits(documents, script):
+    """Texts of one line of 3,000 to 10,000 characters, in any script."""
+    letters, blank = SCRIPTS[script]
     rng = random.Random(3)
-    docs = [(i, " ".join(rng.choice("ladmotvieABCD") + rng.choice(["ade", "rose", "dir", "tal", "nine", "us", "e"]) + rng.choice("aeos..") for _ in range(150))) for i in range(40)]
-    got = fingerprints(documents(docs)).collect()
-    assert all(r.near_edited > 0.2 > r.near_next for r in got)
+    docs = [(i, blank.join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 7))) for _ in range(rng.randrange(700, 1500)))) for i in range(12)]
+    check(documents(docs), docs)
+    if script != "one word":
+        assert all(r.near_edited > 0.2 > r.near_next for r in fingerprints(documents(docs)).collect())
 
 
 def test_one_row_empty_table_nulls_and_repeats(documents):
