@@ -15,6 +15,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, driver_memory: st
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": driver_memory,
+        # Noting the Python line of each column expression takes longer than making it.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),

@@ -57,7 +57,7 @@ class _Tree(HTMLParser):
         self.open: list[int] = []
         self.joins = False
 
-    def _add(self, tag: str, text: str | None, attrs: dict[str, str]) -> int:
+    def _add(self, tag: str, text: str | list[str] | None, attrs: dict[str, str]) -> int:
         n = len(self.tags) + 1
         if tag in BLOCKISH and self.open:
             self.holds[self.open[-1] - 1] = True
@@ -101,9 +101,9 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if self.joins:
-            self.texts[-1] += data
+            self.texts[-1].append(data)
         elif not self.open or self.tags[self.open[-1] - 1] not in SILENT:
-            self._add("#text", data, {})
+            self._add("#text", [data], {})
             self.joins = True
         elif self.tags[self.open[-1] - 1] == "style":
             self._add("#style", data, {})
@@ -120,6 +120,7 @@ def tree_of(markup: str) -> _Tree:
     tree.feed(markup)
     tree.close()
     tree._close(0)
+    tree.texts = ["".join(t) if isinstance(t, list) else t for t in tree.texts]  # entities part a text into many pieces
     return tree
 
 

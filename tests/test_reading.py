@@ -220,3 +220,14 @@ def test_style_rules():
 
     css = "/* x */ p, .lead { text-indent: 1em !important; color: red } p > a { x: y } h1.big{font-size:2em;} @media print { p { margin: 0 } }"
     assert rules_of(css) == [("p", "text-indent", "1em"), ("p", "color", "red"), (".lead", "text-indent", "1em"), (".lead", "color", "red"), ("h1.big", "font-size", "2em"), ("p", "margin", "0")]
+
+
+def test_many_entities_in_one_text():
+    """Time grows with the text: 300,000 entities in one paragraph."""
+    import time
+
+    from pagemill.sources.trees import tree_of
+
+    began = time.process_time()
+    tree = tree_of("<p>" + "a&amp;" * 300_000 + "</p>")
+    assert tree.texts[1] == "a&" * 300_000 and time.process_time() - began < 20
