@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.sources.kept import kept
+
 Order = Sequence[Column]
 
 
@@ -16,6 +18,22 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Order, k: int, rank:
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, by: Sequence[str], order: Order, out: str) -> DataFrame:
+    """The rows with their place (int, from 1) in their group, however large a group is: range partitions
+    in order are written, and a row's place is that within its partition, after the group's rows in those
+    before. End `order` with a unique key. Null groups are one group."""
+    keys = [F.asc(c) for c in by]
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    rows = kept(ranged.select("*", F.spark_partition_id().alias("part_"), F.monotonically_increasing_id().alias("seq_")), "ranges")
+    # One row for each group and partition.
+    sizes = rows.groupBy(*by, "part_").agg(F.count("*").alias("size_"), F.min("seq_").alias("first_"))
+    before = F.coalesce(F.sum("size_").over(W.partitionBy(*by).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*[F.col(c).alias(f"of_{c}") for c in by], F.col("part_").alias("of_part_"), (before - F.col("first_")).alias("shift_"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]
+    met = rows.join(starts, [F.col("part_") == F.col("of_part_"), *same])
+    return met.select(*df.columns, (F.col("seq_") + F.col("shift_") + 1).cast("int").alias(out))
+
+
 def with_details(keys: DataFrame, details: DataFrame, on: Sequence[str]) -> DataFrame:
     """Late materialisation: the details of few keys, joined after they are chosen."""
     return keys.join(details, list(on), "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.operators.relational import numbered
 from pagemill.sources.css import style_rules
 from pagemill.sources.tables import table
 
@@ -51,8 +52,8 @@ def highlights_panel(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "documents").select("doc_id", "source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).alias("idx"))
     h = table(spark, d, "conversations").select(F.col("conv_id").alias("highlight"), "role", "turn")
     joined = h.join(c, F.col("highlight") == F.col("doc_id"), "left")
-    order = W.partitionBy("role").orderBy(F.col("idx").isNull(), F.desc("idx"), F.desc("turn"), F.asc("highlight"))
-    return joined.select("highlight", F.coalesce("source", F.lit("unknown")).alias("chapter"), F.row_number().over(order).alias("place"), "role", "turn")
+    rows = joined.select("highlight", F.coalesce("source", F.lit("unknown")).alias("chapter"), "role", "turn", "idx", F.col("idx").isNull().alias("unknown"))
+    return numbered(rows, ["role"], [F.asc("unknown"), F.desc("idx"), F.desc("turn"), F.asc("highlight")], "place").drop("idx", "unknown")
 
 
 @query("""SELECT c_nationkey AS shelf, o_orderkey AS item, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS position FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'O'""")

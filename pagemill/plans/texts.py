@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.numbers import counts_as_reading, half_up, pages, percent, reading_hours
 from pagemill.functions.text import FILE_TITLE, MACHINE_TITLE, NUMBER_TITLE, collapse, contains_ci, digit_percent, normalise_selection, normalise_title, paragraphs, said_title, sample_text, selection_context, source_hash, words
 from pagemill.functions.utf16 import utf16_length
-from pagemill.operators.relational import counts_of_domain
+from pagemill.operators.relational import counts_of_domain, numbered
 from pagemill.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -155,11 +155,10 @@ t AS (SELECT doc_id, arg_min(trim(line), pos) FILTER (WHERE {WC.format('line')}
 SELECT doc_id, CASE WHEN last_pos > at_pos THEN title END AS title FROM t""")
 def chapter_title_extract(spark: SparkSession, d: str) -> DataFrame:
     """The first short line is the title if more content follows."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    n = F.size(words(F.col("line")))
-    short = F.when(n.between(1, 8), F.col("pos"))
-    found = rows.groupBy("doc_id").agg(F.min_by(F.trim("line"), short).alias("title"), F.min(short).alias("at"), F.max(F.when(F.trim("line") != "", F.col("pos"))).alias("last"))
-    return found.select("doc_id", F.when(F.col("last") > F.col("at"), F.col("title")).alias("title"))
+    lines = F.transform(F.split("text", "\n"), lambda line, pos: F.struct(pos.alias("pos"), F.trim(line).alias("title"), F.size(words(line)).alias("n")))
+    rows = table(spark, d, "documents").select("doc_id", lines.alias("lines"))
+    title, last = F.get(F.filter("lines", lambda x: x["n"].between(1, 8)), 0), F.try_element_at(F.filter("lines", lambda x: x["title"] != ""), F.lit(-1))
+    return rows.select("doc_id", F.when(last["pos"] > title["pos"], title["title"]).alias("title"))
 
 
 @query(rf"""WITH {CH}, c AS (SELECT doc_id, idx, CASE doc_id % 5 WHEN 0 THEN 'Chapter ' || (idx + 1) WHEN 1 THEN 'part_' || idx WHEN 2 THEN '12.3' WHEN 3 THEN split_part(text, chr(10), 1) ELSE NULL END AS title, CASE doc_id % 3 WHEN 0 THEN 'split-07.xhtml' WHEN 1 THEN ' Notes ' ELSE 'Chapter 3' END AS label FROM ch),
@@ -195,8 +194,8 @@ def search_filter_sort(spark: SparkSession, d: str) -> DataFrame:
     """Entries of two colours (languages) that hold the search words in one of two columns, in the panel's order."""
     hit = contains_ci(F.col("text"), " License ") | contains_ci(F.col("source"), " License ")
     found = _chapters(spark, d, hit=hit).where(F.col("hit") & F.col("lang").isin("en", "de"))
-    order = W.partitionBy("lang").orderBy(F.col("n_chars") < 500, F.desc("idx"), F.desc("doc_id"))
-    return found.select("doc_id", "source", "lang", (F.col("n_chars") < 500).alias("short"), F.row_number().over(order).alias("place"))
+    short = found.select("doc_id", "source", "lang", (F.col("n_chars") < 500).alias("short"), "idx")
+    return numbered(short, ["lang"], [F.asc("short"), F.desc("idx"), F.desc("doc_id")], "place").drop("idx")
 
 
 @query("SELECT u.source, k.lang, count(d.doc_id) AS n FROM (SELECT DISTINCT source FROM documents) u CROSS JOIN (VALUES ('en'), ('fr'), ('de'), ('es'), ('uk')) k(lang) LEFT JOIN documents d ON d.source = u.source AND d.lang = k.lang GROUP BY ALL")

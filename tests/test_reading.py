@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import numbers, text, timing
-from pagemill.operators.relational import unique_names
+from pagemill.operators.relational import numbered, unique_names
 from pagemill.operators.sessions import accrue, day_segments
 from pagemill.operators.toc import deepest_match, first_match, resolved_hrefs
 from pagemill.operators.blocks import block_rows, inline_rows, page_blocks
@@ -231,3 +231,14 @@ def test_many_entities_in_one_text():
     began = time.process_time()
     tree = tree_of("<p>" + "a&amp;" * 300_000 + "</p>")
     assert tree.texts[1] == "a&" * 300_000 and time.process_time() - began < 20
+
+
+def test_places_in_groups_of_any_size(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), rng.randrange(50), i) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g string, v int, id long").repartition(5)
+    got = {r.id: r.place for r in numbered(df, ["g"], [F.desc("v"), F.asc("id")], "place").collect()}
+    for g in ("hot", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+    assert numbered(df.limit(0), ["g"], [F.asc("id")], "place").collect() == []
