@@ -106,6 +106,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_uri(uri: str) -> str:
+    """A folder under the name that Arrow knows its store by, where Hadoop's is another."""
+    scheme, mark, rest = uri.partition("://")
+    if scheme in ("wasb", "wasbs"):
+        return f"{scheme.replace('wasb', 'abfs')}{mark}{rest.replace('.blob.', '.dfs.', 1)}"
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest
+
+
 def utf8(col: str | Column) -> Column:
     """The column's UTF-8 bytes; a null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")

@@ -20,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import arrow_uri, fresh_path, written
 
 #: Fixed values of the WARC-zstd format: the dictionary's skippable frame begins with this magic number and its length.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -123,7 +123,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = pyarrow.fs.FileSystem.from_uri(arrow_uri(folder))
         fs.create_dir(base, recursive=True)
         closed, archive = [], None
         for batch in batches:
@@ -190,7 +190,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
     names = ["archive", "id", "record_type", "target_uri", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = pyarrow.fs.FileSystem.from_uri(arrow_uri(folder))
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * payloads

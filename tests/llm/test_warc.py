@@ -62,3 +62,10 @@ def test_dictionary_leads_and_records_stand_alone(spark):
     one = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])).decompressobj().decompress(frame)
     assert one.startswith(b"WARC/1.1\r\n") and one.count(b"WARC/1.1\r\n") == 1
     assert sum(1 for _ in warc.parse_archive(io.BytesIO(data))) == row.records
+
+
+def test_names_of_stores():
+    from pagemill.llm.common import arrow_uri
+
+    names = {"s3a://b/k": "s3://b/k", "s3n://b/k": "s3://b/k", "wasbs://c@a.blob.core.windows.net/k": "abfss://c@a.dfs.core.windows.net/k", "file:///tmp/x": "file:///tmp/x", "/tmp/x": "/tmp/x", "file:/tmp/x": "file:/tmp/x"}
+    assert {n: arrow_uri(n) for n in names} == names
