@@ -51,6 +51,7 @@ FROM f
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, repeated and null ids included; a null or empty text is one empty line."""
     out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
@@ -73,11 +74,13 @@ FROM told GROUP BY doc_id
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each doc_id. A null or empty text has no shingles and is linked with nothing."""
     out = near_duplicates(table(spark, sf_dir, "documents"), words=3, share=(85, 100))
     return out.withColumnRenamed("id", "doc_id")
 
 
 def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each message, repeated and null keys included; a null text counts as empty."""
     out = link_quotes(table(spark, sf_dir, "conversations"))
     return out.select("row.conv_id", "row.turn", "row.role", "n_quoted", "n_linked", "parent_turn", "thread_turn", "depth", "position", F.sha2(F.col("own_text").cast("binary"), 256).alias("own_sha256"))
 
@@ -120,11 +123,13 @@ FROM conversations c JOIN own USING (conv_id, turn) LEFT JOIN parents USING (con
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, repeated and null ids included; a null text counts as empty."""
     out = encode_decode(table(spark, sf_dir, "documents"), piece_model_path())
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, repeated and null ids included; a null text counts as empty and has no words."""
     texts, spans = license_scan(table(spark, sf_dir, "documents"))
     found = spans.groupBy("id", "version").agg(
         F.count_if("exact").alias("n_base"),
@@ -176,11 +181,13 @@ FROM docs LEFT JOIN grouped USING (doc_id)"""
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, repeated and null ids included; a null text counts as empty."""
     out = fingerprints(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, repeated and null ids included; null and empty texts are scored like others."""
     out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.withColumnRenamed("id", "doc_id")
 
@@ -193,6 +200,7 @@ MIX_MOST = 2.0
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, repeated and null ids included; null sources and languages are the empty one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     # What the mix needs of each text is computed once.
     docs = written(docs.select("doc_id", "source", "lang", text_topic("text").alias("topic"), word_count("text").alias("words")), "counted")
@@ -223,6 +231,7 @@ FROM docs LEFT JOIN p USING (source, lang, topic)"""
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 5 rows a query; unusable vectors and null ids take no part."""
     return exact_top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
 

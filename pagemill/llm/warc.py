@@ -221,6 +221,8 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, **columns) -> tuple[DataFrame, str]:
-    """Types and writes all pages; returns the manifest and the folder of the archives."""
+    """Types and writes all pages; returns the manifest and the folder of the archives. An archive's
+    dictionary is trained on the first 64 KB of each of its first records (2 MB of them), which only
+    bears on how small it gets: all records are written whole."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
     return write_archives(typed_records(pages, **columns), folder), folder
