@@ -127,6 +127,7 @@ def lww_progress(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH l AS (SELECT user_id, max((epoch_us(ts) // 1000)) // 86400000 AS saved FROM events WHERE event_type = 'view' GROUP BY 1), s AS (SELECT user_id, max((epoch_us(ts) // 1000)) // 86400000 AS saved FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT coalesce(l.user_id, s.user_id) AS user_id, CASE WHEN l.saved IS NOT NULL AND l.saved >= coalesce(s.saved, -1) THEN 'local' ELSE 'server' END AS source FROM l FULL JOIN s ON l.user_id = s.user_id""")
 def resume_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The local place (a view) or the server's (a click), by the later day; users without either have none."""
     at = F.floor(millis(F.col("ts")) / 86400000)
     mine, theirs = (F.max(F.when(F.col("event_type") == k, at)) for k in ("view", "click"))
     both = table(spark, d, "events").where(F.col("event_type").isin("view", "click")).groupBy("user_id").agg(mine.alias("l"), theirs.alias("s"))
