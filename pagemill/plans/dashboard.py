@@ -142,11 +142,13 @@ def item_detail_nested(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l_orderkey AS item_id, arg_min(l_shipmode, (l_order, l_partkey)) AS format FROM (SELECT l_orderkey, l_partkey, CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN 0 WHEN l_linenumber = 1 THEN 1 END AS l_order, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)
     WHERE l_order IS NOT NULL GROUP BY ALL UNION ALL SELECT DISTINCT l_orderkey, 'UNKNOWN' FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)""")
 def primary_file_pick(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    primary = F.col("l_linenumber") == 1
-    rank = F.when(primary & (F.col("l_returnflag") == "N"), 0).when(primary, 1)
-    fmt = F.min_by(F.concat("l_returnflag", "l_linestatus"), F.when(rank.isNotNull(), F.struct(rank, "l_partkey")))
-    return li.groupBy(F.col("l_orderkey").alias("item_id")).agg(F.coalesce(fmt, F.lit("UNKNOWN")).alias("format"))
+    """The format of an item's primary file. Of files that rank alike the first in the table's files
+    counts, as in the SQL on one thread; files without a format don't count."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") == 1).alias("primary"), (F.col("l_returnflag") == "N").alias("new"), F.concat("l_returnflag", "l_linestatus").alias("format"), "_metadata.file_path", "_metadata.row_index")
+    rank = F.struct(F.when(F.col("new"), 0).otherwise(1), F.col("l_partkey").isNull(), "l_partkey", "file_path", "row_index")
+    fmt = F.min_by("format", F.when(F.col("primary") & F.col("format").isNotNull(), rank))
+    rows = li.groupBy(F.col("l_orderkey").alias("item_id")).agg(fmt.alias("format"), F.max(F.coalesce("primary", F.lit(False))).alias("has"))
+    return rows.select("item_id", F.when(F.col("has"), F.col("format")).otherwise("UNKNOWN").alias("format"))
 
 
 @query("SELECT p_partkey AS book_id, p_name AS title, p_brand AS author FROM part WHERE p_partkey = 17 OR (p_name = 'small ring' AND p_brand = 'Brand#2')")
