@@ -40,11 +40,18 @@ def deepest_match(toc: DataFrame, by: list[str], matches: Column) -> DataFrame:
 
 
 def resolved_hrefs(toc: DataFrame, chapters: DataFrame) -> DataFrame:
-    """TOC entries (book, node, path, anchor) to chapters (book, idx, path, anchor,
-    chapter): the exact anchor first, then the chapter without one, then the first of the path."""
-    met = toc.join(chapters.select("book", "path", F.col("anchor").alias("anchor2"), "idx", "chapter"), ["book", "path"], "left")
-    rank = F.when(F.col("anchor").eqNullSafe(F.col("anchor2")), 0).when(F.col("anchor2").isNull(), 1).otherwise(2)
-    return met.groupBy("book", "node").agg(F.min_by("chapter", F.struct(rank.alias("r"), "idx")).alias("chapter"))
+    """TOC entries (book, path, anchor and others) with their chapter, from chapters (book, idx, path, anchor,
+    chapter): the exact anchor first, then the chapter without one, then the first of the path.
+
+    An entry meets one row for its place and one for its file, however many chapters a file has.
+    """
+    named = chapters.where(F.col("chapter").isNotNull())
+    exact = named.groupBy(F.col("book").alias("b"), F.col("path").alias("p"), F.col("anchor").alias("a")).agg(F.min_by("chapter", "idx").alias("exact"))
+    whole = F.when(F.col("anchor").isNull(), F.col("idx"))
+    files = named.groupBy(F.col("book").alias("b2"), F.col("path").alias("p2")).agg(F.coalesce(F.min_by("chapter", whole), F.min_by("chapter", "idx")).alias("loose"))
+    met = toc.join(exact, (F.col("book") == F.col("b")) & (F.col("path") == F.col("p")) & F.col("anchor").eqNullSafe(F.col("a")), "left")
+    met = met.join(files, (F.col("book") == F.col("b2")) & (F.col("path") == F.col("p2")), "left")
+    return met.select(*toc.columns, F.coalesce("exact", "loose").alias("chapter"))
 
 
 def toc_entries(trees: DataFrame, key: str) -> DataFrame:

@@ -59,8 +59,7 @@ def _chapters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    toc = _toc(spark, d)
-    return toc.join(resolved_hrefs(toc, _chapters(spark, d)), ["book", "node"])
+    return resolved_hrefs(_toc(spark, d), _chapters(spark, d))
 
 
 @query(_TOC + " SELECT book, node, chapter FROM r")

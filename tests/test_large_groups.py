@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import oracle  # noqa: E402
 
@@ -21,3 +23,32 @@ def test_primary_file_of_equal_rank(spark, tmp_path):
     for name in [t for t in oracle.TABLES if t != "lineitem"]:
         (tmp_path / f"{name}.parquet").write_bytes(Path(f"/root/testdata/sf0.001/{name}.parquet").read_bytes())
     assert oracle.differences(spark, "primary_file_pick", str(tmp_path)) == "same, 8 rows"
+
+
+def test_hrefs_of_a_file_with_many_chapters(spark):
+    """An entry meets its file's chapters without a row for each pair: 20,000 entries and chapters would make 400 million."""
+    from pagemill.operators.toc import resolved_hrefs
+
+    entries = spark.range(20_000).select(F.lit(1).alias("book"), "id", F.lit("a.html").alias("path"), F.concat(F.lit("x"), "id").alias("anchor"))
+    chapters = entries.select("book", F.col("id").alias("idx"), "path", F.when(F.col("id") != 7, F.concat(F.lit("x"), (F.col("id") * 2).cast("string"))).alias("anchor"), F.concat(F.lit("c"), "id").alias("chapter"))
+    met = resolved_hrefs(entries, chapters)
+    assert largest_join(met) == 20_000
+    assert {r.id: r.chapter for r in met.collect()} == {i: f"c{i // 2}" if i % 2 == 0 and i != 14 else "c7" for i in range(20_000)}
+
+
+def largest_join(df) -> int:
+    """The rows of the join in the executed plan that gave out most."""
+    df.collect()
+    stack, most = [df._jdf.queryExecution().executedPlan()], 0
+    while stack:
+        node = stack.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            stack.append(node.plan())
+        elif name.endswith("JoinExec"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return most
