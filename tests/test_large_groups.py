@@ -52,3 +52,18 @@ def largest_join(df) -> int:
         children = node.children()
         stack += [children.apply(i) for i in range(children.size())]
     return most
+
+
+def test_trees_of_a_large_batch(monkeypatch):
+    """Of a batch of any size a task holds the trees of few pages at a time; each page has its nodes, in order."""
+    import pyarrow as pa
+
+    from pagemill.sources import trees
+
+    monkeypatch.setattr(trees, "BATCH_BYTES", 20_000)
+    pages = [None, "", "<p>é</p>" * 10_000] + [f"<p>{i}</p>" + "<b>x</b>" * 100 for i in range(300)]
+    parts = list(trees.trees(iter([pa.array(pages), pa.array(pages[:0], pa.string()), pa.array(["<p>last</p>"])])))
+    nodes = [p for part in parts for p in part.to_pylist()]
+    assert [len(n) for n in nodes[:3]] == [0, 0, 20_000]
+    assert [n[1]["text"] for n in nodes[3:]] == [*map(str, range(300)), "last"]
+    assert max(len(part) for part in parts) <= 20_000 // 800 + 1
