@@ -14,13 +14,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents of a block: a posting list has no more numbers than that.
 BLOCK = 1 << 16
 #: Rows of a page of the text table, so that few texts come along with a candidate.
 PAGE_ROWS = 64
+#: Distinct trigrams, summed over documents, whose lists a task makes at once, besides the document that goes beyond them.
+GROUP_GRAMS = 2_000_000
 #: So many candidates are sent to the driver to narrow the read to RANGES ranges; beyond that the candidates are joined alone.
 FEW, RANGES = 20_000, 64
 
@@ -29,12 +31,43 @@ def grams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Ascending numbers below BLOCK as differences; the last byte of each has its high bit clear."""
-    gaps = np.diff(numbers, prepend=0)
+def gram_codes(text: str) -> np.ndarray:
+    """The distinct trigrams of a text, each as a number: its code points in 21 bits each."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:]) if len(points) > 2 else points[:0]
+
+
+def _gram_of(code: int) -> str:
+    return chr(code >> 42) + chr((code >> 21) & 0x1FFFFF) + chr(code & 0x1FFFFF)
+
+
+def _partial_lists(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """The posting lists of some documents (number, trigrams) of one block, ascending."""
+    held = sorted(held, key=lambda h: h[0])
+    codes = np.concatenate([c for _, c in held])
+    at = np.repeat(np.array([n % BLOCK for n, _ in held], np.int64), [len(c) for _, c in held])
+    order = np.argsort(codes, kind="stable")
+    codes, at = codes[order], at[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    gaps = np.diff(at, prepend=0)
+    gaps[first] = at[first]
+    data, lengths = _varints(gaps)
+    ends = np.concatenate([[0], np.cumsum(lengths)])[np.append(first, len(at))].astype(np.int32)
+    numbers = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    block = np.full(len(first), held[0][0] // BLOCK)
+    return pa.RecordBatch.from_arrays([pa.array([_gram_of(c) for c in codes[first].tolist()], pa.string()), pa.array(block), pa.array(np.diff(np.append(first, len(at))), pa.int32()), numbers], ["gram", "block", "n", "numbers"])
+
+
+def _varints(gaps: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The differences in bytes of seven bits, and how many bytes each takes."""
     parts = np.stack([(gaps >> 14) | 0x80, ((gaps >> 7) & 0x7F) | 0x80, gaps & 0x7F], 1).astype(np.uint8)
     used = np.stack([gaps >= 1 << 14, gaps >= 1 << 7, np.ones(len(gaps), bool)], 1)
-    return parts[used].tobytes()
+    return parts[used].tobytes(), used.sum(1)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Ascending numbers below BLOCK as differences; the last byte of each has its high bit clear."""
+    return _varints(np.diff(numbers, prepend=0))[0]
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -73,20 +106,28 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, folder: str) -> Tri
     index = TrigramIndex(spark, folder)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each trigram of some documents of a block their numbers, so that a row is shuffled for many documents."""
         for batch in batches:
+            held, size = [], 0
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = sorted(grams(text.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(np.full(len(found), number // BLOCK)), pa.array(np.full(len(found), number % BLOCK, np.int32))], ["gram", "block", "at"])
+                if held and (size >= GROUP_GRAMS or number // BLOCK != held[0][0] // BLOCK):
+                    yield _partial_lists(held)
+                    held, size = [], 0
+                held.append((number, codes := gram_codes(text.as_py())))
+                size += len(codes)
+            if held:
+                yield _partial_lists(held)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.sort(v.values.to_numpy(zero_copy_only=False)) for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(v) for v in lists], pa.int32()), pa.array([packed(v) for v in lists], pa.binary())], ["gram", "block", "n", "numbers"])
+            lists = [v if len(v) == 1 else [packed(np.sort(np.concatenate([unpacked(p) for p in v])))] for v in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([v[0] for v in lists], pa.binary())], ["gram", "block", "n", "numbers"])
 
-    rows = index.texts.where(F.col("text").isNotNull()).select("number", F.lower("text").alias("text")).mapInArrow(split, "gram string, block long, at int")
-    lists = rows.groupBy("gram", "block").agg(F.collect_list("at").alias("numbers"))
+    rows = index.texts.where(F.col("text").isNotNull()).select("number", F.lower("text").alias("text")).mapInArrow(split, "gram string, block long, n int, numbers binary")
+    # A list has a part for each GROUP_GRAMS trigrams or batch of a block's documents.
+    lists = rows.groupBy("gram", "block").agg(F.sum("n").cast("int").alias("n"), F.collect_list("numbers").alias("parts"))
     stored = lists.mapInArrow(pack, "gram string, block long, n int, numbers binary")
-    stored.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{folder}/postings")
+    stored.sortWithinPartitions("gram", "block").write.parquet(f"{folder}/postings")  # sorted, so that a read of few trigrams skips most of each file
     return index
 
 
@@ -118,6 +159,12 @@ def _ranges(numbers: list[int], most: int = RANGES) -> list[tuple[int, int]]:
     return list(zip(values[np.r_[0, cuts + 1]].tolist(), values[np.r_[cuts, len(values) - 1]].tolist()))
 
 
+def _holding(texts: DataFrame, queries: Column) -> DataFrame:
+    """(query, id) of the queries that each text holds; a text is put in lower case once."""
+    held = F.transform(F.array(F.lower("text")), lambda t: F.filter(queries, lambda q: F.contains(t, q)))[0]
+    return texts.select(F.explode(held).alias("query"), "id")
+
+
 def substring_search(index: TrigramIndex, queries: list[str]) -> DataFrame:
     """(query, id) for each row whose text holds a query, whatever the case. Queries are trimmed; those of
     fewer than three characters have no trigram, so that for them all texts are read."""
@@ -134,9 +181,8 @@ def substring_search(index: TrigramIndex, queries: list[str]) -> DataFrame:
             texts = texts.limit(0)
         elif len(some) <= FEW:
             texts = texts.where(reduce(lambda a, b: a | b, [F.col("number").between(lo, hi) for lo, hi in _ranges([r.number for r in some])]))
-        verified = candidates.join(texts, "number").where(F.contains(F.lower("text"), F.col("query")))
-        found.append(verified.select("query", "id"))
+        per_text = candidates.groupBy("number").agg(F.collect_list("query").alias("queries"))  # no more than there are queries
+        found.append(_holding(per_text.join(texts, "number"), F.col("queries")))
     if short:
-        each = index.texts.where(F.col("text").isNotNull()).select(F.explode(F.array(*[F.lit(q) for q in short])).alias("query"), "id", F.lower("text").alias("text"))
-        found.append(each.where(F.contains("text", F.col("query"))).select("query", "id"))
+        found.append(_holding(index.texts.where(F.col("text").isNotNull()), F.array(*[F.lit(q) for q in short])))
     return reduce(DataFrame.unionByName, found)

@@ -67,3 +67,18 @@ def test_trees_of_a_large_batch(monkeypatch):
     assert [len(n) for n in nodes[:3]] == [0, 0, 20_000]
     assert [n[1]["text"] for n in nodes[3:]] == [*map(str, range(300)), "last"]
     assert max(len(part) for part in parts) <= 20_000 // 800 + 1
+
+
+def test_index_shuffles_lists_not_places(spark, tmp_path):
+    """What is shuffled for the index: one row for a trigram of many documents, not one for each of its documents."""
+    from pagemill.operators import trigrams
+
+    texts = [(i, f"the same words again {i % 7} \U0001f600é") for i in range(3_000)]
+    docs = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    rows = trigrams._partial_lists([(70_000, trigrams.gram_codes("abcab")), (65_541, trigrams.gram_codes("xabc"))]).to_pydict()
+    made = {g: (b, n, trigrams.unpacked(p).tolist()) for g, b, n, p in zip(rows["gram"], rows["block"], rows["n"], rows["numbers"])}
+    assert made == {"abc": (1, 2, [5, 4_464]), "bca": (1, 1, [4_464]), "cab": (1, 1, [4_464]), "xab": (1, 1, [5])}
+    index = trigrams.build_index(docs, "id", "text", str(tmp_path / "i"))
+    lists = {r.gram: (r.n, trigrams.unpacked(bytes(r.numbers)).tolist()) for r in index.postings.collect()}
+    assert lists[" \U0001f600é"] == (3_000, list(range(3_000))) and lists["n 3"][0] == len([i for i in range(3_000) if i % 7 == 3])
+    assert sorted(r.id for r in trigrams.substring_search(index, ["again 3", "N 3"]).where("query = 'n 3'").collect()) == [i for i in range(3_000) if i % 7 == 3]
