@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import io
 import posixpath
+import re
 import struct
 import uuid
 import zipfile
@@ -48,6 +49,8 @@ PARTITION_BYTES, OPEN_BYTES = 64 << 20, 1 << 20
 #: Bytes of an image that hold its size.
 IMAGE_HEAD = 256 << 10
 BATCH_BYTES = 8 << 20
+#: What the name of an element that names a style sheet or an image holds; other text may match too.
+REFERS = re.compile(r"<[^<\t\n\r\f />]*(?:link|img|image)", re.IGNORECASE)
 #: What a damaged entry can raise: checksums and headers, deflate, encryption, odd methods, ends too early.
 DAMAGE = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError, struct.error, KeyError, ValueError)
 
@@ -174,6 +177,9 @@ class Book:
         for path in self.order(named):
             if (markup := self.text(path)) is None:
                 continue
+            if not REFERS.search(markup):  # most chapters: no tree is needed to know that
+                yield "chapter", path, markup, {}
+                continue
             tree = tree_of(markup)
             sheets = [resolve(path, a["href"]) for _, a in _elements(tree, "link") if a.get("href") and (a.get("rel", "").lower() == "stylesheet" or a.get("type", "").lower() == "text/css")]
             styles = [s for s in (self.text(p) for p in sheets if p in self.names) if s is not None]

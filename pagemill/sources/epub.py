@@ -50,11 +50,12 @@ def book_blocks(documents: DataFrame) -> DataFrame:
     heading, else its number; labels that only repeat the book's title don't count.
     """
     about = documents.select("book", "status", "title", "authors", "language").distinct()
-    toc = epub_toc(documents)
+    toc = kept(epub_toc(documents), "contents")
     keyed = documents.where("role = 'chapter'").select(F.to_json(F.struct("book", "position", "href")).alias("page"), "images", "markup")
     blocks = block_rows(page_blocks(with_natural_widths(element_trees(keyed, "markup"), "images"), "page"), "page")
-    blocks = blocks.withColumn("at", F.from_json("page", "book string, position int, href string")).select(F.col("at.*"), *[c for c in blocks.columns if c not in ("page", "id")])
-    blocks = blocks.withColumn("file", F.lower("href"))
+    links = F.size(F.filter("inlines", lambda p: p["href"].isNotNull()))
+    blocks = blocks.withColumn("at", F.from_json("page", "book string, position int, href string")).select(F.col("at.*"), "n", "kind", "anchor", "text", links.alias("links"))
+    blocks = kept(blocks, "blocks").withColumn("file", F.lower("href"))
     splits = anchors_by_path(toc.select("book", F.concat("file", F.lit("#"), "anchor").alias("href")), ["book"]).withColumnRenamed("path", "file")
     order = W.partitionBy("book").orderBy("position", "n")
     own = F.lower(F.btrim("anchor"))
@@ -71,6 +72,5 @@ def book_blocks(documents: DataFrame) -> DataFrame:
     stem = F.concat(F.lit("chapter-"), number, F.lit("-"), slug(F.regexp_extract("path_", r"([^/]*?)(\.[^./]*)?$", 1)), F.coalesce(F.concat(F.lit("--"), slug(F.col("anchor"))), F.lit("")))
     named = named.select("book", "status", "title", "authors", "language", "chapter_index", F.when(F.col("chapter_index").isNotNull(), stem).alias("chapter_id"), F.col("path_").alias("href"), F.coalesce(fit("label"), fit("heading"), F.concat(F.lit("Chapter "), number)).alias("label"))
     within = F.row_number().over(W.partitionBy("book", "chapter_index").orderBy("position", "n"))
-    links = F.size(F.filter("inlines", lambda p: p["href"].isNotNull()))
-    body = cut.select("book", "chapter_index", within.alias("n"), "kind", "text", links.alias("links"))
+    body = cut.select("book", "chapter_index", within.alias("n"), "kind", "text", "links")
     return named.join(body, ["book", "chapter_index"], "left").withColumnRenamed("book", "path")

@@ -82,3 +82,20 @@ def test_index_shuffles_lists_not_places(spark, tmp_path):
     lists = {r.gram: (r.n, trigrams.unpacked(bytes(r.numbers)).tolist()) for r in index.postings.collect()}
     assert lists[" \U0001f600é"] == (3_000, list(range(3_000))) and lists["n 3"][0] == len([i for i in range(3_000) if i % 7 == 3])
     assert sorted(r.id for r in trigrams.substring_search(index, ["again 3", "N 3"]).where("query = 'n 3'").collect()) == [i for i in range(3_000) if i % 7 == 3]
+
+
+def test_books_are_parsed_once(spark, tmp_path):
+    """Chapters and their bodies come from the same written blocks: reading them makes no tree anew."""
+    from pagemill.sources.archives import REFERS, _elements, write_epubs
+    from pagemill.sources.epub import read_epubs
+    from pagemill.sources.trees import tree_of
+
+    rows = [(b, b, "en", n, f"L{n}", f"text {n}\nmore <link> {n}") for b in ("a", "b") for n in range(3)]
+    write_epubs(spark.createDataFrame(rows, "book string, title string, language string, position long, label string, text string"), str(tmp_path / "books"))
+    blocks = read_epubs(spark, str(tmp_path / "books"))
+    assert "ArrowEvalPython" not in blocks._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.title, r.chapter_index, r.label, r.n, r.text) for r in blocks.collect())
+    assert got == [(b, n, f"L{n}", k, t) for b in ("a", "b") for n in range(3) for k, t in ((1, f"text {n}"), (2, f"more <link> {n}"))]
+    for markup in ("<link rel='stylesheet' href='x'>", "<p><IMG src=a>", "<svg:image\nsrc='a'/>", "<<a:img/src=x>", "<p>img</p>", "<b><a<link>", "<p/ img>"):
+        assert REFERS.search(markup) or not _elements(tree_of(markup), "link", "img", "image")
+    assert not REFERS.search("<p>a link to an image</p>")
